@@ -63,6 +63,13 @@ def discard(*tables: DataFrame) -> None:
             remove(t.sparkSession, t._stored_at)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in short slices, so that only a slice's texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

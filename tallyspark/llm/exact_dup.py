@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialize, probable_rows, text_or_empty
+from tallyspark.llm.common import discard, materialize, probable_rows, slices, text_or_empty
 
 #: Bytes in a hashed chunk: 2**16 products under 2**39 stay within 64 bits.
 CHUNK = 1 << 16
@@ -69,7 +69,7 @@ _SCHEMA = "doc_id long, n_bytes long, fp1 long, fp2 long, text_sha256 string"
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
         marks = [fingerprint(t) for t in texts]
         yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize
+from tallyspark.llm.common import materialize, slices
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -287,7 +287,7 @@ HOST = r"(?s)\A.*?://([^/?#]*)"
 
 def _induce(batches):
     folded = Induction()
-    for batch in batches:
+    for batch in slices(batches):
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             folded.add(host, Page(source))
     yield pa.RecordBatch.from_pydict({"host": pa.array(list(folded.roots), pa.string()), "wrapper": pa.array([json.dumps(r.dump()) for r in folded.roots.values()], pa.string())})
@@ -330,7 +330,7 @@ def main_text(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
 
     def run(batches):
         loaded: dict[str, tuple] = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for host, source, given in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if host not in loaded:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import slices
+
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 #: Bounds of the training sample: documents of a language, languages, windows of a document.
 PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_EACH = 300, 200, 4
@@ -120,7 +122,7 @@ def predict(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs`` (doc_id, text); the network travels with the tasks (some 30 KB)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, scores, todo = [UNKNOWN] * len(batch), [0.0] * len(batch), []
             held: list[np.ndarray] = []
 
@@ -161,7 +163,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     net = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             todo = batch.column(batch.schema.names.index("text")).to_pylist()
             stay = []
             for text in todo:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, text_or_empty
+from tallyspark.llm.common import materialize, slices, text_or_empty
 
 #: Samples in a row, and so the unit to which payloads are filled up with bytes 255.
 UNIT = 576
@@ -136,7 +136,7 @@ def interleave(html: str | None) -> list[dict]:
 
 def _sequences(batches):
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([interleave(h) for h in batch.column(1).to_pylist()], kind)], names=["doc_id", "elements"])
 
 
@@ -147,7 +147,7 @@ def sequences(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html")
 
 
 def _store(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -178,7 +178,7 @@ def features(media: bytes) -> tuple:
 def _read(batches):
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    for batch in batches:
+    for batch in slices(batches):
         rows = [features(m) for m in batch.column(2).to_pylist()]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, cols, kinds)], names=["digest", "n_bytes", *names])

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import text_or_empty
+from tallyspark.llm.common import slices, text_or_empty
 
 #: Texts of these characters only take the fast encoder; any other text takes the tokenizers library itself.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, wit
         context = TaskContext.get()
         packer = Packer(size, (context.partitionId() if context else 0) << 40)
         code = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = code.ids(text)
                 ids.append(end_id)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import text_or_empty
+from tallyspark.llm.common import slices, text_or_empty
 
 MARK = "▁"
 #: Words remembered in a Python worker.
@@ -132,7 +132,7 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
 
     def run(batches):
         code = codec(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             ids = [code.encode(t) for t in texts]
             arrays = {
@@ -155,7 +155,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         code = codec(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([code.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")

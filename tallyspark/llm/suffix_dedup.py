@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialize, probable_rows, text_or_empty
+from tallyspark.llm.common import discard, materialize, probable_rows, slices, text_or_empty
 
 LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1  # places for an anchor in a window
@@ -174,7 +174,7 @@ def _anchor_blocks(buckets: int):
             yield from _packed("anchor", a, (a["anchor"] % np.uint64(buckets)).astype(np.int32), buckets)
 
         gathered, count = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for piece in pieces_of(texts, batch.column(0).to_pylist()):
                 gathered.append(anchors_of(*piece))
@@ -355,7 +355,7 @@ def _open_regions(buckets: int):
     """Documents with open rows to packed regions by anchor: lengths and rows, and the regions' bytes one after another."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             rows, parts = [], []
             for text, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data, a = text.encode("utf-8", "surrogatepass"), np.frombuffer(blob, ANCHOR)
@@ -414,7 +414,7 @@ def _index(buckets: int):
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in slices(batches):
         cols = [batch.column(k).to_pylist() for k in range(3)]
         n_bytes, removed, spans, shas, texts = [], [], [], [], []
         for text, blob in zip(cols[1], cols[2], strict=True):
