@@ -6,11 +6,12 @@ keys. Documents of equal shingle sets are one class. Two classes are candidates
 their tables only the first counts. A pair is missed only if one collection has no half key in common: about
 2 * (1 - J**ROWS)**m, 4e-7 at a similarity of 0.85.
 
-Candidates are verified on their whole shingle sets in two rounds, and no group's pairs are all listed. Round
+Candidates are verified on their whole shingle sets in two rounds, and a group's pairs are never all listed. Round
 one compares the members of a bucket with a few leaders of the bucket; verified links make components. Round two
-compares only members of different components, and of those only pairs whose minhash signatures agree in at
-least ``AGREE`` of 48 places (a pair at the threshold falls short of that with a chance below 1e-6). Large
-buckets are dealt out as pairs of blocks. Components are found by label propagation over verified links.
+compares the members of different components in a bucket by their minhash signatures: rows that agree with another in
+``AGREE`` of 48 places (a pair at the threshold falls short of that with a chance below 1e-6) get their texts, and the
+bucket's links are confirmed where the rows meet; what comes out are the links that connect it. Large buckets are dealt
+out as pairs of blocks. Components are found by label propagation over verified links.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Null texts and texts without words have an empty set and no
 links; texts of fewer words than a shingle are one shingle. Rows repeated with one id have one result each; rows
@@ -26,57 +27,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialize, probable_rows, text_or_empty
+from tallyspark.llm.common import discard, materialize, probable_rows, slices, text_or_empty
 
 SHINGLE, TABLES, ROWS = 5, 12, 2  # words, half keys in a collection, minhashes in a half key
 PLACES = 2 * TABLES * ROWS
 AGREE = {85: 28, 80: 25}
 #: Members of a bucket that meet in one task; a larger bucket is dealt out as pairs of blocks.
-BLOCK = 2048
+BLOCK = 1024
 LEADERS = 6
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SCALE = np.random.default_rng(5).integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-
-
-class Shingler:
-    """Shingle sets as sorted 64-bit hashes. A word's hash is remembered."""
-
-    def __init__(self, remembered: int = 500_000):
-        self.words: dict[bytes, int] = {}
-        self.remembered = remembered
-
-    def __call__(self, text: str) -> np.ndarray:
-        import xxhash
-
-        words = text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_BLANKS).split(b" ")
-        known, hashes = self.words, []
-        for w in words:
-            if w:
-                h = known.get(w)
-                if h is None:
-                    if len(known) >= self.remembered:
-                        known.clear()
-                    h = known[w] = xxhash.xxh3_64_intdigest(w)
-                hashes.append(h)
-        if not hashes:
-            return np.empty(0, np.uint64)
-        h = np.array(hashes, np.uint64)
-        n = max(1, len(h) - SHINGLE + 1)
-        s = h[:n].copy()
-        for k in range(1, min(SHINGLE, len(h))):
-            s = (s ^ (s >> np.uint64(29))) * _MIX + h[k : k + n]
-        s = (s ^ (s >> np.uint64(32))) * _MIX2
-        return np.unique(s ^ (s >> np.uint64(29)))
-
-
-def minhashes(shingles: np.ndarray) -> np.ndarray:
-    """PLACES minhashes of 32 bits."""
-    low = np.full(PLACES, 2**64 - 1, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        part = shingles[i : i + 4096]
-        x = part[None, :] * _SCALE[:, None]
+#: A-Z to a-z, the other blanks to the blank.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
+#: Bytes whose words are hashed at once; longer words than LONG_WORD are hashed on their own.
+PIECE, LONG_WORD = 1 << 18, 1 << 14
+_BYTE = np.random.default_rng(6).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_UP, _DOWN = (np.cumprod(np.r_[np.uint64(1), np.full(PIECE, m, np.uint64)]) for m in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, polynomials taken from one running sum. data: lower-cased, blanks only between words."""
+    import xxhash
+
+    out, at, n = [], 0, len(data)
+    while at < n:
+        end = n if n - at <= PIECE else data.rfind(b" ", at, at + PIECE)
+        if end < 0:  # one word fills the piece
+            end = data.find(b" ", at)
+            end = n if end < 0 else end
+            out.append(np.array([xxhash.xxh3_64_intdigest(data[at:end])], np.uint64))
+        else:
+            b = np.frombuffer(data, np.uint8, end - at, at)
+            edge = np.flatnonzero(np.diff(np.r_[False, b != 32, False]))
+            s, e = edge[::2], edge[1::2]
+            run = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(_BYTE[b] * _UP[: len(b)], out=run[1:])
+            h = (run[e] - run[s]) * _DOWN[s]
+            h = (h ^ (h >> np.uint64(32))) * _MIX2
+            for i in np.flatnonzero(e - s > LONG_WORD):
+                h[i] = xxhash.xxh3_64_intdigest(b[s[i] : e[i]].tobytes())
+            out.append(h)
+        at = end + 1
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """A text's shingles as sorted distinct 64-bit hashes."""
+    h = word_hashes(text.encode("utf-8", "surrogatepass").translate(_PLAIN))
+    if not len(h):
+        return h
+    n = max(1, len(h) - SHINGLE + 1)
+    s = h[:n].copy()
+    for k in range(1, min(SHINGLE, len(h))):
+        s = (s ^ (s >> np.uint64(29))) * _MIX + h[k : k + n]
+    s = (s ^ (s >> np.uint64(32))) * _MIX2
+    return np.unique(s ^ (s >> np.uint64(29)))
+
+
+def minhashes(shingles: np.ndarray, scale: np.ndarray = _SCALE) -> np.ndarray:
+    """A minhash of 32 bits for each factor in scale."""
+    low = np.full(len(scale), 2**64 - 1, np.uint64)
+    for i in range(0, len(shingles), 2048):
+        part = shingles[i : i + 2048]
+        x = part[None, :] * scale[:, None]
         low = np.minimum(low, (x ^ (x >> np.uint64(31))).min(axis=1))
     return (low >> np.uint64(32)).astype(np.uint32)
 
@@ -92,11 +105,10 @@ def half_keys(low: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches):
-    shingle = Shingler()
-    for batch in batches:
+    for batch in slices(batches):
         counts, marks, first, second, signature = [], [], [], [], []
         for text in batch.column(1).to_pylist():
-            s = shingle(text)
+            s = shingle_set(text)
             counts.append(len(s))
             if not len(s):
                 for out in (marks, first, second, signature):
@@ -139,123 +151,194 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
 
 
 _PAIR = "x long, y long"
+_MEMBER = "bucket long, part int, table int, rep long, signature binary, component long, block int, own boolean"
+
+
+class Members:
+    """Rows of some buckets, sorted by bucket, part and rep."""
+
+    def __init__(self, t: pa.Table):
+        for k in ("table", "rep", "component", "block", "own"):
+            setattr(self, k, t.column(k).to_numpy())
+        bucket, part = t.column("bucket").to_numpy(), t.column("part").to_numpy()
+        self.starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
+        self.signature = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, PLACES)
+        self.halves = self.signature.reshape(-1, 2, TABLES, ROWS)
+        self.n = len(self.rep)
+
+    def close(self, r: np.ndarray, s: np.ndarray, agree: int):
+        """Of the rows r and s, the pairs that agree in enough places and have no earlier table in common."""
+        r, s = (x[(self.signature[r] == self.signature[s]).sum(axis=1) >= agree] for x in (r, s))
+        first = (self.halves[r] == self.halves[s]).all(axis=3).argmax(axis=2)
+        mine = first[:, 0] * TABLES + first[:, 1] == self.table[r]
+        return r[mine], s[mine]
+
+    def with_leaders(self, agree: int):
+        """Pairs of a row with a leader of its bucket; a row that is much like its leader takes no other."""
+        which = np.repeat(np.arange(len(self.starts)), np.diff(np.r_[self.starts, self.n]))
+        left = np.arange(self.n)
+        for _ in range(LEADERS):
+            g = which[left]
+            head = np.r_[True, g[1:] != g[:-1]]
+            lead = left[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            r, s = lead[lead != left], left[lead != left]
+            if not len(r):
+                return
+            yield self.close(r, s, agree)
+            left = s[(self.signature[r] == self.signature[s]).sum(axis=1) < 0.8 * PLACES]
+
+    def across(self, agree: int):
+        """Pairs of rows of different components."""
+        ends = np.repeat(np.r_[self.starts[1:], self.n], np.diff(np.r_[self.starts, self.n]))
+        rows, shift = np.arange(self.n), 1
+        while True:
+            rows = rows[rows + shift < ends[rows]]
+            if not len(rows):
+                return
+            for k in range(0, len(rows), 1 << 14):
+                r = rows[k : k + (1 << 14)]
+                s = r + shift
+                # rows of one block meet in the block's own part
+                r = r[(self.component[r] != self.component[s]) & ((self.block[r] != self.block[s]) | self.own[r])]
+                if len(r):
+                    yield self.close(r, r + shift, agree)
+            shift += 1
+
+
+def _by_bucket(batches, work, least: int):
+    """Whole groups of equal bucket and part, some at a time, to work()."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        if len(held) < least:
+            continue
+        held = held.combine_chunks()
+        b, p = held.column("bucket").to_numpy(), held.column("part").to_numpy()
+        change = np.flatnonzero((b[1:] != b[:-1]) | (p[1:] != p[:-1]))
+        if len(change):  # the last group may go on in the next batch
+            yield from work(held.slice(0, int(change[-1]) + 1))
+            held = held.slice(int(change[-1]) + 1)
+    if held is not None and len(held):
+        yield from work(held.combine_chunks())
+
+
+def _leader_pairs(agree: int):
+    def work(t):
+        m = Members(t)
+        for r, s in m.with_leaders(agree):
+            x, y = m.rep[r], m.rep[s]
+            for k in range(0, len(x), 1 << 16):
+                a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"x": np.minimum(a, b), "y": np.maximum(a, b)})
+
+    return lambda batches: _by_bucket(batches, work, 20_000)
+
+
+def _open_members(agree: int):
+    """The rows that have a candidate of another component, each once a bucket."""
+
+    def work(t):
+        m = Members(t)
+        met = np.zeros(m.n, bool)
+        for r, s in m.across(agree):
+            met[r] = met[s] = True
+        yield from t.filter(pa.array(met)).combine_chunks().to_batches(max_chunksize=4096)
+
+    return lambda batches: _by_bucket(batches, work, 20_000)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+#: More minhashes, of the members that are still open, and how many a pair at the threshold agrees in but for a chance of 1e-7.
+_FINE = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _links_across(agree: int, percent: int):
+    """Links between rows of different components, confirmed on whole sets; of a group's links those that connect it."""
+    fine = int(len(_FINE) * percent / 100 - 5.3 * (len(_FINE) * percent * (100 - percent)) ** 0.5 / 100)
+
+    def work(t):
+        m = Members(t)
+        found = [np.stack(p) for p in m.across(agree)]
+        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), int)
+        if not pairs.shape[1]:
+            return
+        used = np.unique(pairs)
+        texts = t.column("text")
+        sets = {int(i): shingle_set(texts[int(i)].as_py()) for i in used}
+        low = np.stack([minhashes(sets[int(i)], _FINE) for i in used])
+        at = np.searchsorted(used, pairs)
+        same = np.concatenate([(low[at[0, k : k + 8192]] == low[at[1, k : k + 8192]]).sum(axis=1) for k in range(0, pairs.shape[1], 8192)])
+        order = np.argsort(-same, kind="stable")
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
 
+        xs, ys = [], []
+        for i in order[: int((same >= fine).sum())]:
+            r, s = int(pairs[0, i]), int(pairs[1, i])
+            a, b = find(int(m.component[r])), find(int(m.component[s]))
+            if a != b and _linked(sets[r], sets[s], percent):
+                root[max(a, b)] = min(a, b)
+                xs.append(min(m.rep[r], m.rep[s]))
+                ys.append(max(m.rep[r], m.rep[s]))
+        yield pa.RecordBatch.from_pydict({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
-def _compare(leaders: bool, agree: int):
-    """Compares the rows of a bucket with each other: bucket, part, table, rep, signature, component, block, sorted by the first two and rep."""
-
-    def pairs_of(group, table, rep, signature, component, block, own):
-        halves = signature.reshape(len(rep), 2, TABLES, ROWS)
-        n, found = len(rep), []
-
-        def emit(r, s):
-            """Of rows r and s, the pairs that agree in enough places and whose first common table this is."""
-            same = signature[r] == signature[s]
-            ok = np.flatnonzero(same.sum(axis=1) >= agree)
-            if len(ok):
-                r, s = r[ok], s[ok]
-                both = (halves[r] == halves[s]).all(axis=3)
-                first = both.argmax(axis=2)
-                mine = first[:, 0] * TABLES + first[:, 1] == table[r]
-                if mine.any():
-                    found.append((rep[r[mine]], rep[s[mine]]))
-            return ok
-
-        starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
-        which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
-        if leaders:
-            left = np.arange(n)
-            for _ in range(LEADERS):
-                g = which[left]
-                head = np.r_[True, g[1:] != g[:-1]]
-                lead = left[np.flatnonzero(head)[np.cumsum(head) - 1]]
-                rest = np.flatnonzero(lead != left)
-                if not len(rest):
-                    break
-                r, s = lead[rest], left[rest]
-                near = (signature[r] == signature[s]).sum(axis=1) >= 0.8 * PLACES
-                emit(r, s)
-                left = s[~near]
-        else:
-            ends = np.r_[starts[1:], n][which]
-            rows, shift = np.arange(n), 1
-            while True:
-                rows = rows[rows + shift < ends[rows]]
-                if not len(rows):
-                    break
-                for k in range(0, len(rows), 1 << 16):
-                    r = rows[k : k + (1 << 16)]
-                    s = r + shift
-                    # rows of one block meet in the block's own part
-                    r = r[(component[r] != component[s]) & ((block[r] != block[s]) | own[r])]
-                    if len(r):
-                        emit(r, r + shift)
-                shift += 1
-        return found
-
-    def run(batches):
-        held = None
-
-        def work(t):
-            c = {k: t.column(k).to_numpy() for k in ("bucket", "part", "table", "rep", "component", "block", "own")}
-            signature = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, PLACES)
-            found = pairs_of(np.stack([c["bucket"], c["part"]], axis=1), c["table"], c["rep"], signature, c["component"], c["block"], c["own"])
-            for r, s in found:
-                for k in range(0, len(r), 1 << 16):
-                    a, b = r[k : k + (1 << 16)], s[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_pydict({"x": np.minimum(a, b), "y": np.maximum(a, b)})
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            if len(held) < 20_000:
-                continue
-            b, p = held.column("bucket").to_numpy(), held.column("part").to_numpy()
-            change = np.flatnonzero((b[1:] != b[:-1]) | (p[1:] != p[:-1]))
-            if len(change):  # whole groups only; the last one may go on in the next batch
-                yield from work(held.slice(0, int(change[-1]) + 1))
-                held = held.slice(int(change[-1]) + 1).combine_chunks()
-        if held is not None and len(held):
-            yield from work(held.combine_chunks())
-
-    return run
+    return lambda batches: _by_bucket(batches, work, 2000)
 
 
-def _candidates(rows: DataFrame, leaders: bool, agree: int) -> DataFrame:
-    """Distinct candidate pairs x < y. rows: bucket, table, rep, count, signature, component."""
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    dealt = rows.withColumn("_n", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_n").cast("long")).cast("int"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by bucket, a large bucket's as pairs of blocks. rows: bucket, table, rep, count, signature, component."""
+    dealt = rows.withColumn("_n", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_n").cast("long")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.expr("sequence(0, _n - 1)")))
     dealt = dealt.withColumn("part", (F.least("block", "_other") * F.col("_n") + F.greatest("block", "_other")).cast("int")).withColumn("own", F.col("block") == F.col("_other"))
-    dealt = dealt.select("bucket", "part", "table", "rep", "signature", "component", "block", "own")
-    sorted_rows = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "rep")
-    return sorted_rows.mapInArrow(_compare(leaders, agree), _PAIR).distinct()
+    return _sorted(dealt.select("bucket", "part", "table", "rep", "signature", "component", "block", "own"))
+
+
+def _sorted(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "rep")
 
 
 def _verified(batches, percent: int):
-    shingle = Shingler()
     kept: tuple | None = None
-    for batch in batches:
+    for batch in slices(batches):
         xs, ys = [], []
         for x, y, tx, ty in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             if kept is None or kept[0] != x:
-                kept = (x, shingle(tx))
-            b = shingle(ty)
-            common = np.intersect1d(kept[1], b, assume_unique=True).size
-            if 100 * common >= percent * (len(kept[1]) + len(b) - common):
+                kept = (x, shingle_set(tx))
+            if _linked(kept[1], shingle_set(ty), percent):
                 xs.append(x)
                 ys.append(y)
         yield pa.RecordBatch.from_pydict({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the ids (doc_id)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return materialize(probable_rows(rows, "doc_id", ids, "doc_id").join(ids, "doc_id"), "pair-texts")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) of ids whose whole shingle sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    texts = probable_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), "doc_id", ids, "doc_id")
-    texts = materialize(texts.join(ids, "doc_id"), "pair-texts")
+    texts = _texts(docs, pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
     both = pairs.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
-    links = both.select("x", "y", "tx", "ty").mapInArrow(lambda batches: _verified(batches, percent), _PAIR)
-    out = materialize(links.distinct(), "links")
+    out = materialize(both.select("x", "y", "tx", "ty").mapInArrow(lambda batches: _verified(batches, percent), _PAIR).distinct(), "links")
+    discard(texts)
+    return out
+
+
+def verify_across(members: DataFrame, docs: DataFrame, agree: int, percent: int) -> DataFrame:
+    """Links (x, y) between members of a bucket that are of different components."""
+    texts = _texts(docs, members.select(F.col("rep").alias("doc_id")).distinct())
+    rows = _sorted(members.join(texts.withColumnRenamed("doc_id", "rep"), "rep"))
+    out = materialize(rows.mapInArrow(_links_across(agree, percent), _PAIR).distinct(), "links")
     discard(texts)
     return out
 
@@ -296,16 +379,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     detailed = materialize(of_class.join(classes.withColumnRenamed("rep", "doc_id"), ["mark", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "class-sketches")
     buckets = bucket_rows(detailed.select("rep", "first", "second"))
     signatures = detailed.select("rep", "signature")
-    pairs = materialize(_candidates(buckets.join(signatures, "rep").withColumn("component", F.col("rep")), True, agree), "leader-pairs")
+    lone = buckets.join(signatures, "rep").withColumn("component", F.col("rep"))
+    pairs = materialize(_dealt(lone).mapInArrow(_leader_pairs(agree), _PAIR).distinct(), "leader-pairs")
     links = verify(pairs, docs, percent)
     near = components(links)
     labelled = buckets.join(near.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rest = labelled.join(mixed, "bucket", "left_semi").join(signatures, "rep")
-    others = materialize(_candidates(rest, False, agree).join(pairs, ["x", "y"], "left_anti"), "other-pairs")
-    more = verify(others, docs, percent)
+    members = materialize(_dealt(rest).mapInArrow(_open_members(agree), _MEMBER), "open-members")
+    more = verify_across(members, docs, agree, percent)
     final = materialize(components(links.union(more)), "components")
-    discard(buckets, pairs, others, near)
+    discard(buckets, pairs, members, near)
     of = classes.join(final.withColumnRenamed("doc", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "mark").join(of, "mark", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
