@@ -78,26 +78,35 @@ def _position(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + F.lit(1)
 
 
+def _marked(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``df`` with filter__hit: whether the key may be among ``wanted`` (never false for one that is; null for null keys)."""
+    pos = wanted.where(F.col(wanted_key).isNotNull()).select(_position(F.col(wanted_key)).alias("filter__pos"))
+    bitmap = pos.groupBy(F.bitmap_bucket_number("filter__pos").alias("filter__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("filter__pos")).alias("filter__bits")
+    )
+    at = _position(F.col(key))
+    byte = F.conv(F.hex(F.expr("substring(filter__bits, cast(filter__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2.0), F.pmod(F.col("filter__at"), F.lit(8)))).cast("int") % 2 == 1
+    joined = df.withColumns({"filter__bucket": F.bitmap_bucket_number(at), "filter__at": F.bitmap_bit_position(at)}).join(F.broadcast(bitmap), "filter__bucket", "left")
+    hit = F.when(F.col(key).isNotNull(), F.coalesce(bit, F.lit(False)))
+    return joined.withColumn("filter__hit", hit).select(*[df[c] for c in df.columns], "filter__hit")
+
+
 def probable_rows(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """The rows of ``df`` whose key may be among ``wanted``: none of these is lost, some others stay.
 
     A bitmap of fixed size (``FILTER_BITS``) is broadcast, whatever the input's size, so that the exact
     join that follows shuffles little. Null keys go.
     """
-    pos = wanted.where(F.col(wanted_key).isNotNull()).select(_position(F.col(wanted_key)).alias("_p"))
-    bitmap = pos.groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits")
-    )
-    at = F.bitmap_bit_position(_position(F.col(key)))
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return (
-        df.where(F.col(key).isNotNull())
-        .withColumns({"_bucket": F.bitmap_bucket_number(_position(F.col(key))), "_at": at})
-        .join(F.broadcast(bitmap), "_bucket")
-        .where(_bit(byte))
-        .select(*df.columns)
-    )
+    return _marked(df, key, wanted, wanted_key).where("filter__hit").drop("filter__hit")
+
 
+def without(df: DataFrame, key: str, gone: DataFrame, gone_key: str, same: str) -> DataFrame:
+    """The rows of ``df`` that no row of ``gone`` matches by the condition ``same``, which includes equal keys.
 
-def _bit(byte: Column) -> Column:
-    return F.floor(byte / F.pow(F.lit(2.0), F.pmod(F.col("_at"), F.lit(8)))).cast("int") % 2 == 1
+    Rows that the bitmap rules out stay where they are; only the others are shuffled to be joined.
+    """
+    marked = _marked(df, key, gone, gone_key)
+    stay = marked.where("filter__hit = false").drop("filter__hit")
+    open_rows = marked.where("filter__hit is null or filter__hit").drop("filter__hit")
+    return stay.unionByName(open_rows.join(gone, F.expr(same), "left_anti"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialize, probable_rows, slices, text_or_empty
+from tallyspark.llm.common import discard, materialize, probable_rows, slices, text_or_empty, without
 
 #: Bytes in a hashed chunk: 2**16 products under 2**39 stay within 64 bits.
 CHUNK = 1 << 16
@@ -131,5 +131,4 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     labels = exact_duplicates(docs)
     gone = materialize(labels.where("not kept").select(F.col("doc_id").alias("gone__id"), F.col("text_sha256").alias("gone__sha")).distinct(), "exact-gone")
     discard(labels)
-    same = docs["doc_id"].eqNullSafe(gone["gone__id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == gone["gone__sha"])
-    return docs.join(gone, same, "left_anti")
+    return without(docs, "doc_id", gone, "gone__id", "doc_id <=> gone__id and sha2(coalesce(text, ''), 256) = gone__sha")

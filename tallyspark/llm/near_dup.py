@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialize, probable_rows, slices, text_or_empty
+from tallyspark.llm.common import discard, materialize, probable_rows, slices, text_or_empty, without
 
 SHINGLE, TABLES, ROWS = 5, 12, 2  # words, half keys in a collection, minhashes in a half key
 PLACES = 2 * TABLES * ROWS
@@ -402,6 +402,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its component."""
     labels = near_duplicates(docs, percent)
-    gone = materialize(labels.where("not kept").select("doc_id").distinct(), "near-gone")
+    gone = materialize(labels.where("not kept").select(F.col("doc_id").alias("gone__id")).distinct(), "near-gone")
     discard(labels)
-    return docs.join(gone, "doc_id", "left_anti")
+    return without(docs, "doc_id", gone, "gone__id", "doc_id = gone__id")
