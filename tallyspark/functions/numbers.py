@@ -107,3 +107,21 @@ def formula(text: str) -> Column:
     except SyntaxError as e:
         raise ValueError(str(e)) from e
     return walk(tree.body)
+
+
+def printed_sign(caption: Column, value: Column, flip: Column, done: Column) -> Column:
+    """Less: minus the amount, Add: plus the amount; then a concept's flip; a figure whose sign was set before stays."""
+    low = F.lower(F.trim(caption))
+    signed = F.when(low.startswith("less"), -F.abs(value)).when(low.startswith("add"), F.abs(value)).otherwise(value)
+    return F.when(done, value).when(flip, -signed).otherwise(signed)
+
+
+def parse_rate(c: Column) -> Column:
+    """A positive, finite rate, or null."""
+    rate = F.trim(c).try_cast("decimal(38,18)")
+    return F.when(rate > 0, rate)
+
+
+def note_sort(c: Column) -> Column:
+    """A key that sorts note numbers by number, then letter."""
+    return F.struct(F.coalesce(F.regexp_extract(c, "^([0-9]+)", 1).try_cast("int"), F.lit(10**9)).alias("n"), F.regexp_extract(c, "([a-z]*)[)]?$", 1).alias("s"))

@@ -42,3 +42,19 @@ def conflicts(facts: DataFrame, a: str, b: str, tol: float) -> DataFrame:
     one = lambda k: F.sum(F.when(F.col("canonical_key") == k, F.col("value"))).cast("double")
     both = facts.where(F.col("canonical_key").isin(a, b)).groupBy("doc_id", "basis", "period_label").agg(one(a).alias("a"), one(b).alias("b"))
     return both.where(F.abs(F.col("a") - F.col("b")) > tol)
+
+
+def resolve_citations(cites: DataFrame, notes: DataFrame) -> DataFrame:
+    """doc_id, cited, note: a cited number, its parent ("16" of "16(b)") only where that itself doesn't exist, else null."""
+    have = notes.select("doc_id", "note_number").distinct()
+    own = have.withColumnRenamed("note_number", "cited").withColumn("_own", F.col("cited"))
+    up = have.select("doc_id", F.col("note_number").alias("_up"))
+    rows = cites.withColumn("_up", F.regexp_extract("cited", r"^\s*([0-9]{1,3})", 1))
+    return rows.join(own, ["doc_id", "cited"], "left").join(up.withColumn("_parent", F.col("_up")), ["doc_id", "_up"], "left").select("doc_id", "cited", F.coalesce("_own", "_parent").alias("note"))
+
+
+def link_kinds(links: DataFrame) -> DataFrame:
+    """Links of a concept and a note with their kind: MANY_NOTES of one concept, SPLITS of one note, else ONE."""
+    notes = F.count("*").over(Window.partitionBy("doc_id", "canonical_key"))
+    faces = F.count("*").over(Window.partitionBy("doc_id", "note_number"))
+    return links.withColumn("relationship", F.when(notes > 1, "MANY_NOTES").when(faces > 1, "SPLITS").otherwise("ONE"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import numbers, text
 from tallyspark.operators import analytics, asof, checks, mapping, ordered, reconcile, rollup, values
 from tallyspark.plans import rules
-from tallyspark.plans.catalog import ORACLE, QUERIES
+from tallyspark.plans.all import ORACLE, QUERIES
 from tallyspark.sources import files
 from tallyspark.streaming import events
 
