@@ -14,9 +14,8 @@ earlier in its own. Comparing all suffixes of a corpus isn't needed for that:
    they are the earliest.
 4. Repeats become byte ranges of documents, the ranges are joined and cut out.
 
-Null texts count as empty. Of rows repeated with one id, all are treated alike, as one document each, later
-rows after earlier ones of the same id only as far as their bytes repeat within the id; rows with a null id keep
-all bytes. Extra columns are ignored; an empty table gives no rows.
+Null texts count as empty. Rows repeated with one id and text are one document and have one result each; an id
+stands for one text. Rows with a null id keep all bytes and take none from others. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -123,9 +122,22 @@ def _ordered(a: np.ndarray) -> np.ndarray:
     return a[np.lexsort((a["start"], a["doc"], a["region"], a["anchor"]))]
 
 
+def _heads(new: np.ndarray) -> np.ndarray:
+    """For each row, the row where its group began. new: where groups begin."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
 def _repeated(a: np.ndarray) -> np.ndarray:
-    """Of sorted rows, which have the anchor and region of the row before."""
-    return np.r_[False, (a["anchor"][1:] == a["anchor"][:-1]) & (a["region"][1:] == a["region"][:-1])] if len(a) else np.zeros(0, bool)
+    """Of sorted rows, which have an earlier one of the same anchor and region. A row read twice is one occurrence."""
+    if not len(a):
+        return np.zeros(0, bool)
+    head = _heads(np.r_[True, (a["anchor"][1:] != a["anchor"][:-1]) | (a["region"][1:] != a["region"][:-1])])
+    return (a["doc"] != a["doc"][head]) | (a["start"] != a["start"][head])
+
+
+def _once(a: np.ndarray) -> np.ndarray:
+    """Of sorted rows, those that don't repeat the row before."""
+    return a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
 
 
 def _ranges(a: np.ndarray) -> np.ndarray:
@@ -170,7 +182,7 @@ def _anchor_blocks(buckets: int):
             a = _ordered(np.concatenate(rows))
             again = _repeated(a)
             yield from _packed("range", _ranges(a[again]), _doc_bucket(a[again]["doc"], buckets), buckets)
-            a = a[~again]
+            a = _once(a[~again])
             yield from _packed("anchor", a, (a["anchor"] % np.uint64(buckets)).astype(np.int32), buckets)
 
         gathered, count = [], 0
@@ -209,7 +221,7 @@ def _meet(buckets: int):
         a = _ordered(a[order[np.r_[False, same] | np.r_[same, False]]])
         again = _repeated(a)
         yield from _packed("range", _ranges(a[again]), _doc_bucket(a[again]["doc"], buckets), buckets)
-        a = a[~again]
+        a = _once(a[~again])
         same = a["anchor"][1:] == a["anchor"][:-1]
         a = a[np.r_[False, same] | np.r_[same, False]] if len(a) else a
         yield from _packed("open", a, _doc_bucket(a["doc"], buckets), buckets)
@@ -305,9 +317,11 @@ class SuffixFamily:
         order, group = sort_suffixes(data, starts, first)
         inner = np.lexsort((pos[order], doc[order], group))
         order, group = order[inner], group[inner]
-        again = np.r_[False, group[1:] == group[:-1]] if len(order) else np.zeros(0, bool)
+        new = np.r_[True, group[1:] != group[:-1]] if len(order) else np.zeros(0, bool)
+        head = order[_heads(new)] if len(order) else order
+        again = (doc[order] != doc[head]) | (pos[order] != pos[head])
         self.repeats.append((doc[order[again]], pos[order[again]]))
-        o = order[~again]
+        o = order[new]
         return Level(data, starts[o], first[o], doc[o], pos[o])
 
     def _merged(self, a: Level, b: Level) -> Level:

@@ -104,6 +104,23 @@ def test_repeats(docs, texts, batch, monkeypatch):
     assert got == repeats(texts)
 
 
+def test_repeated_rows(docs, texts):
+    """Every row twice: the results are those of the rows once, twice."""
+    twice = docs.union(docs).repartition(5)
+    got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(twice).collect())
+    assert got == sorted(x for i, r in repeats(texts).items() for x in [(i, *r)] * 2)
+    want, _ = components(texts, 85)
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(twice).collect()) == sorted(x for i in want.items() for x in [i] * 2)
+    assert {r["doc_id"] for r in exact_dup.exact_duplicates(twice).where("kept").collect()} == {max(i for i, t in texts.items() if t == text) for text in texts.values()}
+
+
+def test_null_ids(spark):
+    rows = spark.createDataFrame([(None, PASSAGE, None), (None, None, "en"), (5, PASSAGE, "en")], "doc_id long, text string, lang string")
+    for name, f in (("exact", exact_dup.exact_duplicates), ("near", near_dup.near_duplicates), ("repeats", suffix_dedup.remove_repeats), ("pii", pii.pii_report), ("lang", lang_id.identify), ("media", media.text_media)):
+        assert f(rows).count() == 3, name
+    assert packing.pack(rows, queries.tokenizer_path("byte_bpe_50k.json")).agg(F.count_distinct("ids_crc32")).first()[0] >= 2
+
+
 def test_suffix_family_in_any_order():
     """Batches in any order of documents give the windows that aren't the earliest."""
     rng = np.random.default_rng(1)
