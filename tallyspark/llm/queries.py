@@ -64,6 +64,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_url_rules, op2_packing, op3_media_columns, op4_sentencepiece, op5_minhash, op6_language, op7_main_text, op8_exact, op9_pii, op10_repeats)}
 
 ORACLE = {
+    "op1_url_rules": url_filter.oracle_sql(),
     "op8_exact": (
         "select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, coalesce(doc_id = max(doc_id) over w, false) as kept, "
         "sha256(coalesce(text, '')) as text_sha256 from documents window w as (partition by coalesce(text, ''))"

@@ -81,7 +81,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, **mining) -> DataFrame:
-    """page_id, host, path, rule, verdict, matched (the tokens of the mined rule that fired).
+    """page_id, host, path, rule, verdict, matched (the tokens of the mined rule that fired, in one string).
 
     labelled: url, blocked. Equal URLs are matched once.
     """
@@ -93,5 +93,30 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, **mining) ->
     fit = explicit_rule(F.col("host"), F.col("path"), rules)
     return rows.join(judged, "_row", "left").select(
         "page_id", "host", "path", fit["rule"].alias("rule"),
-        F.coalesce(fit["verdict"], F.when(F.col("matched").isNotNull(), "block").otherwise("allow")).alias("verdict"), "matched",
+        F.coalesce(fit["verdict"], F.when(F.col("matched").isNotNull(), "block").otherwise("allow")).alias("verdict"), F.array_join("matched", " ").alias("matched"),
     )
+
+
+def oracle_sql(rules=RULES) -> str:
+    """The verdicts in DuckDB's dialect over pages and labels: token sets are counted by joins instead of grown."""
+    words = "list_transform(list_filter(regexp_split_to_array(regexp_replace(lower({c}), '[0-9]+', '#', 'g'), '[^a-z#]+'), lambda x: x <> ''), lambda x: '{m}' || x)"
+    fits = []
+    for rule, verdict in sorted(rules, key=lambda r: -len(r[0])):
+        domain, _, prefix = rule.partition("/")
+        fits.append((f"when (host = '{domain}' or ends_with(host, '.{domain}')) and starts_with(path, '/{prefix}') then", rule, verdict))
+    case = lambda k: "case " + " ".join(f"{f[0]} '{f[k]}'" for f in fits) + " end"
+    return (
+        "with p as (select page_id, "
+        f"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages), "
+        f"u as (select *, list_distinct(list_concat({words.format(c='host', m='h:')}, {words.format(c='path', m='p:')})) as tokens from p), "
+        "b as (select row_number() over () as r, tokens, toxic = 1 as blocked from u join labels on doc_id = page_id where toxic is not null), "
+        f"n as (select count(*) as n, count(*) filter (where blocked) as nb, ceil({MIN_SUPPORT} * count(*)) as least from b), "
+        "i as (select r, blocked, unnest(tokens) as t from b), "
+        "s as (select [a.t] as k, a.blocked from i a union all select [a.t, b.t], a.blocked from i a join i b on a.r = b.r and a.t < b.t "
+        "union all select [a.t, b.t, c.t], a.blocked from i a join i b on a.r = b.r and a.t < b.t join i c on c.r = b.r and b.t < c.t), "
+        "f as (select k, count(*) as c, count(*) filter (where blocked) as cb from s group by k), "
+        f"m as (select k, cb / c as confidence from f, n where cb >= least and cb / c >= {MIN_CONFIDENCE} and (cb / c) / (nb / n) >= {MIN_LIFT}), "
+        "kept as (select * from m where not exists (select 1 from m o where len(o.k) < len(m.k) and list_has_all(m.k, o.k) and o.confidence >= m.confidence)), "
+        "hit as (select tokens, arg_max(array_to_string(k, ' '), (confidence, len(k), array_to_string(k, ' '))) as matched from (select distinct tokens from u) t join kept on list_has_all(t.tokens, k) group by tokens) "
+        f"select page_id, host, path, {case(1)} as rule, coalesce({case(2)}, case when matched is not null then 'block' else 'allow' end) as verdict, matched from u left join hit using (tokens)"
+    )

@@ -384,13 +384,37 @@ def test_oracles(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for table in ("documents", "pages", "labels"):
+        con.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     for name, sql in queries.ORACLE.items():
         df = queries.QUERIES[name](spark, sf_dir)
         want = con.sql(sql).df()
         cols = sorted(want.columns)
         assert sorted(df.columns) == cols
-        assert sorted(map(tuple, df.select(*cols).collect())) == sorted(want[cols].itertuples(index=False, name=None)), name
+        assert plain(df.select(*cols).collect()) == plain(want[cols].itertuples(index=False, name=None)), name
+
+
+def plain(rows):
+    return sorted(tuple("" if x is None or x != x else str(x) for x in r) for r in rows)
+
+
+def test_url_oracle_with_telling_labels(spark, sf_dir, tmp_path):
+    """Labels that follow the host and the path: rules of one and of two tokens, in Spark and in SQL."""
+    import duckdb
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").union(spark.createDataFrame([(9000 + i, f"http://s{i % 9}.{'spam' if i % 2 else 'fine'}.example/{'win' if i % 3 else 'page'}/{i}", None) for i in range(90)], "page_id long, url string, html string"))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    labels = pages.selectExpr("page_id as doc_id", "1 as quality", "cast(url like '%spam%' and url like '%win%' or url like '%casino%' as int) as toxic")
+    labels.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for table in ("pages", "labels"):
+        con.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    df = queries.op1_url_rules(spark, str(tmp_path))
+    want = con.sql(queries.ORACLE["op1_url_rules"]).df()
+    cols = sorted(want.columns)
+    got = df.select(*cols).collect()
+    assert plain(got) == plain(want[cols].itertuples(index=False, name=None))
+    assert {r["matched"] for r in got} >= {"h:spam p:win"} and {r["verdict"] for r in got} == {"allow", "block"}
 
 
 def test_pipeline(spark, sf_dir):
