@@ -6,25 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _side(terms) -> Column:
-    """The signed sum; null if a required input is missing; a missing optional one is 0."""
-    out, required = None, []
-    for key, sign, optional in terms:
-        c = F.col(key).cast("double")
-        if optional:
-            c = F.coalesce(c, F.lit(0.0))
-        else:
-            required.append(c)
-        out = c * sign if out is None else out + c * sign
-    return F.when(F.array_position(F.transform(F.array(*required), lambda x: x.isNull()), True) == 0, out) if required else out
+def _side(terms, present) -> Column:
+    """The signed sum; null if a required input is missing, or all are; a missing optional one is 0.
+
+    A term's key may be several, of which the first that has a figure counts. Keys that the grid lacks are missing.
+    """
+    values, required = [], []
+    for keys, sign, optional in terms:
+        cols = [F.col(k).cast("double") for k in ((keys,) if isinstance(keys, str) else keys) if k in present]
+        c = F.coalesce(*cols) if cols else F.lit(None).cast("double")
+        values.append((c, sign))
+        if not optional:
+            required.append(c.isNotNull())
+    out = F.coalesce(values[0][0], F.lit(0.0)) * values[0][1]
+    for c, sign in values[1:]:
+        out = out + F.coalesce(c, F.lit(0.0)) * sign
+    known = F.coalesce(*[c for c, _ in values]).isNotNull()
+    for r in required:
+        known = known & r
+    return F.when(known, out)
 
 
 def ratios(grid: DataFrame, catalogue) -> DataFrame:
     """doc_id, basis, period_label, ratio_key, ratio of a grid that has the rollups."""
-    items = [F.struct(F.lit(k).alias("ratio_key"), (F.try_divide(_side(num), _side(den)) * unit).alias("ratio")) for k, unit, num, den in catalogue]
+    has = set(grid.columns)
+    items = [F.struct(F.lit(k).alias("ratio_key"), (F.try_divide(_side(num, has), _side(den, has)) * unit).alias("ratio")) for k, unit, num, den in catalogue]
     return grid.select("doc_id", "basis", "period_label", F.inline(F.array(*items)))
 
 
+def cash_conversion_cycle(ratio_rows: DataFrame) -> DataFrame:
+    """Days of sales and of inventory less days of payables, where all three are known."""
+    day = lambda k: F.max(F.when(F.col("ratio_key") == k, F.col("ratio")))
+    return ratio_rows.groupBy("doc_id", "basis", "period_label").agg((day("dso") + day("dio") - day("dpo")).alias("ccc"))
+
+
 def credit_stance(ratio_rows: DataFrame, bounds) -> DataFrame:
     """The stance of a document's slot: strong 1, adequate 0, weak -1 a category, averaged over those that are known."""
     score = F.lit(None).cast("int")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers, text
-from tallyspark.operators import layout, reconcile, residual, templates, values
+from tallyspark.operators import analytics, layout, reconcile, residual, templates, values
 from tallyspark.plans import rules
 from tallyspark.plans.catalog import FACTS, GRID, _grid, _relation, _RELATION, query
+from tallyspark.plans.ratio_catalogue import CATALOGUE
 from tallyspark.sources.facts import facts, table
 
 INV, REC, OCA, PAY, BOR, OCL = rules.LEAVES
@@ -244,3 +245,9 @@ def effective_figures(spark, d):
     slots = F.when(F.col("doc_id") % 10 == 0, F.array(F.concat("basis", F.lit("/current"))))
     edited = F.coalesce(F.array_contains(slots, F.concat_ws("/", "basis", "period_label")), F.lit(False))
     return cells.select(*values.CELL, F.when(edited, 1.0).otherwise(F.col("printed")).alias("figure"), edited.alias("edited"))
+
+
+@query("ratio_catalogue", f"with {GRID} select doc_id, basis, period_label, 'current_ratio' as ratio_key, round(cast({CA_T} as double) / nullif(cast({CL_T} as double), 0), 6) as ratio from grid where {CL_T} <> 0 and {CA_T} is not null union all select doc_id, basis, period_label, 'quick_ratio', round((cast({CA_T} as double) - cast({INV} as double)) / nullif(cast({CL_T} as double), 0), 6) from grid where {CL_T} <> 0 and {INV} is not null and {CA_T} is not null")
+def ratio_catalogue(spark, d):
+    """All ratios of the catalogue that the figures at hand allow."""
+    return analytics.ratios(_grid(spark, d), CATALOGUE).where("ratio is not null").withColumn("ratio", F.round("ratio", 6))

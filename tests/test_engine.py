@@ -121,6 +121,38 @@ def test_ratios_need_their_inputs(spark):
     assert got == {"x": 1.0, "y": None}
 
 
+GOLDEN = {
+    "tca": 6614, "inv": 2000, "rec": 3410, "cash": 1204, "tcl": 3300, "cb": 800, "cpl": 200, "pay": 1500, "tncl": 4200, "ncb": 3000, "bonds": 1000, "eq": 9114, "ta": 16614,
+    "rev": 20000, "cogs": -12000, "ebit": 3200, "da": -800, "int": -400, "profit": 2400, "cfo": 3500, "capex": -1500, "intp": -380, "rep": -600,
+}
+
+
+def ratios_of(spark, figures):
+    from tallyspark.plans.ratio_catalogue import CATALOGUE, NAMES
+
+    grid = spark.createDataFrame([(1, "c", "current", *map(float, figures.values()))], "doc_id long, basis string, period_label string, " + ", ".join(f"{NAMES[k]} double" for k in figures))
+    rows = analytics.ratios(grid, CATALOGUE)
+    return {r["ratio_key"]: r["ratio"] for r in rows.collect()} | {"ccc": analytics.cash_conversion_cycle(rows).first()["ccc"]}
+
+
+def test_ratio_catalogue(spark):
+    got = ratios_of(spark, GOLDEN)
+    want = {
+        "gross_gearing": 5000 / 9114, "net_gearing": 3796 / 9114, "debt_to_capital": 500000 / 14114, "debt_ratio": 750000 / 16614, "debt_to_ebitda": 1.25, "net_debt_to_ebitda": 0.949,
+        "ebitda_interest_coverage": 10.0, "debt_service_coverage": 4000 / 1400, "cfo_to_total_debt": 70.0, "fcf_to_total_debt": 40.0, "ffo_to_total_debt": 64.0, "cash_debt_service_coverage": 3500 / 980,
+        "ebitda_margin": 20.0, "return_on_capital_employed": 320000 / 13314, "cash_ratio": 1204 / 3300, "dso": 3410 / 20000 * 365, "dio": 2000 / 12000 * 365, "dpo": 1500 / 12000 * 365,
+        "ccc": 3410 / 20000 * 365 + 500 / 12000 * 365,
+    }
+    assert len(got) == 32 and all(v is not None for v in got.values())
+    assert {k: got[k] for k in want} == pytest.approx(want)
+
+
+def test_ratio_fallbacks(spark):
+    got = ratios_of(spark, {"inv": 2000, "toc": -15000, "ebit": 5, "eq": 1000, "ncb": 400})
+    assert got["dio"] == pytest.approx(2000 / 15000 * 365) and got["gross_gearing"] == pytest.approx(0.4)
+    assert got["dpo"] is None and got["interest_coverage"] is None and got["debt_ratio"] is None and got["ccc"] is None
+
+
 def test_gap_subsets_are_ordered_and_bounded(spark):
     gaps = spark.createDataFrame([(1, 3.0)], "doc_id long, gap double")
     left = spark.createDataFrame([(1, i, 1.0) for i in range(1, 8)] + [(1, 8, 3.0)], "doc_id long, pos int, amount double")
