@@ -220,7 +220,7 @@ def _relation(spark, d):
     return checks.check_relation(grid, "current_assets_add_up", F.col(CA_T).cast("double") + F.col("doc_id") % 4, [(INV, 1), (REC, 1), (OCA, 1)], 1.0, 0.00001)
 
 
-@query("relation_check", f"with {_RELATION} select doc_id, basis, period_label, status, round(expected, 2) as expected, round(actual, 2) as actual, round(difference, 2) as difference from res")
+@query("relation_check", f"with {_RELATION} select doc_id, basis, period_label, status, round(expected, 2) as expected, round(actual, 2) as actual, round(difference, 2) + 0 as difference from res")
 def relation_check(spark, d):
     return _relation(spark, d).select("doc_id", "basis", "period_label", "status", *[F.round(c, 2).alias(c) for c in ("expected", "actual", "difference")])
 
@@ -314,7 +314,7 @@ def _ratio_sql() -> str:
     return " union all ".join(parts)
 
 
-@query("ratios_builtin", f"with {GRID}, r as ({_ratio_sql()}) select doc_id, basis, period_label, ratio_key, round(ratio, 6) as ratio from r")
+@query("ratios_builtin", f"with {GRID}, r as ({_ratio_sql()}) select doc_id, basis, period_label, ratio_key, round(ratio, 6) + 0 as ratio from r")
 def ratios_builtin(spark, d):
     return analytics.ratios(_grid(spark, d), rules.RATIOS).withColumn("ratio", F.round("ratio", 6))
 

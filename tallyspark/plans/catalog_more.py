@@ -247,7 +247,7 @@ def effective_figures(spark, d):
     return cells.select(*values.CELL, F.when(edited, 1.0).otherwise(F.col("printed")).alias("figure"), edited.alias("edited"))
 
 
-@query("ratio_catalogue", f"with {GRID} select doc_id, basis, period_label, 'current_ratio' as ratio_key, round(cast({CA_T} as double) / nullif(cast({CL_T} as double), 0), 6) as ratio from grid where {CL_T} <> 0 and {CA_T} is not null union all select doc_id, basis, period_label, 'quick_ratio', round((cast({CA_T} as double) - cast({INV} as double)) / nullif(cast({CL_T} as double), 0), 6) from grid where {CL_T} <> 0 and {INV} is not null and {CA_T} is not null")
+@query("ratio_catalogue", f"with {GRID} select doc_id, basis, period_label, 'current_ratio' as ratio_key, round(cast({CA_T} as double) / nullif(cast({CL_T} as double), 0), 6) as ratio from grid where {CL_T} <> 0 and {CA_T} is not null union all select doc_id, basis, period_label, 'quick_ratio', round((cast({CA_T} as double) - cast({INV} as double)) / nullif(cast({CL_T} as double), 0), 6) + 0 from grid where {CL_T} <> 0 and {INV} is not null and {CA_T} is not null")
 def ratio_catalogue(spark, d):
     """All ratios of the catalogue that the figures at hand allow."""
     return analytics.ratios(_grid(spark, d), CATALOGUE).where("ratio is not null").withColumn("ratio", F.round("ratio", 6))

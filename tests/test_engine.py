@@ -221,3 +221,31 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_notes_split(spark):
+    from tallyspark.operators import notes
+
+    parents = spark.createDataFrame([(1, "c", "current", -30.0), (1, "c", "prior", -20.0), (2, "c", "current", 9.0), (3, "c", "current", 10.0)], "doc_id int, basis string, period_label string, parent double")
+    items = spark.createDataFrame(
+        [(1, 7, k, "c", p, v) for k, p, v in (("a", "current", 10.0), ("b", "current", 20.0), ("a", "prior", 5.0), ("b", "prior", 15.0))]
+        + [(2, t, k, "c", "current", v) for t in (1, 2) for k, v in (("a", 4.0), ("b", 5.0))] + [(3, 1, "a", "c", "current", 10.0)],
+        "doc_id int, table_id int, concept string, basis string, period_label string, value double",
+    )
+    got = {(r.doc_id, r.table_id, r.concept, r.period_label): r.figure for r in notes.split_from_disclosure(parents, items).collect()}
+    # 1 is split with its sign; 2 has two tables that would do; 3 has a single component
+    assert got == {(1, 7, "a", "current"): -10.0, (1, 7, "b", "current"): -20.0, (1, 7, "a", "prior"): -5.0, (1, 7, "b", "prior"): -15.0}
+
+
+def test_document_labels(spark):
+    from tallyspark.functions import documents as docs
+
+    null = F.lit(None).cast("string")
+    bucket = lambda s, st=null, de=null: tuple(one(spark, docs.bucket_of(F.lit(s), st, de)))
+    assert bucket("bs_s2_current_assets") == ("Current assets", "section") and bucket("bs_s1_non_current_assets") == ("Non-current assets", "section")
+    assert bucket("bs_equity_and_non_current_liabilities") == ("Others", "unknown_section")
+    assert bucket(None) == ("Others", "unresolved") and bucket("x", null, F.lit("Nothing such")) == ("Others", "unknown_declared_bucket")
+    assert tuple(one(spark, docs.badge(F.lit(None).cast("double")))) == ("med", None) and tuple(one(spark, docs.badge(F.lit(0.85)))) == ("high", 85)
+    assert one(spark, docs.human_size(F.lit(10))) == "1 KB" and one(spark, docs.human_size(F.lit(1572864))) == "1.5 MB"
+    pages = spark.createDataFrame([(1, 0, "Annual report\nBig Fish Ltd | Annual report"), (2, 0, None), (3, 7, "Late Ltd")], "doc_id int, page_index int, text string")
+    assert [tuple(r) for r in docs.entity_names(pages).collect()] == [(1, "Big Fish Ltd")]
