@@ -102,7 +102,7 @@ def face_reconciliation(spark, d):
 
 _SPLIT = (
     f"{FACTS}, it as (select doc_id, page_index % 2 as table_id, canonical_key as concept, basis, period_label, quantity as v from facts where canonical_key in ('{INV}','{REC}','{OCA}') and basis = 'standalone' and period_label = 'col2'), "
-    "pa as (select doc_id, basis, period_label, case when doc_id % 3 = 0 then -sum(v) when doc_id % 3 = 1 then sum(v) filter (where table_id = 1) else sum(v) + 7 end as parent from it group by all), "
+    "pa as (select doc_id, basis, period_label, case when doc_id % 3 = 0 then -sum(v) when doc_id % 3 = 1 then sum(v) filter (where table_id = 1) else sum(v) + 7 end as parent from it group by doc_id, basis, period_label), "
     "t as (select doc_id, table_id, sum(v) as total, count(distinct concept) as c from it group by all), "
     "one as (select doc_id, table_id, case when abs(parent - total) <= 1 then 1 else -1 end as o, count(*) over (partition by doc_id) as n from t join pa using (doc_id) where c >= 2 and least(abs(parent - total), abs(parent + total)) <= 1), "
     "al as (select doc_id, case when abs(parent - sum(v)) <= 1 then 1 else -1 end as o from it join pa using (doc_id) where doc_id not in (select doc_id from one) group by doc_id, parent having count(distinct concept) >= 2 and least(abs(parent - sum(v)), abs(parent + sum(v))) <= 1)"

@@ -249,3 +249,53 @@ def test_document_labels(spark):
     assert one(spark, docs.human_size(F.lit(10))) == "1 KB" and one(spark, docs.human_size(F.lit(1572864))) == "1.5 MB"
     pages = spark.createDataFrame([(1, 0, "Annual report\nBig Fish Ltd | Annual report"), (2, 0, None), (3, 7, "Late Ltd")], "doc_id int, page_index int, text string")
     assert [tuple(r) for r in docs.entity_names(pages).collect()] == [(1, "Big Fish Ltd")]
+
+
+def test_workbook_round_trip(spark):
+    from tallyspark.sinks.workbooks import workbook
+    from tallyspark.sources.workbook import workbook_facts
+
+    sheet = [
+        ["Balance sheet", None, None, None, None, None], [None, "Note", "Consolidated", None, "Company", None], [None, None, "RMB'000", "HK$'000", None, None],
+        [None, None, "31 December 2023", "31 December 2024", "31 December 2024", "31 December 2023"], ["Current assets", None, None, None, None, None],
+        ["Inventories", 14, 5.0, 7.5, "(3)", None], ["Cash & <bank>", None, "1,204", 2.0, 4.0, 1.0],
+    ]
+    years = [["Item", "2024", "2023", "2023 restated", "Retained profits"], ["Revenue", 9.0, 8.0, 7.0, 1.0]]
+    data = workbook({"BS": sheet, "Q/1": years, "Empty": []})
+    assert data == workbook({"BS": sheet, "Q/1": years, "Empty": []})
+    df = spark.createDataFrame([("h", "xlsx", data), ("bad", "xlsx", b"PK")], "doc_hash string, format string, content binary")
+    cells = files.workbook_cells(df)
+    assert cells.where("error is not null").count() == 1
+    got = {(r.sheet, r.cell): (r.source_label, r.section, r.note_number, r.basis, r.period_label, r.currency, r.factor, r.value) for r in workbook_facts(cells).collect()}
+    ca = "bs_current_assets"
+    assert got == {
+        ("BS", "C6"): ("Inventories", ca, "14", "consolidated", "prior", "RMB", 1000.0, 5.0), ("BS", "D6"): ("Inventories", ca, "14", "consolidated", "current", "HKD", 1000.0, 7.5),
+        ("BS", "E6"): ("Inventories", ca, "14", "standalone", "current", "HKD", 1000.0, -3.0), ("BS", "C7"): ("Cash & <bank>", ca, None, "consolidated", "prior", "RMB", 1000.0, 1204.0),
+        ("BS", "D7"): ("Cash & <bank>", ca, None, "consolidated", "current", "HKD", 1000.0, 2.0), ("BS", "E7"): ("Cash & <bank>", ca, None, "standalone", "current", "HKD", 1000.0, 4.0),
+        ("BS", "F7"): ("Cash & <bank>", ca, None, "standalone", "prior", "HKD", 1000.0, 1.0), ("Q 1", "B2"): ("Revenue", None, None, "consolidated", "current", None, None, 9.0),
+        ("Q 1", "C2"): ("Revenue", None, None, "consolidated", "prior", None, None, 8.0), ("Q 1", "D2"): ("Revenue", None, None, "consolidated", "prior restated", None, None, 7.0),
+        ("Q 1", "E2"): ("Revenue", None, None, "consolidated", "Retained profits", None, None, 1.0),
+    }
+
+
+def test_sinks(spark, sf_dir, tmp_path):
+    from tallyspark.sinks import tables
+    from tallyspark.sinks.workbooks import document_workbooks
+
+    few = spark.createDataFrame(
+        [(1, 1, "a, \"b\"", "consolidated", "prior", 2.0), (1, 2, "=x", "standalone", "current", 3.0), (1, 3, "c", "consolidated", "current", None), (2, 1, "d", "consolidated", "2024", 5.0)],
+        "doc_id int, ordinal int, source_label string, basis string, period_label string, value double",
+    )
+    got = {r.doc_id: r.content for r in tables.csv_documents(few).collect()}
+    assert got[1] == '﻿Caption,prior (consolidated),current (consolidated),current (standalone)\r\n"a, ""b""",2.0,,\r\n\'=x,,,3.0\r\nc,,,\r\n'
+    assert got[2] == "﻿Caption,Value\r\nd,5.0\r\n"
+    wide = few.withColumns({"canonical_key": F.lit("k"), "note_number": F.lit("1"), "page_index": F.lit(0)})
+    books = document_workbooks(wide).cache()
+    folder = f"{tmp_path}/objects"
+    for _ in range(2):
+        tables.put_objects(books, folder)
+    assert spark.read.parquet(folder).count() == 2
+    found = tables.get_objects(spark, folder, books.select("doc_hash").union(spark.createDataFrame([("ff00",)], ["doc_hash"])))
+    assert found.count() == 3 and found.where("content is null").count() == 1
+    cells = files.workbook_cells(found.where("content is not null").withColumn("format", F.lit("xlsx")))
+    assert cells.where("row > 0 and col = 1").orderBy("text").select("text").distinct().count() == 4
