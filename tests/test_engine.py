@@ -299,3 +299,32 @@ def test_sinks(spark, sf_dir, tmp_path):
     assert found.count() == 3 and found.where("content is null").count() == 1
     cells = files.workbook_cells(found.where("content is not null").withColumn("format", F.lit("xlsx")))
     assert cells.where("row > 0 and col = 1").orderBy("text").select("text").distinct().count() == 4
+
+
+def test_pages(spark):
+    from tallyspark.operators import pages
+
+    rows = spark.createDataFrame(
+        [(1, 1, "Title", False, True, 0.0, 1.0, 0.1), (1, 2, "Amounts due", False, False, 2.0, 3.0, 0.1), (1, 3, "from related parties", True, False, 3.2, 4.2, 0.1), (1, 4, "far", False, False, 9.0, 10.0, 0.1), (1, 5, "Cash", True, False, 12.0, 13.0, 0.1), (1, 6, "indented", False, False, 13.1, 14.1, 0.5), (1, 7, "Other", True, False, 14.2, 15.2, 0.1)],
+        "page int, n int, text string, valued boolean, heading boolean, top double, bottom double, left double",
+    )
+    got = [r.caption for r in pages.wrapped_captions(rows, ["page"], "n").orderBy("n").collect()]
+    assert got == ["Title", "Amounts due from related parties", "far", "Cash", "indented", "Other"]
+    words = lambda *ws: F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.lit(t).alias("text")) for a, b, t in ws])
+    row = one(spark, pages.scan_row(words((0.1, 0.2, "Cash"), (0.3, 0.32, "14"), (0.6, 0.7, "1,204"), (0.8, 0.9, "(7)"))))
+    assert (row.label, row.note, row["values"]) == ("Cash", "14", ["1,204", "(7)"])
+    row = one(spark, pages.scan_row(words((0.1, 0.2, "Stage"), (0.205, 0.21, "3"), (0.6, 0.7, "9"))))
+    assert (row.label, row.note, row["values"]) == ("Stage", None, ["3", "9"])
+    row = one(spark, pages.scan_row(words((0.1, 0.2, "Only"), (0.21, 0.3, "words"))))
+    assert (row.label, row.note, row["values"]) == ("Only words", None, [])
+
+
+def test_indicators_refuse_circles(spark):
+    from tallyspark.operators import narrative
+
+    grid = spark.createDataFrame([(1.0, 0.0)], "a double, b double")
+    assert narrative.indicators(grid, {"y": "=x * 2", "x": "=a / b"}).first().y is None
+    with pytest.raises(ValueError):
+        narrative.indicators(grid, {"y": "=x", "x": "=y"})
+    with pytest.raises(ValueError):
+        narrative.indicators(grid, {"y": "=nothing + a"})
