@@ -328,3 +328,34 @@ def test_indicators_refuse_circles(spark):
         narrative.indicators(grid, {"y": "=x", "x": "=y"})
     with pytest.raises(ValueError):
         narrative.indicators(grid, {"y": "=nothing + a"})
+
+
+def test_rulebook_codecs():
+    from tallyspark.sinks import rulebooks
+
+    nodes = [
+        {"section": "assets", "key": "bs_a", "label": "A & <b>", "role": "line", "children": [], "order": 1, "kpi": {"x": [1, 2]}},
+        {"section": "assets", "key": "bs_t", "label": "总额", "role": "total", "op": "sum", "children": ["bs_a"], "order": 2},
+    ]
+    assert rulebooks.read_template(rulebooks.template_workbook(nodes)) == nodes
+    bad = [{"section": "s", "key": "a", "op": "sum"}, {"section": "t", "key": "a", "children": ["a", "z"]}, {"section": "s"}]
+    with pytest.raises(ValueError) as e:
+        rulebooks.read_template(rulebooks.template_workbook(bad))
+    for part in ("row 2: a is calculated but has no children", "row 3: key a is given in row 2", "row 3: a is its own child", "row 3: unknown child z", "row 4: no key", "row 4: section s is taken up again"):
+        assert part in str(e.value)
+    book = rulebooks.skeleton(nodes)
+    book[0] |= {"aliases": ["a, b", "c"], "note": None, "tolerance": 0.5}
+    assert rulebooks.read_rulebook(rulebooks.rulebook_workbook(book)) == book
+
+
+def test_gates(spark):
+    from tallyspark.operators import gates
+
+    null = F.lit(None).cast("string")
+    assert one(spark, gates.page_kind(F.lit(101), F.lit(0.03), F.lit(0.6))) == "MIXED" and one(spark, gates.page_kind(F.lit(3), F.lit(0.03), F.lit(0.6))) == "SCANNED"
+    assert one(spark, gates.page_kind(F.lit(3), F.lit(0.0), F.lit(0.1))) == "NATIVE"
+    assert one(spark, gates.is_statement_line(null)) is True and one(spark, gates.is_statement_line(F.lit("Header"))) is False
+    assert one(spark, gates.names_another_class(F.lit("cf_investing__x"), null)) is False
+    requests = spark.createDataFrame([(1, 5, {"b": "2", "a": "1"}), (2, 6, {}), (3, 7, None)], "request int, doc_id int, options map<string,string>")
+    runs = spark.createDataFrame([(9, 5, {"a": "1", "b": "2"}, "done"), (8, 6, {"a": "1"}, "running")], "run int, doc_id int, options map<string,string>, status string")
+    assert {r.request: (r.run, r.decision) for r in gates.adopt_runs(requests, runs).collect()} == {1: (9, "adopt"), 2: (8, "conflict"), 3: (None, "start")}
