@@ -162,12 +162,18 @@ def relations_as_data(spark, d):
     return narrative.check_relations(figures, terms, made, 1.0, 0.00001).select("rule", "doc_id", "basis", "period_label", "reason", "status")
 
 
-@query("csv_headers", f"with {FACTS}, s as (select doc_id, basis, period_label, min(ordinal) as o from facts group by all), p as (select *, row_number() over (partition by doc_id order by basis <> 'consolidated', o) as place, count(*) over (partition by doc_id) as n, min(basis) over (partition by doc_id) <> max(basis) over (partition by doc_id) as two from s) select doc_id, basis, period_label, place, case when n = 1 then 'Value' when two then period_label || ' (' || basis || ')' else period_label end as header from p")
+_HEADERS = (
+    f"{FACTS}, s as (select doc_id, basis, period_label, min(ordinal) as o from facts group by all), p as (select *, row_number() over (partition by doc_id order by basis <> 'consolidated', o) as place, count(*) over (partition by doc_id) as n, min(basis) over (partition by doc_id) <> max(basis) over (partition by doc_id) as two from s), "
+    "hd as (select doc_id, basis, period_label, place, n, case when n = 1 then 'Value' when two then period_label || ' (' || basis || ')' else period_label end as header from p)"
+)
+
+
+@query("csv_headers", f"with {_HEADERS} select doc_id, basis, period_label, place, header from hd")
 def csv_headers(spark, d):
     return tables.csv_headers(tables.slot_order(facts(spark, d, ordered=True)))
 
 
-@query("csv_documents")
+@query("csv_documents", f"with {_HEADERS}, h as (select doc_id, string_agg(header, ',' order by place) as heads from hd group by doc_id), l as (select doc_id, ordinal, source_label || ',' || repeat(',', place - 1) || value::varchar || repeat(',', n - place) as line from facts join hd using (doc_id, basis, period_label)), b as (select doc_id, string_agg(line, chr(13) || chr(10) order by ordinal) as body from l group by doc_id) select doc_id, chr(65279) || 'Caption,' || heads || chr(13) || chr(10) || body || chr(13) || chr(10) as content from b join h using (doc_id)")
 def csv_documents(spark, d):
     return tables.csv_documents(facts(spark, d, ordered=True))
 
