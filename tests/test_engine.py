@@ -359,3 +359,18 @@ def test_gates(spark):
     requests = spark.createDataFrame([(1, 5, {"b": "2", "a": "1"}), (2, 6, {}), (3, 7, None)], "request int, doc_id int, options map<string,string>")
     runs = spark.createDataFrame([(9, 5, {"a": "1", "b": "2"}, "done"), (8, 6, {"a": "1"}, "running")], "run int, doc_id int, options map<string,string>, status string")
     assert {r.request: (r.run, r.decision) for r in gates.adopt_runs(requests, runs).collect()} == {1: (9, "adopt"), 2: (8, "conflict"), 3: (None, "start")}
+
+
+def test_similarity_and_json(spark, sf_dir):
+    import json
+
+    from tallyspark.operators import templates
+
+    assert templates.similarity("trade receivables", "receivables trade") == 1.0
+    assert templates.similarity("at bank cash", "cash") == 0.5  # 4 of 16 letters twice, the alias covered
+    assert templates.similarity("stock", "cash") < 0.2 and templates.similarity(None, "cash") == 0.0 == templates.similarity("cash", "")
+    want = {}
+    for r in QUERIES["concept_value"](spark, sf_dir).collect():
+        want.setdefault((r.doc_id, r.canonical_key), []).append((r.basis, r.period_label, r.figure))
+    got = {(r.doc_id, r.canonical_key): [(x["basis"], x["period_label"], float(x["figure"])) for x in json.loads(r.json)] for r in QUERIES["rows_json"](spark, sf_dir).collect()}
+    assert got == {k: sorted(v) for k, v in want.items()}
