@@ -1,10 +1,17 @@
-"""SentencePiece encoding and decoding by an Aho-Corasick automaton and a single-pass Viterbi.
+"""SentencePiece encoding and decoding by an Aho-Corasick automaton and a single pass over the text.
 
 The pieces and scores of a model file go into an automaton. A pass over the text gives, at every position, all
-pieces that end there (the automaton's output links), and each relaxes the best score of its end from its
-start; characters that no piece covers fall back to byte pieces. No piece has a word mark inside, so the best
-path breaks at every word mark and the pass runs word by word, with results of frequent words remembered.
-Scores are summed exactly; of equal paths the one with the longer last piece wins.
+pieces that end there (the automaton's output links); characters that no piece covers fall back to byte pieces. No
+piece has a word mark inside, so the path breaks at every word mark and the pass runs word by word, with results
+of frequent words remembered. The model file tells which path is taken:
+
+Unigram: the path with the best sum of scores (Viterbi). Scores are summed exactly; of equal paths the one with the
+longer last piece wins.
+
+BPE: scores are an order of merges, and their sum means nothing. A segmentation is the one that merging gives if
+and only if merging gives every two neighbours of it: a merge across a border is decided by the pieces at its sides
+alone. So each prefix has exactly one last piece that merging leaves beside the last piece of the prefix before it,
+and the pass finds it. What two neighbours merge to is found by merging them, and remembered.
 
 A text gets a word mark in front, blanks become word marks; a literal word mark is spelled in bytes, so that
 decoding gives the text back exactly. Null and empty texts have no ids.
@@ -26,20 +33,28 @@ from tallyspark.llm.common import slices, text_or_empty
 MARK = "▁"
 #: Words remembered in a Python worker.
 REMEMBERED = 300_000
+#: Pairs of neighbours remembered in a Python worker.
+REMEMBERED_PAIRS = 2_000_000
+#: A character that no piece covers, where BPE needs the last piece.
+UNKNOWN = -1
 #: What a byte costs beyond the worst piece.
 BYTE_PENALTY = 10.0
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Codec:
-    def __init__(self, pieces: list[tuple[str, float, str]]):
-        """pieces: (text, score, kind) by id; kind normal, byte, or anything else for pieces not matched in texts."""
+    def __init__(self, pieces: list[tuple[str, float, str]], bpe: bool = False):
+        """pieces: (text, score, kind) by id; kind normal, byte, or anything else for pieces not matched in texts. bpe: scores are an order of merges."""
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         self.text: list[bytes] = [b""] * len(pieces)
         self.byte_ids = [-1] * 256
         self.inner_marks = False
+        self.path = self.merged_path if bpe else self.best_path
+        self.ranked: dict[str, tuple[float, int]] = {}
+        self.shown: list[str] = [piece for piece, _, _ in pieces]
+        self.pairs: dict[tuple[int, int], bool] = {}
         worst = min([s for _, s, kind in pieces if kind == "normal"], default=0.0)
         for i, (piece, score, kind) in enumerate(pieces):
             if kind == "byte":
@@ -47,6 +62,7 @@ class Codec:
                 self.byte_ids[value], self.text[i] = i, bytes([value])
             elif kind == "normal" and piece:
                 self.automaton.add_word(piece, (len(piece), score, i))
+                self.ranked[piece] = (-score, i)
                 self.text[i] = piece.replace(MARK, " ").encode()
                 self.inner_marks |= MARK in piece.lstrip(MARK)
         self.automaton.make_automaton()
@@ -59,7 +75,7 @@ class Codec:
 
         sp = SentencePieceProcessor(model_file=path)
         kind = lambda i: "byte" if sp.IsByte(i) else "other" if sp.IsControl(i) or sp.IsUnknown(i) or sp.IsUnused(i) else "normal"
-        return cls([(sp.IdToPiece(i), sp.GetScore(i), kind(i)) for i in range(sp.GetPieceSize())])
+        return cls([(sp.IdToPiece(i), sp.GetScore(i), kind(i)) for i in range(sp.GetPieceSize())], bpe=_is_bpe(sp))
 
     def best_path(self, word: str, literal: frozenset[int] = frozenset()) -> tuple[int, ...]:
         """ids of the best segmentation. literal: positions of word marks that stand for themselves."""
@@ -99,17 +115,63 @@ class Codec:
             at = start
         return tuple(reversed(out))
 
+    def merge(self, text: str) -> list[str]:
+        """What merging leaves of a short text: the best score first, of equal ones the leftmost."""
+        ranked, parts = self.ranked, list(text)
+        while True:
+            found = [(ranked[m][0], i) for i in range(len(parts) - 1) if (m := parts[i] + parts[i + 1]) in ranked]
+            if not found:
+                return parts
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    def beside(self, last: int, piece: int) -> bool:
+        """Whether merging leaves piece whole, and apart from the piece before it, if there is one."""
+        at = (last, piece)
+        known = self.pairs.get(at)
+        if known is None:
+            if len(self.pairs) >= REMEMBERED_PAIRS:
+                self.pairs.clear()
+            want = [self.shown[piece]] if last == UNKNOWN else [self.shown[last], self.shown[piece]]
+            known = self.pairs[at] = self.merge("".join(want)) == want
+        return known
+
+    def merged_path(self, word: str, literal: frozenset[int] = frozenset()) -> tuple[int, ...]:
+        """ids that BPE's merges give. literal: positions of word marks that stand for themselves."""
+        n = len(word)
+        lasts: list[int] = [UNKNOWN] * (n + 1)
+        starts: list[int] = [-1, *range(n)]  # of the last piece of each prefix; a character of its own unless a piece is found
+        pairs, found = self.pairs, -1
+        for end, (length, _, piece) in self.automaton.iter(word):
+            end += 1
+            start = end - length
+            if end == found or literal and any(start <= p < end for p in literal):
+                continue
+            fits = pairs.get((lasts[start], piece))
+            if fits or fits is None and self.beside(lasts[start], piece):
+                lasts[end], starts[end], found = piece, start, end
+        out: list[int] = []
+        at = n
+        while at:
+            start = starts[at]
+            if lasts[at] >= 0:
+                out.append(lasts[at])
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(word[start:at].encode("utf-8", "surrogatepass")))
+            at = start
+        return tuple(reversed(out))
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         if MARK in text or self.inner_marks:
             marked = MARK + text.replace(" ", MARK)
-            return list(self.best_path(marked, frozenset(i + 1 for i, c in enumerate(text) if c == MARK)))
+            return list(self.path(marked, frozenset(i + 1 for i, c in enumerate(text) if c == MARK)))
         known, out = self.known, []
         for word in _WORDS.findall(MARK + text.replace(" ", MARK)):
             ids = known.get(word)
             if ids is None:
-                ids = self.best_path(word)
+                ids = self.path(word)
                 if len(word) <= 64:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -122,6 +184,13 @@ class Codec:
         return b"".join([text[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
+def _is_bpe(sp) -> bool:
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
+    return model.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
+
+
 @functools.lru_cache(2)
 def codec(path: str) -> Codec:
     return Codec.load(path)

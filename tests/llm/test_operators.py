@@ -274,6 +274,26 @@ def test_sentencepiece_best_path():
         assert got == pytest.approx(best("▁" + text.replace(" ", "▁")))
 
 
+def test_sentencepiece_ids(docs, texts):
+    from sentencepiece import SentencePieceProcessor
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    sp, code = SentencePieceProcessor(model_file=path), sp_codec.Codec.load(path)
+    rows = [r for r in sp_codec.encode(docs, path).collect() if "▁" not in texts[r["doc_id"]]]  # a literal word mark is spelled in bytes here
+    assert len(rows) > 100
+    for r in rows:
+        want = sp.encode(texts[r["doc_id"]])
+        assert r["ids"] == want
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+    rng = np.random.default_rng(5)
+    pieces = [p.replace("▁", " ") for p in code.ranked]
+    for n in range(1000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 12))) if n % 2 else "".join(rng.choice(list("ab  \n\té日x1"), rng.integers(1, 60)))
+        assert code.encode(text) == sp.encode(text)
+    parts = "of the ▁ mark".split("▁")
+    assert code.encode("▁".join(parts)) == [*sp.encode(parts[0]), *(code.byte_ids[b] for b in "▁".encode()), *code.merged_path(parts[1].replace(" ", "▁"))]
+
+
 def test_language(docs, texts):
     rows = lang_id.identify(docs).collect()
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
