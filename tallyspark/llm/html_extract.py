@@ -3,9 +3,12 @@
 A page becomes a tree of block elements, runs of like siblings being one node. Simple tree matching aligns the
 page with its host's wrapper, the tree of all nodes seen so far with their counts: matched nodes add up,
 unmatched ones join the wrapper. A node whose text is the same on all pages is template, one whose text varies
-is a slot. Each task folds its pages into a wrapper per host and wrappers merge by the same alignment, so every
-page counts and no host's pages meet in one task. Extraction then aligns each page with the finished wrapper and
-keeps the slots of the main element, without navigation, forms, adverts, comments and the like.
+is a slot. Paragraphs and headings are told apart one by one: a node keeps the texts of those right below it that
+all of its pages have, wherever they stand among the others. Each task folds its pages into a wrapper per host and
+wrappers merge by the same alignment, so every page counts and no host's pages meet in one task. Extraction then
+aligns each page with the finished wrapper and keeps the slots of the main element, without navigation, forms,
+adverts, comments and the like. Constant paragraphs and headings go if most pages of the host have their place and
+the page's other text is at least as long; else the pages may be copies of one article, and they stay.
 
 Null HTML and URLs count as empty: an empty text. Pages of a broken markup keep what can be read. Repeated rows
 are extracted each; extra columns are ignored; an empty table gives no rows.
@@ -37,6 +40,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BREAKS = frozenset(("br", "hr"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that are text one by one, and those whose own text is.
+SINGLE = HEADINGS | {"p"}
+HOLDERS = frozenset(("article", "main", "body", "html", "#"))
 #: Elements and names of parts that are never main text.
 ASIDE_TAGS = frozenset(("nav", "footer", "aside", "form", "head", "button", "dialog", "menu", "input", "fieldset"))
 _ASIDE_NAMES = re.compile(
@@ -90,6 +96,7 @@ class Page:
                 open_tag = stack[i][0]
                 if open_tag == "p" or shut and open_tag in shut:
                     del stack[i:]
+                    flow.append((stack[-1][1], ""))
                     break
                 if open_tag not in INLINE and open_tag not in HEADINGS:
                     break
@@ -117,21 +124,40 @@ class Page:
             parts[node].append(text)
         return [" ".join("".join(p).split()) for p in parts]
 
+    def blocks(self) -> list[tuple[int, int, int, int, int]]:
+        """Stretches of flow within one element: place, first, end, mark and length of the text.
+
+        The place is the node that holds the stretch among its paragraphs, headings and own text; -1 where a stretch is no
+        text of its own (cells, items, boxes: they are judged as nodes).
+        """
+        out, flow, first = [], self.flow, 0
+        for end in range(1, len(flow) + 1):
+            node = flow[first][0]
+            if end < len(flow) and flow[end][0] == node:
+                continue
+            text = " ".join("".join([t for _, t in flow[first:end]]).split())
+            if text:
+                tag = self.nodes[node][1].partition(".")[0]
+                place = self.nodes[node][0] if tag in SINGLE else node if tag in HOLDERS else -1
+                out.append((place, first, end, len(text) << 32 | zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text)))
+            first = end
+        return out
+
 
 class Node:
-    """A wrapper's node: pages counts, mark is the text's checksum (None: it varies, 0: no text)."""
+    """A wrapper's node: pages counts, mark is the text's checksum (None: it varies, 0: no text), common are the marks of blocks that all pages have."""
 
-    __slots__ = ("key", "pages", "mark", "children")
+    __slots__ = ("key", "pages", "mark", "children", "common")
 
-    def __init__(self, key: str, pages: int = 0, mark: int | None = 0, children: list | None = None):
-        self.key, self.pages, self.mark, self.children = key, pages, mark, children or []
+    def __init__(self, key: str, pages: int = 0, mark: int | None = 0, children: list | None = None, common: set | None = None):
+        self.key, self.pages, self.mark, self.children, self.common = key, pages, mark, children or [], common or set()
 
     def dump(self) -> list:
-        return [self.key, self.pages, self.mark, [c.dump() for c in self.children]]
+        return [self.key, self.pages, self.mark, [c.dump() for c in self.children], sorted(self.common)]
 
     @classmethod
     def load(cls, x: list) -> Node:
-        return cls(x[0], x[1], x[2], [cls.load(c) for c in x[3]])
+        return cls(x[0], x[1], x[2], [cls.load(c) for c in x[3]], set(x[4]))
 
 
 def tree_of(page: Page) -> list[Node]:
@@ -139,6 +165,9 @@ def tree_of(page: Page) -> list[Node]:
     made = [Node(key, 1, zlib.crc32(text.encode("utf-8", "surrogatepass")) if text else 0) for (_, key, _), text in zip(page.nodes, page.texts(), strict=True)]
     for (parent, _, _), node in zip(page.nodes[1:], made[1:], strict=True):
         made[parent].children.append(node)
+    for place, _, _, mark, _ in page.blocks():
+        if place >= 0:
+            made[place].common.add(mark)
     return made
 
 
@@ -181,6 +210,7 @@ def merge(into: Node, other: Node, known: dict | None = None, met: dict | None =
     into.pages += other.pages
     if into.mark != other.mark:
         into.mark = None
+    into.common &= other.common
     if met is not None:
         met[id(other)] = into
     merged, at, before = [], 0, 0
@@ -223,6 +253,8 @@ class Induction:
                 node.pages += 1
                 if node.mark != new.mark:
                     node.mark = None
+                if node.common:
+                    node.common &= new.common
         else:
             met: dict[int, Node] = {}
             merge(root, made[0], {}, met)
@@ -251,14 +283,22 @@ def extract(page: Page, wrapper: Node | None, shapes: dict | None = None) -> str
             inside[i] = (i == main or parent >= 0 and inside[parent]) and not aside
         else:
             inside[i] = not aside and tag != "header" and (parent < 0 or inside[parent] or tag in ("html", "body"))
-    template = _template(page, wrapper, shapes) if wrapper is not None else ()
+    template, common = _template(page, wrapper, shapes) if wrapper is not None else ((), {})
     for i in template:
         inside[i] = False
-    return " ".join("".join([text if inside[node] else " " for node, text in page.flow]).split())
-
-
-def _template(page: Page, wrapper: Node, shapes: dict | None) -> list[int]:
-    """Nodes with the same text on all of the host's pages, if other nodes' texts vary. Headings and paragraphs are text."""
+    parts = [text if inside[node] else " " for node, text in page.flow]
+    if common:
+        blocks = [(first, end, n, mark in common.get(place, ())) for place, first, end, mark, n in page.blocks() if inside[page.flow[first][0]]]
+        constant = sum(n for _, _, n, same in blocks if same)
+        if constant and 2 * constant <= sum(n for _, _, n, _ in blocks):
+            for first, end, _, same in blocks:
+                if same:
+                    parts[first:end] = [" "] * (end - first)
+    return " ".join("".join(parts).split())
+
+
+def _template(page: Page, wrapper: Node, shapes: dict | None) -> tuple[list[int], dict[int, set[int]]]:
+    """Nodes with the same text on all of the host's pages, if other nodes' texts vary; marks of constant paragraphs, headings and own texts by place."""
     shape = tuple(n[:2] for n in page.nodes)
     if shapes is not None and shape in shapes:
         return shapes[shape]
@@ -266,14 +306,18 @@ def _template(page: Page, wrapper: Node, shapes: dict | None) -> list[int]:
     met: dict[int, Node] = {}
     _align(wrapper, made[0], {}, met)
     varies = any(x.mark is None for x in met.values())
-    out = []
+    out, common = [], {}
     for i, n in enumerate(made):
         w, tag = met.get(id(n)), n.key.partition(".")[0]
-        if varies and w is not None and w.pages >= MIN_PAGES and w.mark and tag not in HEADINGS and tag not in ("p", "article", "main", "body", "html", "#"):
+        if not varies or w is None or w.pages < MIN_PAGES:
+            continue
+        if w.mark and tag not in SINGLE and tag not in HOLDERS:
             out.append(i)
+        if w.common and 2 * w.pages > wrapper.pages:
+            common[i] = w.common
     if shapes is not None and len(shapes) < 4096:
-        shapes[shape] = out
-    return out
+        shapes[shape] = out, common
+    return out, common
 
 
 def _align(wrapper: Node, node: Node, known: dict, met: dict) -> None:

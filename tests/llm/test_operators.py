@@ -353,6 +353,27 @@ def test_main_text(spark):
     assert got == {i: f"Head {i} Some bold & text {i} next para two {i}" for i in range(8)} | {100: "", 101: "", 102: "just text here"}
 
 
+def test_main_text_constant_paragraphs(spark):
+    notice, box = "<p>Subscribe to <b>our</b> paper", "<div class=x7><p>Written by machines</p></div>"
+    rows, want = [], {}
+    for i in range(8):
+        body = f"<h1>Head {i}</h1><p>Story {i} begins with quite some words here{notice if i % 2 else ''}<p>and ends {i} much later than it began"
+        body = body.replace("<p>and", "<figure></figure><p>and") if i % 3 else body
+        rows.append((i, f"http://a.example/{i}", f"<body><article>{body}{'' if i % 2 else notice}{box}</article>"))
+        rows.append((100 + i, f"http://b.example/{i}", f"<body>{body}{'' if i % 2 else notice}{box}"))
+        want[i] = want[100 + i] = f"Head {i} Story {i} begins with quite some words here and ends {i} much later than it began"
+        copied = "<p>A long article that was copied to all pages</p><p>of this host</p>"
+        rows.append((200 + i, f"http://c.example/{i}", f"<body><div class=ad>ad {i}</div><article>{copied}</article>"))
+        rows.append((300 + i, f"http://d.example/{i}", f"<body><article><h1>Copy {i}</h1>{copied}</article>"))
+        want[200 + i] = "A long article that was copied to all pages of this host"
+        want[300 + i] = f"Copy {i} {want[200 + i]}"
+        few = "<p>Said twice</p>" if i < 2 else ""
+        rows.append((400 + i, f"http://e.example/{i}", f"<body><article><p>An article of its own, number {i}</p>{few}</article>"))
+        want[400 + i] = f"An article of its own, number {i}" + (" Said twice" if few else "")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html_extract.main_text(pages).collect()} == want
+
+
 def test_main_text_joined_wrappers(spark, sf_dir, monkeypatch):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     one = sorted(map(tuple, html_extract.main_text(pages).collect()))
