@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,18 +71,46 @@ def netting(grid: DataFrame, target: str, minus: tuple[str, ...]) -> DataFrame:
     return rows.select("doc_id", "basis", "period_label", out.alias("net"), F.concat_ws(" - ", F.lit(target), *used).alias("formula"))
 
 
-def gap_subsets(gaps: DataFrame, leftovers: DataFrame, tol: float = 0.5, first: int = 14, most: int = 3, offered: int = 8) -> DataFrame:
+def find_gaps(printed: DataFrame, computed: DataFrame, sections, tol: float = 0.5) -> DataFrame:
+    """Subtotals whose printed current figure differs from the computed one, where their section has a line of others.
+
+    printed, computed: doc_id, basis, period_label, canonical_key, figure; computed has calculated lines only. sections: the
+    keys of each section. doc_id, basis, target_key, others_key, gap, prior_gap; that is null if a prior figure is missing.
+    """
+    others = {}
+    for keys in sections:
+        for k in keys:
+            bucket = k.partition("__")[0] + "__others"
+            if "__" in k and bucket in keys:
+                others.setdefault(k, bucket)
+    both = printed.withColumn("side", F.lit("p")).unionByName(computed.withColumn("side", F.lit("c"))).where(F.col("canonical_key").isin(*others))
+    at = lambda side, period: F.sum(F.when((F.col("side") == side) & (F.col("period_label") == period), F.col("figure").cast("double")))
+    slots = both.groupBy("doc_id", "basis", F.col("canonical_key").alias("target_key")).agg(
+        (at("p", "current") - at("c", "current")).alias("gap"), (at("p", "prior") - at("c", "prior")).alias("prior_gap")
+    )
+    bucket = F.element_at(F.create_map(*[F.lit(x) for pair in others.items() for x in pair]), F.col("target_key")) if others else F.lit(None).cast("string")
+    return slots.where(F.abs("gap") > tol).select("doc_id", "basis", "target_key", bucket.alias("others_key"), "gap", "prior_gap")
+
+
+def gap_subsets(gaps: DataFrame, leftovers: DataFrame, tol: float = 0.5, first: int = 14, most: int = 3, offered: int = 8, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Sets of at most three of a document's first leftovers that close its gap: smaller sets first, then in printed order, eight a gap.
 
-    The bounds are the feature. gaps: doc_id, gap. leftovers: doc_id, pos, amount. Candidates are an array of at most
+    The bounds are the feature. gaps: ``by``, gap, and prior_gap if known. leftovers: ``by``, pos, amount, and prior if known. Where
+    the prior gap counts, a set has to close it too, with no prior amount missing. Candidates are an array of at most
     ``first`` structs beside the gap, so a document's sets are made in its own row and no rows are paired.
     """
-    some = leftovers.where(F.col("pos") <= first).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "amount"))).alias("c"))
+    null = F.lit(None).cast("double")
+    prior = F.col("prior") if "prior" in leftovers.columns else null
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("pos"))
+    pool = leftovers.select(*by, "pos", F.coalesce("amount", F.lit(0)).alias("amount"), prior.alias("prior")).withColumn("place", place).where(F.col("place") <= first)
+    some = pool.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "amount", "prior"))).alias("c"))
     sets = (
-        "concat(transform(c, a -> struct(1 as n, array(a.pos) as members, a.amount as total)), "
-        "flatten(transform(c, a -> transform(filter(c, b -> b.pos > a.pos), b -> struct(2 as n, array(a.pos, b.pos) as members, a.amount + b.amount as total)))), "
-        "flatten(transform(c, a -> flatten(transform(filter(c, b -> b.pos > a.pos), b -> transform(filter(c, d -> d.pos > b.pos), d -> struct(3 as n, array(a.pos, b.pos, d.pos) as members, a.amount + b.amount + d.amount as total)))))))"
+        "concat(transform(c, a -> struct(1 as n, array(a.pos) as members, a.amount as total, a.prior as prior)), "
+        "flatten(transform(c, a -> transform(filter(c, b -> b.pos > a.pos), b -> struct(2 as n, array(a.pos, b.pos) as members, a.amount + b.amount as total, a.prior + b.prior as prior)))), "
+        "flatten(transform(c, a -> flatten(transform(filter(c, b -> b.pos > a.pos), b -> transform(filter(c, d -> d.pos > b.pos), d -> struct(3 as n, array(a.pos, b.pos, d.pos) as members, a.amount + b.amount + d.amount as total, a.prior + b.prior + d.prior as prior)))))))"
     )
-    closing = F.expr(f"filter({sets}, s -> s.n <= {most} and abs(s.total - gap) <= {tol})")
-    ranked = gaps.join(some, "doc_id").withColumn("s", F.slice(F.array_sort(closing), 1, offered))
-    return ranked.select("doc_id", "gap", F.posexplode("s").alias("rank", "s")).select("doc_id", "gap", F.array_join(F.transform("s.members", lambda x: x.cast("string")), ",").alias("members"), (F.col("rank") + 1).alias("rank"))
+    both = f"(prior_gap is null or abs(prior_gap) <= {tol} or coalesce(abs(s.prior - prior_gap) <= {tol}, false))"
+    closing = F.expr(f"filter({sets}, s -> s.n <= {most} and abs(s.total - gap) <= {tol} and {both})")
+    known = gaps if "prior_gap" in gaps.columns else gaps.withColumn("prior_gap", null)
+    ranked = known.where(F.abs("gap") > tol).join(some, list(by)).withColumn("s", F.slice(F.array_sort(closing), 1, offered))
+    return ranked.select(*gaps.columns, F.posexplode("s").alias("rank", "s")).select(*gaps.columns, F.array_join(F.transform("s.members", lambda x: x.cast("string")), ",").alias("members"), (F.col("rank") + 1).alias("rank"))

@@ -353,6 +353,16 @@ def gap_subsets(spark, d):
     return analytics.gap_subsets(gaps, left)
 
 
+_LEFT_ALL = _LEFT.replace("from facts where ordinal <= 8)", "from facts where ordinal <= 14)")
+
+
+@query("gap_subsets_first14", ORACLE["gap_subsets"].replace(_LEFT, _LEFT_ALL))
+def gap_subsets_first14(spark, d):
+    left = facts(spark, d, ordered=True).select("doc_id", F.col("ordinal").alias("pos"), F.col("quantity").alias("amount"))
+    gaps = left.groupBy("doc_id").agg(F.sum(F.when(F.col("pos").isin(1, 3), F.col("amount"))).alias("gap"), F.count("*").alias("n")).where("n >= 3").drop("n")
+    return analytics.gap_subsets(gaps, left)
+
+
 # ---- as of, overlays, audit ----------------------------------------------------------------------------------------
 
 _RATES = "rates as (select upper(substr(event_type, 1, 3)) as base, 'Q' || user_id % 5 as quote, value as rate, cast(ts as date) as as_of, ts as created_at, event_id as id from events)"

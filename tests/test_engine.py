@@ -160,6 +160,27 @@ def test_gap_subsets_are_ordered_and_bounded(spark):
     assert got == ["8", "1,2,3", "1,2,4", "1,2,5", "1,2,6", "1,2,7", "1,3,4", "1,3,5"]
 
 
+def test_gap_subsets_take_the_first_leftovers_and_both_periods(spark):
+    gaps = spark.createDataFrame([(1, 3.0, 5.0), (2, 3.0, None), (3, 3.0, 0.2), (4, 0.4, None)], "doc_id long, gap double, prior_gap double")
+    rows = [(20, 3.0, 4.0), (30, 3.0, 5.0), (40, 3.0, None), (50, 1.0, 2.0), (60, 2.0, 3.0), *((100 + i, 0.0, 0.0) for i in range(8)), (200, 3.0, 5.0), (300, 3.0, 5.0)]
+    left = spark.createDataFrame([(d, *r) for d in (1, 2, 3, 4) for r in rows], "doc_id long, pos int, amount double, prior double")
+    got = {}
+    for r in analytics.gap_subsets(gaps, left).orderBy("doc_id", "rank").collect():
+        got.setdefault(r["doc_id"], []).append(r["members"])
+    assert got[1][:4] == ["30", "200", "30,100", "30,101"] and got[2][:4] == got[3][:4] == ["20", "30", "40", "200"] and set(got) == {1, 2, 3}
+
+
+def test_find_gaps(spark):
+    at = "doc_id long, basis string, period_label string, canonical_key string, figure double"
+    t, u, o = "bs_a__total_a", "bs_b__total_b", "bs_a__others"
+    printed = spark.createDataFrame([(1, "c", "current", t, 10.0), (1, "c", "prior", t, 8.0), (1, "c", "current", u, 10.0), (2, "c", "current", t, 7.5), (3, "c", "current", t, 9.0), (1, "c", "current", "net", 9.0), (5, "c", "prior", t, 9.0)], at)
+    computed = spark.createDataFrame([(1, "c", "current", t, 7.0), (1, "c", "prior", t, 3.0), (1, "c", "current", u, 1.0), (2, "c", "current", t, 7.0), (3, "c", "current", t, 7.0), (4, "c", "current", t, 7.0), (1, "c", "current", "net", 1.0), (5, "c", "prior", t, 1.0)], at)
+    gaps = analytics.find_gaps(printed, computed, [("bs_a__x", o, t), ("bs_b__x", u), ("net",)])
+    assert sorted(map(tuple, gaps.collect())) == [(1, "c", t, o, 3.0, 5.0), (3, "c", t, o, 2.0, None)]
+    left = spark.createDataFrame([(1, "c", 1, 3.0, 5.0), (1, "c", 2, 3.0, 1.0), (1, "s", 3, 3.0, 5.0), (3, "c", 4, 2.0, None)], "doc_id long, basis string, pos int, amount double, prior double")
+    assert sorted((r["doc_id"], r["target_key"], r["members"]) for r in analytics.gap_subsets(gaps, left, by=("doc_id", "basis")).collect()) == [(1, t, "1"), (3, t, "4")]
+
+
 def test_rates(spark):
     rows = [("USD", "EUR", 0.9, "2024-01-01", 1, 1), ("USD", "EUR", 0.8, "2024-01-02", 1, 2), ("GBP", "USD", 1.25, "2024-01-01", 1, 3)]
     rates = spark.createDataFrame(rows, "base string, quote string, rate double, as_of string, created_at int, id int")
