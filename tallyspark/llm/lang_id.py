@@ -2,8 +2,9 @@
 
 Bytes are embedded, filters of several widths run over fixed-length windows, each filter's maximum over the
 window goes through a softmax layer. A text's probabilities are the mean of its windows', all of them, the last
-one filled up with blanks. Training takes a bounded, documented sample: about ``per_language`` documents of
-each language, those of the smallest hashes, and a few windows of each.
+one filled up with blanks. Training takes a bounded sample: about ``per_language`` documents of each language, those of
+the smallest hashes, fewer if there are so many languages that ``MAX_SAMPLE`` documents are reached, and a few windows
+of each, which are cut where the texts lie.
 
 A text without a letter, or null, is ``und`` with score 0. Labels of null are not learned. Without any label
 every text is ``und``. Repeated rows are judged each; extra columns are ignored.
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import slices
 
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
-#: Bounds of the training sample: documents of a language, languages, windows of a document.
-PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_EACH = 300, 200, 4
+#: Bounds of the training sample: documents of a language, documents in all, windows of a document.
+PER_LANGUAGE, MAX_SAMPLE, WINDOWS_EACH = 300, 60_000, 4
 STEPS, BATCH, RATE, SEED = 260, 64, 0.01, 20
 UNKNOWN = "und"
 
@@ -91,14 +92,28 @@ def windows_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW, b" "), np.uint8).reshape(n, WINDOW)
 
 
-def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, lang) of about per_language documents each: those whose hash lies under their language's share."""
+def _sampled_windows(batches):
+    for batch in slices(batches):
+        cut = []
+        for text in batch.column(0).to_pylist():
+            w = windows_of(text.encode("utf-8", "replace"))
+            n = min(len(w), WINDOWS_EACH)
+            cut.append(w[[(2 * i + 1) * len(w) // (2 * n) for i in range(n)]].tobytes())
+        yield pa.RecordBatch.from_pydict({"windows": pa.array(cut, pa.binary()), "lang": batch.column(1), "at": batch.column(2)})
+
+
+def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
+    """(windows, lang) of about per_language documents each: those whose hash lies under their language's share."""
     rows = labelled.where("lang is not null and text is not null")
-    share = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.join(F.broadcast(share), "lang").where(at * F.col("count") < per_language).select("text", "lang", at.alias("at"), "doc_id")
-    found = chosen.limit(2 * per_language * MAX_LANGUAGES).collect()  # the bound on what may come to the driver
-    return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["at"], r["doc_id"] if r["doc_id"] is not None else -1))]
+    share = rows.groupBy("lang").count()
+    languages = share.count()
+    if languages > MAX_SAMPLE:
+        raise ValueError(f"{languages} languages are more than the {MAX_SAMPLE} documents of a sample")
+    each = min(per_language, MAX_SAMPLE // max(1, languages))
+    at = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = rows.join(F.broadcast(share), "lang").where(at * F.col("count") < each).select("text", "lang", at.alias("at"))
+    found = chosen.mapInArrow(_sampled_windows, "windows binary, lang string, at double").limit(2 * MAX_SAMPLE).collect()
+    return [(bytes(r["windows"]), r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["at"], bytes(r["windows"])))]
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn | None:
@@ -107,14 +122,10 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn | None
     languages = sorted({lang for _, lang in sample})
     if not languages:
         return None
-    rng, xs, ys = np.random.default_rng(SEED), [], []
-    for text, lang in sample:
-        w = windows_of(text.encode("utf-8", "replace"))
-        w = w[np.sort(rng.choice(len(w), min(len(w), WINDOWS_EACH), replace=False))]
-        xs.append(w)
-        ys += [languages.index(lang)] * len(w)
+    number = {lang: k for k, lang in enumerate(languages)}
+    windows = np.frombuffer(b"".join(w for w, _ in sample), np.uint8).reshape(-1, WINDOW)
     net = ByteCnn(languages)
-    net.train(np.concatenate(xs), np.array(ys))
+    net.train(windows, np.repeat([number[lang] for _, lang in sample], [len(w) // WINDOW for w, _ in sample]))
     return net
 
 
@@ -162,13 +173,15 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is learned and whose score is at least min_score; text and columns unchanged."""
     net = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
 
+    at = docs.columns.index("text")
+
     def run(batches):
         for batch in slices(batches):
-            todo = batch.column(batch.schema.names.index("text")).to_pylist()
             stay = []
-            for text in todo:
+            for text in batch.column(at).to_pylist():
                 ok = bool(net and text and any(map(str.isalpha, text)))
                 stay.append(ok and float(net.probabilities(windows_of(text.encode("utf-8", "replace"))).mean(axis=0).max()) >= min_score)
             yield batch.filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
