@@ -9,18 +9,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a row filter: 256 blocks of 4 KiB, so 1 MiB is the most that is ever broadcast.
-FILTER_BITS = 1 << 23
+#: Bits of a row filter: 1 MiB at least and 8 MiB at most, in blocks of 4 KiB, are broadcast.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, notebooks)
-    a folder of our own is made and put in the session.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and driver and executors are one process
+    (tests, notebooks) a folder of our own is made and put in the session. A cluster without the setting is an error:
+    executors that wrote to their own disks would lose rows.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -74,39 +78,65 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def _position(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + F.lit(1)
+def fresh(*taken: DataFrame):
+    """A maker of column names that none of the tables has, in any case of letters."""
+    used = {c.lower() for t in taken for c in t.columns}
 
+    def name(wanted: str) -> str:
+        out, n = wanted, 0
+        while out.lower() in used:
+            n += 1
+            out = f"{wanted}_{n}"
+        used.add(out.lower())
+        return out
 
-def _marked(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """``df`` with filter__hit: whether the key may be among ``wanted`` (never false for one that is; null for null keys)."""
-    pos = wanted.where(F.col(wanted_key).isNotNull()).select(_position(F.col(wanted_key)).alias("filter__pos"))
-    bitmap = pos.groupBy(F.bitmap_bucket_number("filter__pos").alias("filter__bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("filter__pos")).alias("filter__bits")
-    )
-    at = _position(F.col(key))
-    byte = F.conv(F.hex(F.expr("substring(filter__bits, cast(filter__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.floor(byte / F.pow(F.lit(2.0), F.pmod(F.col("filter__at"), F.lit(8)))).cast("int") % 2 == 1
-    joined = df.withColumns({"filter__bucket": F.bitmap_bucket_number(at), "filter__at": F.bitmap_bit_position(at)}).join(F.broadcast(bitmap), "filter__bucket", "left")
-    hit = F.when(F.col(key).isNotNull(), F.coalesce(bit, F.lit(False)))
-    return joined.withColumn("filter__hit", hit).select(*[df[c] for c in df.columns], "filter__hit")
+    return name
 
 
-def probable_rows(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def _position(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits)) + F.lit(1)
+
+
+def filter_bits(keys: int) -> int:
+    """Bits of a filter for so many keys: eight a key, within the bounds."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (8 * keys - 1).bit_length() if keys else 0))
+
+
+def marked_rows(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, keys: int = 0) -> tuple[DataFrame, str]:
+    """``df`` with a column (its name is returned): whether the key may be among ``wanted`` (never false for one that is; null for null keys)."""
+    name, bits = fresh(df, wanted), filter_bits(keys)
+    bucket, held, at, hit = (name(x) for x in ("bucket", "bits", "at", "hit"))
+    pos = wanted.where(F.col(wanted_key).isNotNull()).select(_position(F.col(wanted_key), bits).alias("pos"))
+    bitmap = pos.groupBy(F.bitmap_bucket_number("pos").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias(held))
+    place = _position(F.col(key), bits)
+    byte = F.conv(F.hex(F.expr(f"substring({held}, cast({at} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2.0), F.pmod(F.col(at), F.lit(8)))).cast("int") % 2 == 1
+    joined = df.withColumns({bucket: F.bitmap_bucket_number(place), at: F.bitmap_bit_position(place)}).join(F.broadcast(bitmap), bucket, "left")
+    return joined.withColumn(hit, F.when(F.col(key).isNotNull(), F.coalesce(bit, F.lit(False)))).select(*columns(df), hit), hit
+
+
+def probable_rows(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, keys: int = 0) -> DataFrame:
     """The rows of ``df`` whose key may be among ``wanted``: none of these is lost, some others stay.
 
-    A bitmap of fixed size (``FILTER_BITS``) is broadcast, whatever the input's size, so that the exact
-    join that follows shuffles little. Null keys go.
+    A bitmap is broadcast, of a bounded size whatever the input's (keys: how many keys are wanted, if that is
+    known), so that the exact join that follows shuffles little. Null keys go.
     """
-    return _marked(df, key, wanted, wanted_key).where("filter__hit").drop("filter__hit")
+    marked, hit = marked_rows(df, key, wanted, wanted_key, keys)
+    return marked.where(F.col(hit)).drop(hit)
 
 
-def without(df: DataFrame, key: str, gone: DataFrame, gone_key: str, same: str) -> DataFrame:
+def without(df: DataFrame, key: str, gone: DataFrame, gone_key: str, same, keys: int = 0) -> DataFrame:
     """The rows of ``df`` that no row of ``gone`` matches by the condition ``same``, which includes equal keys.
 
-    Rows that the bitmap rules out stay where they are; only the others are shuffled to be joined.
+    Rows that the bitmap rules out stay where they are; only the others are shuffled to be joined. ``gone`` and
+    ``df`` have no column name in common.
     """
-    marked = _marked(df, key, gone, gone_key)
-    stay = marked.where("filter__hit = false").drop("filter__hit")
-    open_rows = marked.where("filter__hit is null or filter__hit").drop("filter__hit")
-    return stay.unionByName(open_rows.join(gone, F.expr(same), "left_anti"))
+    marked, hit = marked_rows(df, key, gone, gone_key, keys)
+    stay = marked.where(~F.col(hit)).drop(hit)
+    open_rows = marked.where(F.col(hit).isNull() | F.col(hit)).drop(hit)
+    return stay.unionByName(open_rows.join(gone, same, "left_anti"))
