@@ -7,19 +7,23 @@ their tables only the first counts. A pair is missed only if one collection has
 2 * (1 - J**ROWS)**m, 4e-7 at a similarity of 0.85 and 9.5e-6 at 0.80.
 
 Candidates are verified on their whole shingle sets in two rounds, and a group's pairs are never all listed. Round
-one compares the members of a bucket with a few leaders of the bucket; verified links make components. Round two
+one compares the members of a bucket with a few leaders of the bucket; a large bucket is cut into blocks with leaders
+of their own, which are then members of a smaller bucket, and so on. Verified links make components. Round two
 compares the members of different components in a bucket by their minhash signatures: rows that agree with another in
 ``AGREE`` of 48 places (a pair at the threshold falls short of that with a chance of 1.8e-6 at 0.85, 3.3e-6 at 0.80) get their texts, and the
 bucket's links are confirmed where the rows meet; what comes out are the links that connect it. Large buckets are dealt
-out as pairs of blocks. Components are found by label propagation over verified links.
+out as pairs of blocks, a large component having blocks of its own, which don't meet each other. Components are found
+by label propagation over verified links.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Null texts and texts without words have an empty set and no
-links; texts of fewer words than a shingle are one shingle. Rows repeated with one id have one result each; rows
-of null id are their own components. Extra columns are ignored.
+links; texts of fewer words than a shingle are one shingle. Rows of one id are one document: each has a result, the
+links of all its texts are its links. Rows of null id are linked with nothing, their component is null and they stay.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -27,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialize, probable_rows, slices, text_or_empty, without
+from tallyspark.llm.common import discard, fresh, materialize, probable_rows, slices, text_or_empty, without
 
 SHINGLE, TABLES, ROWS = 5, 12, 2  # words, half keys in a collection, minhashes in a half key
 PLACES = 2 * TABLES * ROWS
 AGREE = {85: 28, 80: 25}
-#: Members of a bucket that meet in one task; a larger bucket is dealt out as pairs of blocks.
-BLOCK = 1024
+#: Members of a bucket, and their shingles, that meet in one task; a larger bucket is cut into blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 LEADERS = 6
+#: Bytes of rows that a worker gathers before it goes to work on them.
+GATHERED_BYTES = 1 << 25
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SCALE = np.random.default_rng(5).integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A-Z to a-z, the other blanks to the blank.
@@ -104,6 +110,10 @@ def half_keys(low: np.ndarray) -> np.ndarray:
     return key
 
 
+def _mark(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sketches(batches):
     for batch in slices(batches):
         counts, marks, first, second, signature = [], [], [], [], []
@@ -116,7 +126,7 @@ def _sketches(batches):
                 continue
             low = minhashes(s)
             a, b = half_keys(low).view(np.int64)
-            marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            marks.append(_mark(s))
             first.append(a)
             second.append(b)
             signature.append(low.astype(np.uint16).tobytes())
@@ -144,14 +154,14 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     tables = sides[0].join(sides[1], "rep").select("rep", F.explode("first").alias("a"), "second").select("rep", "a", F.explode("second").alias("b"))
     rows = tables.select(F.xxhash64("a.key", "b.key", "a.i", "b.i").alias("bucket"), (F.col("a.i") * TABLES + F.col("b.i")).cast("int").alias("table"), "rep")
     rows = materialize(rows, "bucket-rows")
-    sizes = rows.groupBy("bucket").count().where("count > 1")
+    sizes = materialize(rows.groupBy("bucket").count().where("count > 1"), "bucket-sizes")
     out = materialize(rows.join(sizes, "bucket"), "buckets")
-    discard(rows)
+    discard(rows, sizes)
     return out
 
 
 _PAIR = "x long, y long"
-_MEMBER = "bucket long, part int, table int, rep long, signature binary, component long, block int, own boolean"
+_MEMBER = "bucket long, part long, table int, rep long, signature binary, component long, block long, own boolean"
 
 
 class Members:
@@ -174,17 +184,17 @@ class Members:
         return r[mine], s[mine]
 
     def with_leaders(self, agree: int):
-        """Pairs of a row with a leader of its bucket; a row that is much like its leader takes no other."""
+        """Pairs of a row with a leader of its bucket, and the leaders; a row that is much like its leader takes no other."""
         which = np.repeat(np.arange(len(self.starts)), np.diff(np.r_[self.starts, self.n]))
         left = np.arange(self.n)
         for _ in range(LEADERS):
+            if not len(left):
+                return
             g = which[left]
             head = np.r_[True, g[1:] != g[:-1]]
             lead = left[np.flatnonzero(head)[np.cumsum(head) - 1]]
             r, s = lead[lead != left], left[lead != left]
-            if not len(r):
-                return
-            yield self.close(r, s, agree)
+            yield *self.close(r, s, agree), left[head]
             left = s[(self.signature[r] == self.signature[s]).sum(axis=1) < 0.8 * PLACES]
 
     def across(self, agree: int):
@@ -207,30 +217,46 @@ class Members:
 
 def _by_bucket(batches, work, least: int):
     """Whole groups of equal bucket and part, some at a time, to work()."""
-    held = None
+    held, rows, size = [], 0, 0
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        if len(held) < least:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows < least and size < GATHERED_BYTES:
             continue
-        held = held.combine_chunks()
-        b, p = held.column("bucket").to_numpy(), held.column("part").to_numpy()
+        t = pa.Table.from_batches(held).combine_chunks()
+        b, p = t.column("bucket").to_numpy(), t.column("part").to_numpy()
         change = np.flatnonzero((b[1:] != b[:-1]) | (p[1:] != p[:-1]))
         if len(change):  # the last group may go on in the next batch
-            yield from work(held.slice(0, int(change[-1]) + 1))
-            held = held.slice(int(change[-1]) + 1)
-    if held is not None and len(held):
-        yield from work(held.combine_chunks())
+            yield from work(t.slice(0, int(change[-1]) + 1))
+            t = t.slice(int(change[-1]) + 1)
+        held = t.to_batches()
+        rows, size = len(t), 0
+    if rows:
+        yield from work(pa.Table.from_batches(held).combine_chunks())
+
+
+_LED = "x long, y long, bucket long, table int, signature binary"
 
 
 def _leader_pairs(agree: int):
+    """Pairs (x, y) with leaders; of buckets in several blocks also the leaders (x), as members of the smaller bucket that they make."""
+
+    def rows(x, y, bucket=None, table=None, signature=None):
+        none = [None] * len(x)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, pa.int64()), pa.array(none if y is None else y, pa.int64()), pa.array(none if bucket is None else bucket, pa.int64()), pa.array(none if table is None else table, pa.int32()), pa.array(none if signature is None else signature, pa.binary())],
+            names=["x", "y", "bucket", "table", "signature"])
+
     def work(t):
-        m = Members(t)
-        for r, s in m.with_leaders(agree):
+        m, cut, bucket = Members(t), t.column("block").to_numpy() > 0, t.column("bucket").to_numpy()
+        for r, s, lead in m.with_leaders(agree):
             x, y = m.rep[r], m.rep[s]
             for k in range(0, len(x), 1 << 16):
                 a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({"x": np.minimum(a, b), "y": np.maximum(a, b)})
+                yield rows(np.minimum(a, b), np.maximum(a, b))
+            lead = lead[cut[lead]]
+            if len(lead):
+                yield rows(m.rep[lead], None, bucket[lead], m.table[lead], [m.signature[i].tobytes() for i in lead])
 
     return lambda batches: _by_bucket(batches, work, 20_000)
 
@@ -294,18 +320,62 @@ def _links_across(agree: int, percent: int):
     return lambda batches: _by_bucket(batches, work, 2000)
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows by bucket, a large bucket's as pairs of blocks. rows: bucket, table, rep, count, signature, component."""
-    dealt = rows.withColumn("_n", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_n").cast("long")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.expr("sequence(0, _n - 1)")))
-    dealt = dealt.withColumn("part", (F.least("block", "_other") * F.col("_n") + F.greatest("block", "_other")).cast("int")).withColumn("own", F.col("block") == F.col("_other"))
-    return _sorted(dealt.select("bucket", "part", "table", "rep", "signature", "component", "block", "own"))
+_DEALT = ["bucket", "part", "table", "rep", "signature", "component", "block", "own"]
 
 
 def _sorted(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "rep")
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, table, rep, count, signature) with the block of a large bucket as part; block: how many blocks more than one its bucket has."""
+    n = F.ceil(F.col("count") / BLOCK).cast("long")
+    part = F.pmod(F.xxhash64("rep", "bucket"), n)
+    return _sorted(rows.select("bucket", part.alias("part"), "table", "rep", "signature", F.col("rep").alias("component"), (n - 1).alias("block"), F.lit(True).alias("own")))
+
+
+def leader_pairs(rows: DataFrame, agree: int) -> DataFrame:
+    """The pairs (x, y) of round one, once each. rows: bucket, table, rep, count, signature."""
+    led, counted = [], []
+    while not counted or not counted[-1].isEmpty():
+        led.append(materialize(_in_blocks(rows).mapInArrow(_leader_pairs(agree), _LED), "leader-pairs"))
+        leaders = led[-1].where("bucket is not null").select("bucket", "table", F.col("x").alias("rep"), "signature")
+        counted.append(materialize(leaders.groupBy("bucket").count(), "leaders"))
+        rows = leaders.join(counted[-1], "bucket")
+    pairs = functools.reduce(DataFrame.union, [t.where("bucket is null").select("x", "y") for t in led])
+    out = materialize(pairs.distinct(), "candidate-pairs")
+    discard(*led, *counted)
+    return out
+
+
+def _blocks(n, shingles):
+    return F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES, F.lit(1))).cast("long")
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of different components to where they meet. rows: bucket, table, rep, signature, component, n_shingles; n, shingles: of the bucket.
+
+    A bucket of one block is one part. Else a component that fills a block has blocks of its own, the others share
+    blocks, and a part is a pair of blocks that hold different components. Also returns the written table of blocks.
+    """
+    small = (F.col("n") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)
+    here = rows.where(small).withColumns({"part": F.lit(0).cast("long"), "block": F.lit(0).cast("long"), "own": F.lit(True)}).select(*_DEALT)
+    large = rows.where(~small)
+    sizes = large.groupBy("bucket", "component").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("k"), F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    alone = F.col("k") > 1
+    shared = F.when(F.count_if(~alone) > 0, _blocks(F.coalesce(F.sum(F.when(~alone, F.col("c"))), F.lit(0)), F.coalesce(F.sum(F.when(~alone, F.col("s"))), F.lit(0)))).otherwise(0)
+    info = sizes.groupBy("bucket").agg(shared.alias("shared"), F.array_sort(F.collect_list(F.when(alone, F.struct("component", "k")))).alias("filled"))
+    info = materialize(info.select("bucket", "shared", F.expr("transform(filled, (x, i) -> struct(x.component as component, x.k as k, shared + aggregate(slice(filled, 1, i), 0L, (a, y) -> a + y.k) as at))").alias("filled")), "blocks")
+    own = F.expr("get(filter(filled, x -> x.component = component), 0)")
+    dealt = large.join(info, "bucket").withColumn("mine", own)
+    dealt = dealt.withColumn("block", F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("component"), F.col("shared"))).otherwise(F.col("mine.at") + F.pmod(F.xxhash64("rep"), F.col("mine.k"))))
+    others = "concat(if(shared > 0, sequence(0L, shared - 1), cast(array() as array<bigint>)), flatten(transform(filter(filled, x -> x.component <> component), x -> sequence(x.at, x.at + x.k - 1))))"
+    dealt = dealt.withColumn("other", F.explode(F.expr(others)))
+    pair = F.least("block", "other") * (1 << 31) + F.greatest("block", "other")
+    met = dealt.select("bucket", pair.alias("part"), "table", "rep", "signature", "component", "block", (F.col("block") == F.col("other")).alias("own"))
+    return _sorted(here.unionByName(met)), info
+
+
 def _verified(batches, percent: int):
     kept: tuple | None = None
     for batch in slices(batches):
@@ -319,25 +389,37 @@ def _verified(batches, percent: int):
         yield pa.RecordBatch.from_pydict({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the ids (doc_id)."""
+def _of_mark(batches):
+    """The rows whose text has the shingle set of the mark."""
+    for batch in slices(batches):
+        yield batch.filter(pa.array([_mark(shingle_set(t)) == m for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.bool_()))
+
+
+def _texts(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, text of some classes (reps: rep). classes: rep, least (an id of it), mark, several (whether that id has other texts)."""
+    wanted = materialize(classes.join(reps, "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), F.when(F.col("several"), F.col("mark")).alias("mark")), "wanted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialize(probable_rows(rows, "doc_id", ids, "doc_id").join(ids, "doc_id"), "pair-texts")
+    found = probable_rows(rows, "doc_id", wanted, "doc_id", wanted.count()).join(wanted, "doc_id")
+    sure = found.where("mark is null").select("rep", "text")
+    told = found.where("mark is not null").select("rep", "text", "mark").mapInArrow(_of_mark, "rep long, text string, mark binary").drop("mark")
+    out = materialize(sure.unionByName(told), "pair-texts")
+    discard(wanted)
+    return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) of ids whose whole shingle sets reach the similarity."""
-    texts = _texts(docs, pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    both = pairs.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of classes whose whole shingle sets reach the similarity."""
+    texts = _texts(docs, classes, pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct())
+    both = pairs.join(texts.select(F.col("rep").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("rep").alias("x"), F.col("text").alias("tx")), "x")
     out = materialize(both.select("x", "y", "tx", "ty").mapInArrow(lambda batches: _verified(batches, percent), _PAIR).distinct(), "links")
     discard(texts)
     return out
 
 
-def verify_across(members: DataFrame, docs: DataFrame, agree: int, percent: int) -> DataFrame:
+def verify_across(members: DataFrame, docs: DataFrame, classes: DataFrame, agree: int, percent: int) -> DataFrame:
     """Links (x, y) between members of a bucket that are of different components."""
-    texts = _texts(docs, members.select(F.col("rep").alias("doc_id")).distinct())
-    rows = _sorted(members.join(texts.withColumnRenamed("doc_id", "rep"), "rep"))
+    texts = _texts(docs, classes, members.select("rep").distinct())
+    rows = _sorted(members.join(texts, "rep"))
     out = materialize(rows.mapInArrow(_links_across(agree, percent), _PAIR).distinct(), "links")
     discard(texts)
     return out
@@ -370,38 +452,53 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out
 
 
+def _classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rep, mark, least (smallest id), several, n_shingles and the sketch of each set of documents of equal shingle sets; and the links between the classes of one id."""
+    known = base.where("mark is not null and doc_id is not null")
+    ids = known.groupBy("doc_id").agg(F.min(F.xxhash64("mark")).alias("lo"), F.max(F.xxhash64("mark")).alias("hi"))
+    several = materialize(ids.where("lo <> hi").select("doc_id"), "several-texts")
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "first", "second", "signature")]
+    made = known.groupBy("mark").agg(F.min("doc_id").alias("least"), *firsts).withColumn("rep", F.monotonically_increasing_id())
+    made = made.join(several.select(F.col("doc_id").alias("least"), F.lit(True).alias("several")), "least", "left")
+    classes = materialize(made, "classes")
+    own = known.join(several, "doc_id", "left_semi").select("doc_id", "mark").distinct().join(classes.select("mark", "rep"), "mark").select("doc_id", "rep")
+    links = materialize(own.groupBy("doc_id").agg(F.min("rep").alias("x")).join(own, "doc_id").select("x", F.col("rep").alias("y")).where("x <> y"), "own-links")
+    discard(several)
+    return classes, links
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; documents of a similarity of percent / 100 and more are linked."""
     agree = AGREE.get(percent) or int(PLACES * percent / 100 - 5.2 * (PLACES * percent * (100 - percent)) ** 0.5 / 100)
     base = materialize(sketches(docs), "sketches")
-    classes = materialize(base.where("mark is not null and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep")), "classes")
-    of_class = base.where("mark is not null").select("mark", "doc_id", "first", "second", "signature")
-    detailed = materialize(of_class.join(classes.withColumnRenamed("rep", "doc_id"), ["mark", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "class-sketches")
-    buckets = bucket_rows(detailed.select("rep", "first", "second"))
-    signatures = detailed.select("rep", "signature")
-    lone = buckets.join(signatures, "rep").withColumn("component", F.col("rep"))
-    pairs = materialize(_dealt(lone).mapInArrow(_leader_pairs(agree), _PAIR).distinct(), "leader-pairs")
-    links = verify(pairs, docs, percent)
+    classes, same_id = _classes(base)
+    buckets = bucket_rows(classes.select("rep", "first", "second"))
+    signatures = classes.select("rep", "signature", "n_shingles")
+    pairs = leader_pairs(buckets.join(signatures, "rep").select("bucket", "table", "rep", "count", "signature"), agree)
+    verified = verify(pairs, docs, classes, percent)
+    links = verified.union(same_id)
     near = components(links)
-    labelled = buckets.join(near.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = labelled.join(mixed, "bucket", "left_semi").join(signatures, "rep")
-    members = materialize(_dealt(rest).mapInArrow(_open_members(agree), _MEMBER), "open-members")
-    more = verify_across(members, docs, agree, percent)
+    labelled = buckets.join(near.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(signatures, "rep")
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    mixed = materialize(mixed.where("lo < hi").select("bucket", "n", "shingles"), "mixed-buckets")
+    dealt, blocks = _dealt(labelled.join(mixed, "bucket"))
+    members = materialize(dealt.mapInArrow(_open_members(agree), _MEMBER), "open-members")
+    more = verify_across(members, docs, classes, agree, percent)
     final = materialize(components(links.union(more)), "components")
-    discard(buckets, pairs, members, near)
-    of = classes.join(final.withColumnRenamed("doc", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
-    out = base.select("doc_id", "n_shingles", "mark").join(of, "mark", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    done = materialize(out, "near-labels")
-    discard(detailed, base, classes, links, more, final)
+    discard(buckets, pairs, mixed, blocks, members, near)
+    of = classes.join(final.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = materialize(of.join(smallest, "component").select("mark", "component_id"), "class-labels")
+    out = base.join(of, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    done = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-labels")
+    discard(base, classes, same_id, verified, more, final, of)
     return done
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its component."""
     labels = near_duplicates(docs, percent)
-    gone = materialize(labels.where("not kept").select(F.col("doc_id").alias("gone__id")).distinct(), "near-gone")
+    name = fresh(docs)("gone")
+    gone = materialize(labels.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "near-gone")
     discard(labels)
-    return without(docs, "doc_id", gone, "gone__id", "doc_id = gone__id")
+    return without(docs, "doc_id", gone, name, F.col("doc_id") == F.col(name), gone.count())

@@ -77,6 +77,31 @@ def test_near_duplicates_large_groups(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == components(rows, 85)[0]
 
 
+def test_near_duplicates_ids(spark):
+    """Rows of null id are linked with nothing; an id of two texts has the links of both."""
+    def words(seed):
+        return [f"{seed}{k}" for k in range(40)]
+
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(None, " ".join(a)), (None, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*b, "end"])), (9, " ".join(["start", *a])), (11, " ".join(c)), (11, " ".join(c)), (12, None), (13, " ".join([*c, "x"]))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str) == sorted(
+        [(None, None, True), (None, None, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True), (11, 11, True), (12, 12, True), (13, 11, False)], key=str)
+    assert {tuple(r) for r in near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()} == {rows[0], *rows[2:4], rows[6], rows[8]}
+
+
+@pytest.mark.parametrize("drop", [exact_dup.drop_exact_duplicates, near_dup.drop_near_duplicates, lang_id.keep_identified, pii.redact])
+def test_odd_columns(spark, drop):
+    """Extra columns of any name come through untouched."""
+    odd = ["filter__bits", "bits", "gone__id", "gone", "hit", "id", "sha", "stays", "row", "rows", "pii__text", "pii__spans", "pii__email", "spans", "at", "a.b", "part"]
+    rows = [(i, f"some words of english text number {i % 3} follow here", "en", *[f"{c}{i}" for c in odd]) for i in range(6)]
+    table = spark.createDataFrame(rows, ["doc_id", "text", "lang", *odd])
+    out = drop(table)
+    assert out.columns == table.columns
+    got = {tuple(r) for r in out.collect()}
+    assert got <= set(rows) and len(got) == {"drop_exact_duplicates": 3, "drop_near_duplicates": 3}.get(drop.__name__, 6)
+
+
 def test_near_duplicates_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.near_duplicates(none).collect() == []
@@ -111,7 +136,9 @@ def test_repeated_rows(docs, texts):
     assert got == sorted(x for i, r in repeats(texts).items() for x in [(i, *r)] * 2)
     want, _ = components(texts, 85)
     assert sorted((r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(twice).collect()) == sorted(x for i in want.items() for x in [i] * 2)
-    assert {r["doc_id"] for r in exact_dup.exact_duplicates(twice).where("kept").collect()} == {max(i for i, t in texts.items() if t == text) for text in texts.values()}
+    last = sorted({t: i for i, t in sorted(texts.items())}.values())
+    assert sorted(r["doc_id"] for r in exact_dup.exact_duplicates(twice).where("kept").collect()) == last
+    assert sorted(r["doc_id"] for r in exact_dup.drop_exact_duplicates(twice).collect()) == last
 
 
 def test_null_ids(spark):
@@ -171,12 +198,31 @@ def test_exact(docs, texts):
 
 def test_exact_unequal_texts_of_equal_fingerprint(docs, texts, monkeypatch):
     """With a fingerprint that says nothing the comparison of chunks tells the texts apart."""
-    marks = exact_dup.fingerprints(docs).withColumns({k: F.lit(0).cast("long") for k in ("fp1", "fp2", "n_bytes")})
-    monkeypatch.setattr(exact_dup, "fingerprints", lambda _: marks)
+    real = exact_dup.fingerprints
+    monkeypatch.setattr(exact_dup, "fingerprints", lambda *a, **k: real(*a, **k).withColumns({k: F.lit(0).cast("long") for k in ("fp1", "fp2", "n_bytes")}))
     sizes = collections.Counter(texts.values())
     assert {r["doc_id"]: r["group_size"] for r in exact_dup.exact_duplicates(docs).collect()} == {i: sizes[t] for i, t in texts.items()}
 
 
+def test_exact_null_ids(spark):
+    """One row of each text stays, also where ids are null or repeated."""
+    rows = [(None, "bbb", 1), (None, "bbb", 2), (5, "aaa", 3), (5, "aaa", 4), (None, "aaa", 5), (2, "aaa", 6), (None, None, 7), (3, "", 8), (4, "single", 9), (None, "lone", 10), (5, "other", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep int")
+    got = exact_dup.exact_duplicates(docs).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got if r["text_sha256"] == sha("aaa")), key=str) == sorted([(5, 5, 4, True), (5, 5, 4, False), (None, 5, 4, False), (2, 5, 4, False)], key=str)
+    assert sorted(r["kept"] for r in got if r["text_sha256"] == sha("bbb")) == [False, True]
+    left = [tuple(r) for r in exact_dup.drop_exact_duplicates(docs).collect()]
+    assert sorted((i, t or "") if i else (0, t or "") for i, t, _ in left) == [(0, "bbb"), (0, "lone"), (3, ""), (4, "single"), (5, "aaa"), (5, "other")] and set(left) <= set(rows)
+
+
+def test_exact_huge_texts(docs, texts, monkeypatch):
+    """Texts whose chunks are dealt out have the fingerprints of those hashed in one place."""
+    want = sorted(tuple(r[:5]) for r in exact_dup.fingerprints(docs).collect())
+    monkeypatch.setattr(exact_dup, "HUGE", 20)
+    assert sorted(tuple(r[:5]) for r in exact_dup.fingerprints(docs).select("doc_id", *exact_dup.KEY, "text_sha256").collect()) == want
+
+
 def test_fingerprints_combine():
     data = bytes(range(256)) * 700
     for prime, base in exact_dup.FIELDS:
@@ -331,10 +377,19 @@ def test_pii(docs, texts):
         r = rows[i]
         assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest(), (i, spans, r)
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(s.startswith(k + ":") for s in spans) for k in base]
-        assert [s for s in r["spans"].split(",") if s and not s.startswith("iban:")] == spans
+        assert [s for s in r["spans"].split(",") if s and s.partition(":")[0] in base] == spans
+        assert len(r["scores"]) == 0 or r["scores"].count(",") == r["spans"].count(",")
     assert "iban:5:32" in rows[1000 + TEXTS.index("IBAN GB82 WEST 1234 5698 7654 32, a@b.c_d@e.fg")]["spans"]
 
 
+def test_pii_context_decides(spark):
+    """An added kind counts only with a word that speaks for it; a base kind counts without, with a lower score."""
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'token = "{token}"'), (2, f"commit {token}"), (3, "SSN: 123-45-6789"), (4, "part 123-45-6789"), (5, "ssn 666-45-6789"), (6, "call +1 988 555 2485"), (7, "it is +1 988 555 2485"), (8, "my secret is " + "a" * 40)]
+    got = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("secret:9:49", "70"), 2: ("", ""), 3: ("ssn:5:16", "70"), 4: ("", ""), 5: ("", ""), 6: ("phone:5:20", "70"), 7: ("phone:6:21", "60"), 8: ("", "")}
+
+
 def test_pii_redaction(docs):
     out = pii.redact(docs)
     assert out.columns == docs.columns
