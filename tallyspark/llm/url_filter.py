@@ -1,10 +1,12 @@
 """URL filtering by association rules over URL tokens.
 
 Labelled URLs become baskets of tokens (host labels, the path's words; runs of digits are one token). Spark's
-FP-growth mines the token sets, and rules "these tokens, so it is blocked" are kept that reach a support, a
-confidence and a lift, unless a rule with fewer of the same tokens is as sure. Rules are matched through an
-inverted index: each is listed under its rarest token, a URL's tokens fetch the rules listed under them, and a
-rule fires if the URL has all of its tokens. Explicit rules (host suffix and path prefix) come first.
+FP-growth mines the token sets, and rules "these tokens, so it is blocked" or "... allowed" are kept that reach a
+support and are sure enough: a rule's hits count together with ``PRIOR`` URLs of the base rate, so that a few URLs prove
+little, and the share must reach ``MIN_CONFIDENCE`` and a conviction against the base rate. A rule goes if one with
+fewer of its tokens and the same verdict is as sure. Rules are matched through an inverted index: each is listed under
+its rarest token, a URL's tokens fetch the rules listed under them, and a rule fires if the URL has all of its tokens;
+the surest one tells the verdict. Explicit rules (host suffix and path prefix) come first.
 
 Null and malformed URLs have an empty host and path and no tokens: the method allows them. Repeated rows are
 judged each, null ids are carried along, extra columns are ignored, without labels nothing is mined.
@@ -16,14 +18,16 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize
+from tallyspark.llm.common import discard, materialize
 
 #: (rule, verdict): host and all subdomains, and the path's beginning.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MAX_TOKENS = 0.004, 0.6, 1.2, 3
-#: Rules that may be broadcast; more are joined by a shuffle.
+#: Least share of the labelled URLs that a rule holds for, least share of its URLs that have its label, least factor by which it errs more seldom than chance,
+#: and URLs of the base rate that count besides its own.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_CONVICTION, PRIOR = 0.004, 0.6, 2.0, 4
+#: Rules, and sets of tokens judged, that may be broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 10_000
-BLOCK = "label=block"
+LABEL = "label="
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,48 +57,58 @@ def explicit_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """tokens, confidence, support of the rules for blocking. labelled: tokens array, blocked boolean."""
-    baskets = labelled.select(F.when(F.col("blocked"), F.array_append("tokens", BLOCK)).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    wanted = f"consequent = array('{BLOCK}') and size(antecedent) <= {max_tokens} and lift >= {min_lift}"
-    found = materialize(model.associationRules.where(wanted).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
-    # A rule is superfluous if dropping some of its tokens leaves a rule as sure: look its subsets up.
-    subsets = found.select("tokens", "confidence", F.explode(F.expr("filter(transform(sequence(1, cast(pow(2, size(tokens)) as int) - 2), m -> filter(tokens, (t, i) -> shiftright(m, i) % 2 = 1)), s -> size(s) > 0 and size(s) < size(tokens))")).alias("subset"))
-    better = subsets.join(found.select(F.col("tokens").alias("subset"), F.col("confidence").alias("sure")), "subset").where("sure >= confidence").select("tokens").distinct()
-    return found.join(better, "tokens", "left_anti")
+def _index(rules: DataFrame) -> DataFrame:
+    """rule_tokens, sure, label, token: each rule under its rarest token."""
+    frequency = rules.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    keyed = rules.select("tokens", "sure", "label", F.explode("tokens").alias("token")).join(frequency, "token")
+    index = keyed.groupBy("tokens", "sure", "label").agg(F.min_by("token", F.struct("count", "token")).alias("token")).withColumnsRenamed({"tokens": "rule_tokens", "sure": "rule_sure", "label": "rule_label"})
+    return F.broadcast(index) if rules.count() <= BROADCAST_RULES else index
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_conviction: float = MIN_CONVICTION, prior: float = PRIOR) -> DataFrame:
+    """tokens, label (block or allow), sure. labelled: tokens array, blocked boolean."""
+    label = F.when(F.col("blocked"), LABEL + "block").otherwise(LABEL + "allow")
+    baskets = materialize(labelled.select(F.array_append("tokens", label).alias("items"), "blocked"), "baskets")
+    total, bad = baskets.agg(F.count("*"), F.count_if("blocked")).first()
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min(0.5, min_confidence)).fit(baskets.select("items"))
+    given = F.col("consequent")[0]
+    hits = F.round(F.col("support") * total).cast("long")
+    made = model.associationRules.where(given.startswith(LABEL)).select(F.array_sort("antecedent").alias("tokens"), F.substring(given, len(LABEL) + 1, 9).alias("label"), hits.alias("hits"), F.round(hits / F.col("confidence")).cast("long").alias("urls"))
+    base = F.when(F.col("label") == "block", F.lit(bad / max(total, 1))).otherwise(F.lit((total - bad) / max(total, 1)))
+    sure = (F.col("hits") + F.lit(float(prior)) * base) / (F.col("urls") + F.lit(float(prior)))
+    kept = made.withColumns({"sure": sure, "base": base}).where((F.col("sure") >= min_confidence) & (F.lit(1.0) - F.col("base") >= (F.lit(1.0) - F.col("sure")) * min_conviction))
+    found = materialize(kept.select("tokens", "label", "sure"), "url-rules")
+    discard(baskets)
+    if found.isEmpty():
+        return found
+    inner = found.select("tokens", "label", "sure", F.explode("tokens").alias("token")).join(_index(found), "token")
+    as_sure = (F.size("rule_tokens") < F.size("tokens")) & (F.col("rule_label") == F.col("label")) & (F.col("rule_sure") >= F.col("sure"))
+    superfluous = inner.where(as_sure & (F.size(F.array_except("rule_tokens", "tokens")) == 0)).select("tokens").distinct()
+    return found.join(superfluous, "tokens", "left_anti")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls`` (with tokens and a unique ``_row``) with matched (the tokens of the surest rule that fires, or null)."""
-    if rules.isEmpty():
-        return urls.withColumn("matched", F.lit(None).cast("array<string>"))
-    frequency = rules.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    keyed = rules.select("tokens", "confidence", F.explode("tokens").alias("token")).join(frequency, "token")
-    index = keyed.groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token")).withColumnsRenamed({"tokens": "rule_tokens"})
-    if rules.count() <= BROADCAST_RULES:
-        index = F.broadcast(index)
-    posted = urls.select("_row", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    """_row, matched (the tokens of the surest rule that fires) and found (its label) of the ``urls`` (tokens and a unique ``_row``) for which one fires."""
+    posted = urls.select("_row", "tokens", F.explode("tokens").alias("token")).join(_index(rules), "token")
     fired = posted.where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-    best = fired.groupBy("_row").agg(F.max_by("rule_tokens", F.struct("confidence", F.size("rule_tokens"), F.array_join("rule_tokens", " "))).alias("matched"))
-    return urls.join(best, "_row", "left")
+    order = F.struct("rule_sure", F.size("rule_tokens"), F.array_join("rule_tokens", " "))
+    best = fired.groupBy("_row").agg(F.max_by(F.struct("rule_tokens", "rule_label"), order).alias("best"))
+    return best.select("_row", F.array_join("best.rule_tokens", " ").alias("matched"), F.col("best.rule_label").alias("found"))
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, **mining) -> DataFrame:
     """page_id, host, path, rule, verdict, matched (the tokens of the mined rule that fired, in one string).
 
-    labelled: url, blocked. Equal URLs are matched once.
+    labelled: url, blocked. Equal sets of tokens are matched once.
     """
     parts = lambda df: df.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("tokens", tokens_of(F.col("host"), F.col("path")))
-    mined = mine_rules(parts(labelled).select("tokens", "blocked"), **mining)
-    tokens = parts(pages.select("url")).select(F.array_join(F.array_sort("tokens"), " ").alias("_row"), "tokens").dropDuplicates(["_row"])
-    judged = match_rules(tokens, mined).where("matched is not null").select("_row", "matched")
-    rows = parts(pages.select(F.col("page_id").cast("long").alias("page_id"), "url")).withColumn("_row", F.array_join(F.array_sort("tokens"), " "))
+    row = F.array_join(F.array_sort("tokens"), " ").alias("_row")
+    mined = materialize(mine_rules(parts(labelled).select("tokens", "blocked"), **mining), "mined-rules")
+    judged = materialize(match_rules(parts(pages.select("url")).select(row, "tokens").dropDuplicates(["_row"]), mined), "judged-urls")
+    judged = F.broadcast(judged) if judged.count() <= BROADCAST_RULES else judged
+    rows = parts(pages.select(F.col("page_id").cast("long").alias("page_id"), "url")).withColumn("_row", row)
     fit = explicit_rule(F.col("host"), F.col("path"), rules)
-    return rows.join(judged, "_row", "left").select(
-        "page_id", "host", "path", fit["rule"].alias("rule"),
-        F.coalesce(fit["verdict"], F.when(F.col("matched").isNotNull(), "block").otherwise("allow")).alias("verdict"), F.array_join("matched", " ").alias("matched"),
-    )
+    return rows.join(judged, "_row", "left").select("page_id", "host", "path", fit["rule"].alias("rule"), F.coalesce(fit["verdict"], "found", F.lit("allow")).alias("verdict"), "matched")
 
 
 def oracle_sql(rules=RULES) -> str:
@@ -111,12 +125,14 @@ def oracle_sql(rules=RULES) -> str:
         f"u as (select *, list_distinct(list_concat({words.format(c='host', m='h:')}, {words.format(c='path', m='p:')})) as tokens from p), "
         "b as (select row_number() over () as r, tokens, toxic = 1 as blocked from u join labels on doc_id = page_id where toxic is not null), "
         f"n as (select count(*) as n, count(*) filter (where blocked) as nb, ceil({MIN_SUPPORT} * count(*)) as least from b), "
-        "i as (select r, blocked, unnest(tokens) as t from b), "
-        "s as (select [a.t] as k, a.blocked from i a union all select [a.t, b.t], a.blocked from i a join i b on a.r = b.r and a.t < b.t "
-        "union all select [a.t, b.t, c.t], a.blocked from i a join i b on a.r = b.r and a.t < b.t join i c on c.r = b.r and b.t < c.t), "
+        "i as (select t from (select unnest(tokens) as t from b), n group by t having count(*) >= any_value(least)), "
+        "g as (select r, blocked, list_sort(list(t)) as ts from (select r, blocked, unnest(tokens) as t from b) join i using (t) group by r, blocked), "
+        "s as (select blocked, list_filter(ts, lambda t, j: (m >> (j - 1)) & 1 = 1) as k from (select blocked, ts, unnest(range(1, (1 << len(ts))::bigint)) as m from g)), "
         "f as (select k, count(*) as c, count(*) filter (where blocked) as cb from s group by k), "
-        f"m as (select k, cb / c as confidence from f, n where cb >= least and cb / c >= {MIN_CONFIDENCE} and (cb / c) / (nb / n) >= {MIN_LIFT}), "
-        "kept as (select * from m where not exists (select 1 from m o where len(o.k) < len(m.k) and list_has_all(m.k, o.k) and o.confidence >= m.confidence)), "
-        "hit as (select tokens, arg_max(array_to_string(k, ' '), (confidence, len(k), array_to_string(k, ' '))) as matched from (select distinct tokens from u) t join kept on list_has_all(t.tokens, k) group by tokens) "
-        f"select page_id, host, path, {case(1)} as rule, coalesce({case(2)}, case when matched is not null then 'block' else 'allow' end) as verdict, matched from u left join hit using (tokens)"
+        "l as (select k, 'block' as label, c, cb as hits, nb / n as base, least from f, n union all select k, 'allow', c, c - cb, (n - nb) / n, least from f, n), "
+        f"m as (select * from (select k, label, base, (hits + {float(PRIOR)} * base) / (c + {float(PRIOR)}) as sure from l where hits >= least and hits / c >= {min(0.5, MIN_CONFIDENCE)}) "
+        f"where sure >= {MIN_CONFIDENCE} and 1.0 - base >= (1.0 - sure) * {MIN_CONVICTION}), "
+        "kept as (select * from m where not exists (select 1 from m o where len(o.k) < len(m.k) and o.label = m.label and list_has_all(m.k, o.k) and o.sure >= m.sure)), "
+        "hit as (select tokens, arg_max(array_to_string(k, ' '), (sure, len(k), array_to_string(k, ' '))) as matched, arg_max(label, (sure, len(k), array_to_string(k, ' '))) as found from (select distinct tokens from u) t join kept on list_has_all(t.tokens, k) group by tokens) "
+        f"select page_id, host, path, {case(1)} as rule, coalesce({case(2)}, found, 'allow') as verdict, matched from u left join hit using (tokens)"
     )
