@@ -122,13 +122,26 @@ def repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("batch", [suffix_dedup.BATCH, 500])
-def test_repeats(docs, texts, batch, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
-    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.remove_repeats(docs).collect()}
+@pytest.mark.parametrize("how", [{}, {"batch": 500}, {"bits": (2, 64)}, {"hot": True}])
+def test_repeats(docs, texts, how, monkeypatch):
+    """The whole way; in small batches; with region hashes that meet by chance at first; with every anchor a hot one."""
+    how = dict(how)
+    if how.pop("hot", False):
+        monkeypatch.setattr(suffix_dedup, "HOT_REGIONS", 2)
+        monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+        assert len(suffix_dedup._hot_anchors(suffix_dedup._documents(docs), 0)[0]) > 20
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.remove_repeats(docs, **how).collect()}
     assert got == repeats(texts)
 
 
+def test_repeats_ids(spark):
+    """Rows of a null id, or of an id that stands for several texts, keep all bytes and take none from others."""
+    rows = [(None, PASSAGE, None), (3, PASSAGE + "x", "en"), (3, PASSAGE + "y", "en"), (5, PASSAGE, "en"), (5, PASSAGE, "en"), (7, "a" + PASSAGE, "en")]
+    got = sorted(((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()))
+    n = len(PASSAGE)
+    assert got == [(0, n, 0), (3, n + 1, 0), (3, n + 1, 0), (5, n, 0), (5, n, 0), (7, n + 1, n)]
+
+
 def test_repeated_rows(docs, texts):
     """Every row twice: the results are those of the rows once, twice."""
     twice = docs.union(docs).repartition(5)
@@ -436,12 +449,82 @@ def test_main_text_joined_wrappers(spark, sf_dir, monkeypatch):
     assert sorted(map(tuple, html_extract.main_text(pages).collect())) == one and all(t[3] > 0 for t in one)
 
 
+def test_main_text_by_wrapper(spark):
+    """Without telling tags and names the varying slots of a host's pages tell the article, also on pages where it is short."""
+    rows, want = [], {}
+    for i in range(9):
+        menu = "<div><ul>" + "".join(f"<li><a href=/{k}>Section {k} of {i if k == 3 else 'all'}</a></li>" for k in range(6)) + "</ul></div>"
+        head, body = f"Head {i}", [f"Story {i} part {k} tells a good deal" for k in range(3 if i else 0)]
+        article = f"<div class=c1><h2>{head}</h2>" + "".join(f"<p>{b}</p>" for b in body) + "<div class=q>Read on</div></div>"
+        page = f"<body><div class=top>The Paper</div>{menu}{article}<div class=z9>Weather {i}: rain and some wind today, {i} degrees</div><div>Imprint</div></body>"
+        rows.append((i, f"http://Host.example/{i}", page))
+        want[i] = " ".join([head, *body])
+    pages = spark.createDataFrame([*rows, rows[3]], "page_id long, url string, html string").repartition(4)
+    got = html_extract.main_text(pages).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and len(got) == 10
+    none = spark.createDataFrame([], "host string, wrapper string")
+    alone = {r["page_id"]: r["text"] for r in html_extract.main_text(pages, none).collect()}
+    assert "Weather" in alone[0] and alone[3] != want[3]  # the wrapper decides
+
+
+def test_main_text_several_articles(spark):
+    rows = [(i, f"http://h/{i}", "<body><div>menu</div><main>" + "".join(f"<article><h2>Item {i} {k}</h2><p>Its text {i} {k} is here</p><section id=related-work>Work {i} {k}</section></article>" for k in range(4)) + f"</main><div>last {i}</div>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(f"Item {i} {k} Its text {i} {k} is here Work {i} {k}" for k in range(4)) for i in range(6)}
+
+
+def test_main_text_odd_markup(spark):
+    odd = ["<div>" * 10000 + "deep text", "".join(f"<div id=c{k}>block {k}</div>" for k in range(10000)), "<a " * 30000, '<p title="x>y">quoted</p><a "', "a < b <p>c</p> &lt;d&gt; &#233; <!-- open", "</div></p>" * 20000 + "end", "<script>never closed"]
+    rows = [(i, f"http://odd.example/{i % 2}", t) for i, t in enumerate(odd * 2)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "deep text" and got[1] == " ".join(f"block {k}" for k in range(10000)) and got[2].startswith("<a") and got[3] == 'quoted <a "'
+    assert got[4] == "a < b c <d> é" and got[5] == "end" and got[6] == ""
+
+
 def test_tree_matching():
-    tree = lambda x: html_extract.Node(x[0], 1, 0, [tree(c) for c in x[1:]])
+    """Simple tree matching against its quadratic table, on random trees."""
+    def tree(x):
+        out = html_extract.Node(x[0])
+        out.children = [tree(c) for c in x[1:]]
+        return out
+
+    def plain(a, b):
+        if a.key != b.key:
+            return 0
+        table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children, 1):
+            for j, y in enumerate(b.children, 1):
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + plain(x, y))
+        return 1 + table[-1][-1]
+
+    def matched(a, b):
+        table = {}
+        html_extract._shaped(a, table)
+        html_extract._shaped(b, table)
+        return html_extract.match(a, b, {})
+
     a, b = tree(["r", ["a", ["x"], ["y"]], ["b"], ["c"]]), tree(["r", ["a", ["y"]], ["c"], ["d"]])
-    assert html_extract.match(a, b, {}) == 4
+    assert matched(a, b) == 4 and len(html_extract.aligned(a, b)) == 4
     html_extract.merge(a, b)
     assert [c.key for c in a.children] == ["a", "b", "c", "d"] and a.children[0].pages == 2
+    again = html_extract.Node.load(a.dump())
+    assert again.dump() == a.dump()
+    rng = np.random.default_rng(9)
+    grown = lambda depth: ["abc"[rng.integers(3)], *[grown(depth - 1) for _ in range(rng.integers(0, 5) if depth else 0)]]
+    for _ in range(300):
+        a, b = tree(["r", *grown(3)[1:]]), tree(["r", *grown(3)[1:]])
+        assert matched(a, b) == plain(a, b)
+        assert len(html_extract.aligned(a, b)) == plain(a, b)
+
+
+def test_large_wrapper_forgets_rare_nodes(monkeypatch):
+    monkeypatch.setattr(html_extract, "MOST_NODES", 60)
+    folded = html_extract.Induction()
+    for i in range(40):
+        folded.add("h", html_extract.Page(f"<div class=main><p>text {i}</p></div>" + "".join(f"<div id=u{i}x{k}>{k}</div>" for k in range(10))))
+    root = folded.roots["h"]
+    assert len(root.below()) <= 80 and root.pages == 40 and root.children[0].pages == 40
+    assert html_extract.extract(html_extract.Page("<div class=main><p>text 3</p></div><div id=u3x1>1</div>"), root) == "text 3"
 
 
 def parts(url):
@@ -465,9 +548,22 @@ def test_url_rules(spark):
 
 
 def test_url_rules_are_pruned(spark):
-    rows = [(["a", "b", "n"], True)] * 10 + [(["b", "c"], False)] * 20 + [(["a"], True)] * 5
-    found = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_support=0.1).collect()
-    assert sorted(r["tokens"] for r in found) == [["a"], ["n"]]
+    """Both verdicts are mined; superfluous, rare and unsure rules go; a rule may need four tokens."""
+    rows = [(["a", "b", "n"], True)] * 10 + [(["b", "c"], False)] * 40 + [(["a"], True)] * 5 + [(["rare"], True)]
+    four = [["p", "q", "r", "s"], ["p", "q", "r"], ["p", "q", "s"], ["p", "r", "s"], ["q", "r", "s"]]
+    rows += [(t, i == 0) for i, t in enumerate(four) for _ in range(30)]
+    found = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_support=0.004).collect()
+    assert sorted((r["tokens"], r["label"]) for r in found if r["label"] == "block") == [(["a"], "block"), (["n"], "block"), (["p", "q", "r", "s"], "block")]
+    assert (["c"], "allow") in [(r["tokens"], r["label"]) for r in found]
+    n, bad = len(rows), 46
+    assert {tuple(r["tokens"]): r["sure"] for r in found}[("n",)] == pytest.approx((10 + 4 * bad / n) / 14)
+
+
+def test_empty_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op1_url_rules", "op7_main_text"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
 
 
 @pytest.mark.parametrize("name", ["op5_minhash", "op6_language", "op8_exact", "op9_pii", "op10_repeats", "op2_packing", "op3_media_columns", "op4_sentencepiece"])
