@@ -19,11 +19,13 @@ decoding gives the text back exactly. Null and empty texts have no ids.
 
 from __future__ import annotations
 
+import array
 import functools
+import itertools
 import re
+import sys
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +69,8 @@ class Codec:
                 self.inner_marks |= MARK in piece.lstrip(MARK)
         self.automaton.make_automaton()
         self.byte_score = worst - BYTE_PENALTY
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.path)
+        self.mark_ids = [self.byte_ids[b] for b in MARK.encode()]
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -77,8 +80,8 @@ class Codec:
         kind = lambda i: "byte" if sp.IsByte(i) else "other" if sp.IsControl(i) or sp.IsUnknown(i) or sp.IsUnused(i) else "normal"
         return cls([(sp.IdToPiece(i), sp.GetScore(i), kind(i)) for i in range(sp.GetPieceSize())], bpe=_is_bpe(sp))
 
-    def best_path(self, word: str, literal: frozenset[int] = frozenset()) -> tuple[int, ...]:
-        """ids of the best segmentation. literal: positions of word marks that stand for themselves."""
+    def best_path(self, word: str, literal: list[int] | None = None) -> tuple[int, ...]:
+        """ids of the best segmentation. literal: how many word marks that stand for themselves come before each position."""
         n = len(word)
         score: list[float | None] = [0.0] + [None] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
@@ -98,7 +101,7 @@ class Codec:
             if end - 1 > done:
                 settle(end - 1)
             start = end - length
-            if literal and any(start <= p < end for p in literal):
+            if literal and literal[start] < literal[end]:
                 continue
             total = score[start] + gain
             if score[end] is None or total > score[end] or total == score[end] and start < back[end][0]:
@@ -136,8 +139,8 @@ class Codec:
             known = self.pairs[at] = self.merge("".join(want)) == want
         return known
 
-    def merged_path(self, word: str, literal: frozenset[int] = frozenset()) -> tuple[int, ...]:
-        """ids that BPE's merges give. literal: positions of word marks that stand for themselves."""
+    def merged_path(self, word: str, literal: list[int] | None = None) -> tuple[int, ...]:
+        """ids that BPE's merges give. literal: how many word marks that stand for themselves come before each position."""
         n = len(word)
         lasts: list[int] = [UNKNOWN] * (n + 1)
         starts: list[int] = [-1, *range(n)]  # of the last piece of each prefix; a character of its own unless a piece is found
@@ -145,7 +148,7 @@ class Codec:
         for end, (length, _, piece) in self.automaton.iter(word):
             end += 1
             start = end - length
-            if end == found or literal and any(start <= p < end for p in literal):
+            if end == found or literal and literal[start] < literal[end]:
                 continue
             fits = pairs.get((lasts[start], piece))
             if fits or fits is None and self.beside(lasts[start], piece):
@@ -164,24 +167,37 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        if MARK in text or self.inner_marks:
-            marked = MARK + text.replace(" ", MARK)
-            return list(self.path(marked, frozenset(i + 1 for i, c in enumerate(text) if c == MARK)))
-        known, out = self.known, []
-        for word in _WORDS.findall(MARK + text.replace(" ", MARK)):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.path(word)
-                if len(word) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
-            out += ids
+        if self.inner_marks:
+            before = [0, 0, *itertools.accumulate(c == MARK for c in text)]
+            return list(self.path(MARK + text.replace(" ", MARK), before))
+        first, *rest = text.split(MARK)
+        out = self._words(MARK + first.replace(" ", MARK))
+        for part in rest:  # nothing goes across a literal word mark
+            out += self.mark_ids
+            out += self._words(part.replace(" ", MARK))
         return out
 
+    def _words(self, marked: str) -> list[int]:
+        return list(itertools.chain.from_iterable(map(self.known.__getitem__, _WORDS.findall(marked))))
+
     def decode(self, ids: list[int]) -> str:
-        text = self.text
-        return b"".join([text[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+
+class Known(dict):
+    """Words and their ids; a word that isn't there is segmented, and remembered if it is short."""
+
+    def __init__(self, path):
+        super().__init__()
+        self.path = path
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.path(word)
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 def _is_bpe(sp) -> bool:
@@ -196,6 +212,14 @@ def codec(path: str) -> Codec:
     return Codec.load(path)
 
 
+def _little(ids: list[int]) -> bytes:
+    """The ids as little-endian unsigned 32-bit numbers."""
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, text_bytes, round_trip (the ids decode to the text), and the ids if asked for."""
 
@@ -207,7 +231,7 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
             arrays = {
                 "doc_id": batch.column(0),
                 "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(_little(x)) for x in ids], pa.int64()),
                 "text_bytes": pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
                 "round_trip": pa.array([code.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
             }
