@@ -3,9 +3,9 @@
 HTML is parsed into an ordered array of structs (position, kind text or media, text, digest, caption): runs of
 text between references are text elements, an ``img``, ``audio``, ``video`` or ``source`` element is a media
 element whose ``src`` names a digest (``sha256:...``); its caption is the ``figcaption`` of its figure, else its
-``alt`` or ``title``. Payloads are stored losslessly as 8-bit greyscale PNG images of 576 columns, keyed by the
-payload's digest, and are joined back by digest, so that positions and captions stay aligned with them. The
-catalog holds a digest once however many documents refer to it.
+``alt`` or ``title``. Payloads are stored losslessly as 8-bit greyscale PNG images of 576 columns in a written table,
+keyed by the payload's digest; what is computed of them is read back from there and joined by digest, so that positions
+and captions stay aligned with it. The catalog holds a digest once however many documents refer to it.
 
 Null HTML gives an empty sequence, a null text an empty payload. A reference without a stored payload keeps its
 place with null features. Repeated rows are kept each; extra columns are ignored.
@@ -14,23 +14,26 @@ place with null features. Repeated rows are kept each; extra columns are ignored
 from __future__ import annotations
 
 import hashlib
+import html as entities
+import re
 import struct
 import zlib
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, slices, text_or_empty
+from tallyspark.llm.common import discard, materialize, slices, text_or_empty
+from tallyspark.llm.html_extract import INLINE, RAW, tokens
 
 #: Samples in a row, and so the unit to which payloads are filled up with bytes 255.
 UNIT = 576
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ELEMENT = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 MEDIA_TAGS = frozenset({"img", "audio", "video", "source"})
-SILENT_TAGS = frozenset({"script", "style", "noscript", "template"})
+SILENT_TAGS = frozenset({"noscript", "template"})
+_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 
 
 def pad(data: bytes) -> bytes:
@@ -73,65 +76,57 @@ def decode_png(data: bytes) -> bytes:
     return lines[:, 1:].tobytes()
 
 
-class _Interleaver(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.items: list[dict] = []
-        self.words: list[str] = []
-        self.silent = 0
-        self.figure: list[int] | None = None
-        self.caption: list[str] | None = None
-
-    def flush(self) -> None:
-        text = " ".join("".join(self.words).split())
-        self.words = []
+def interleave(html: str | None) -> list[dict]:
+    """The sequence of one page, in time proportional to its length."""
+    items: list[dict] = []
+    words: list[str] = []
+    figures: list[list] = []  # media and caption of the open figures
+    caption: list[str] | None = None
+    silent = 0
+
+    def flush() -> None:
+        text = " ".join("".join(words).split())
+        words.clear()
         if text:
-            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
-
-    def handle_starttag(self, tag, attrs):
-        at = dict(attrs)
-        if tag in SILENT_TAGS:
-            self.silent += 1
-        elif tag in MEDIA_TAGS and at.get("src"):
-            self.flush()
-            self.items.append({"kind": "media", "text": None, "digest": at["src"].removeprefix("sha256:"), "caption": at.get("alt") or at.get("title")})
-            if self.figure is not None:
-                self.figure.append(len(self.items) - 1)
-        elif tag == "figure":
-            self.flush()
-            self.figure = []
-        elif tag == "figcaption":
-            self.caption = []
-        else:
-            self.words.append(" ")
+            items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
-    handle_startendtag = handle_starttag
+    def settle() -> None:
+        members, told = figures.pop()
+        for i in members:
+            items[i]["caption"] = told or items[i]["caption"]
 
-    def handle_endtag(self, tag):
+    for text, closes, tag, attrs in tokens(html or ""):
+        if text and not silent:
+            (words if caption is None else caption).append(entities.unescape(text))
         if tag in SILENT_TAGS:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for i in self.figure or []:
-                self.items[i]["caption"] = text or self.items[i]["caption"]
-            self.caption = None
+            silent = max(0, silent - 1) if closes else silent + 1
+        elif tag in MEDIA_TAGS:
+            at = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attrs)}
+            if not closes and not silent and at.get("src"):
+                flush()
+                items.append({"kind": "media", "text": None, "digest": at["src"].removeprefix("sha256:"), "caption": at.get("alt") or at.get("title")})
+                if figures:
+                    figures[-1][0].append(len(items) - 1)
         elif tag == "figure":
-            self.figure = None
-        else:
-            self.words.append(" ")
-
-    def handle_data(self, data):
-        if not self.silent:
-            (self.words if self.caption is None else self.caption).append(data)
-
-
-def interleave(html: str | None) -> list[dict]:
-    """The sequence of one page."""
-    parser = _Interleaver()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return [{"position": i} | item for i, item in enumerate(parser.items)]
+            flush()
+            if not closes:
+                figures.append([[], ""])
+            elif figures:
+                settle()
+        elif tag == "figcaption":
+            if closes and caption is not None:
+                told = " ".join("".join(caption).split())
+                if figures:
+                    figures[-1][1] = told
+            caption = None if closes else []
+        elif tag and tag not in INLINE and tag not in RAW:
+            words.append(" ")
+    if caption:
+        words += caption
+    flush()
+    while figures:
+        settle()
+    return [{"position": i} | item for i, item in enumerate(items)]
 
 
 def _sequences(batches):
@@ -203,9 +198,11 @@ def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Every document's text as the one payload of a page that refers to it, resolved by digest."""
-    media = materialize(catalog(read_media(store_texts(docs))), "media-catalog")
-    digest = F.sha2(text_or_empty(), 256)
-    html = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('" alt=""><figcaption>payload of '), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
+    stored = materialize(store_texts(docs), "media")
+    media = materialize(catalog(read_media(stored)), "media-catalog")
+    discard(stored)
+    size = F.octet_length(text_or_empty()).cast("string")
+    html = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(text_or_empty(), 256), F.lit('" alt=""><figcaption>text of '), size, F.lit(" bytes</figcaption></figure>"))
     pages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), html.alias("html"))
     found = resolve(sequences(pages), media)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

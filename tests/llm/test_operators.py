@@ -292,7 +292,7 @@ def test_media(docs, texts):
     for i, t in texts.items():
         payload, r = media.pad(t.encode()), got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(t.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert r["caption"] == f"payload of {i}" and r["media_sha256"] == hashlib.sha256(media.encode_png(payload)).hexdigest()
+        assert (r["position"], r["caption"]) == (0, f"text of {len(t.encode())} bytes") and r["media_sha256"] == hashlib.sha256(media.encode_png(payload)).hexdigest()
 
 
 def test_interleaving_keeps_order(spark):
@@ -306,6 +306,23 @@ def test_interleaving_keeps_order(spark):
         media.decode_png(b"nothing")
 
 
+def test_media_sequences(spark):
+    """Several media a page, some shared, one missing: captions and payloads stay with their places."""
+    texts = {k: f"payload {k} " * 50 for k in range(4)}
+    digest = {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
+    stored = media.materialize(media.store_texts(spark.createDataFrame([(t,) for t in [*texts.values(), texts[0]]], "text string")), "media")
+    figure = lambda k, before: f"<figure>{f'<figcaption>Cap {k}</figcaption>' if before else ''}<img src='sha256:{digest[k]}'>{'' if before else f'<figcaption>Cap {k}</figcaption>'}</figure>"
+    pages = [(1, f"<p>a</p>{figure(0, True)}<p>b &lt;</p>{figure(1, False)}<noscript><img src=x></noscript><video><source src='sha256:{digest[2]}' title='film'></video>"), (2, f"{figure(0, False)}tail<img src=gone>"), (3, None), (3, "<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out")]
+    frame = spark.createDataFrame(pages, "page_id long, html string")
+    seqs = media.sequences(frame, "page_id").collect()
+    assert [[e["text"] or e["digest"] for e in r["elements"]] for r in seqs][0] == ["a", digest[0], "b <", digest[1], digest[2]]
+    assert [(e["digest"], e["caption"]) for e in seqs[3]["elements"] if e["digest"]] == [("a", None), ("b", "in")]
+    found = media.resolve(media.sequences(frame, "page_id"), media.catalog(media.read_media(stored))).collect()
+    got = {(r["doc_id"], r["position"]): (r["caption"], r["n_bytes"], r["payload_sha256"]) for r in found}
+    sha = lambda k: hashlib.sha256(media.pad(texts[k].encode())).hexdigest()
+    assert {k: got[k] for k in ((1, 1), (1, 3), (1, 4), (2, 0), (2, 2))} == {(1, 1): ("Cap 0", 500, sha(0)), (1, 3): ("Cap 1", 500, sha(1)), (1, 4): ("film", 500, sha(2)), (2, 0): ("Cap 0", 500, sha(0)), (2, 2): (None, None, None)}
+
+
 def test_sentencepiece(docs, texts):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     encoded = sp_codec.encode(docs, path)
@@ -353,6 +370,16 @@ def test_sentencepiece_ids(docs, texts):
     assert code.encode("▁".join(parts)) == [*sp.encode(parts[0]), *(code.byte_ids[b] for b in "▁".encode()), *code.merged_path(parts[1].replace(" ", "▁"))]
 
 
+def test_sentencepiece_literal_marks():
+    """Many literal word marks take time in proportion to their number."""
+    import time
+
+    code = sp_codec.Codec.load(queries.tokenizer_path("piece_bpe_32k.model"))
+    text = "a ▁▁b " * 50_000
+    began = time.time()
+    assert code.decode(code.encode(text)) == text and time.time() - began < 20
+
+
 def test_language(docs, texts):
     rows = lang_id.identify(docs).collect()
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
