@@ -8,9 +8,12 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.functions.folding import nfkc
+
 #: Scale words of unit captions, and their factors.
 SCALES = {"thousand": 1_000, "lakh": 100_000, "million": 1_000_000, "crore": 10_000_000, "billion": 1_000_000_000}
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+HAN_DIGITS, ARABIC = "〇零一二三四五六七八九", "00123456789"
 
 
 def parse_number(c: Column, thousands: str = ",", decimal: str = ".", paren: bool = True) -> Column:
@@ -35,14 +38,29 @@ def scale_of(c: Column) -> Column:
     return F.coalesce(best["factor"], F.lit(1)).cast("long")
 
 
+def han_number(c: Column) -> Column:
+    """A number in Han numerals: 二零二三 is 2023, 十二 is 12, 三十一 is 31."""
+    digits = lambda x: F.translate(x, HAN_DIGITS, ARABIC).try_cast("int")
+    tens, ones = F.substring_index(c, "十", 1), F.substring_index(c, "十", -1)
+    composed = F.when(tens == "", 1).otherwise(F.coalesce(digits(tens), F.lit(1))) * 10 + F.when(ones == "", 0).otherwise(F.coalesce(digits(ones), F.lit(0)))
+    return F.when(c == "", None).when(c.contains("十"), composed).otherwise(digits(c))
+
+
 def period_date(c: Column) -> Column:
-    """struct(y, m, d) of a heading such as "31 December 2024"; parts that aren't named are 0."""
-    low = F.lower(c)
-    month = F.lit(0)
-    for i, m in enumerate(MONTHS, 1):
-        month = F.when(low.contains(m), i).otherwise(month)
-    year = F.coalesce(F.nullif(F.regexp_extract(low, r"((?:19|20)[0-9]{2})", 1), F.lit("")).cast("int"), F.lit(0))
-    day = F.coalesce(F.nullif(F.regexp_extract(low, r"(?:^|[^0-9])([0-9]{1,2})(?:st|nd|rd|th)?\s+[a-z]", 1), F.lit("")).cast("int"), F.lit(0))
+    """struct(y, m, d) of a heading in words, in Han numerals or in figures; parts that aren't named are 0, null without a year."""
+    t = nfkc(c)
+    low, han = F.lower(t), "[〇零一二三四五六七八九十]"
+    got = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
+    year = F.coalesce(got(r"((?:19|20)[0-9]{2})").cast("int"), han_number(got(f"({han}{{2,4}})年")), F.lit(0))
+    month = F.lit(None).cast("int")
+    for i, name in reversed(list(enumerate(MONTHS, 1))):
+        month = F.when(low.contains(name), i).otherwise(month)
+    month = F.coalesce(han_number(got(f"({han}{{1,3}})月")), month, got(r"([0-9]{1,2})\s*月").cast("int"), F.lit(0))
+    day = F.coalesce(han_number(got(f"({han}{{1,3}})日")), got(r"([0-9]{1,2})\s*日").cast("int"), got(r"(?i)\b([0-9]{1,2})(?:st|nd|rd|th)?\s+(?=[a-z])").cast("int"), F.lit(0))
+    part = lambda k: F.nullif(F.regexp_extract(t, r"\b([0-9]{1,4})[./-]([0-9]{1,2})[./-]([0-9]{1,4})\b", k), F.lit("")).cast("int")
+    figures = (month == 0) & part(1).isNotNull()
+    day = F.when(figures, F.when(part(1) > 31, part(3)).otherwise(part(1))).otherwise(day)
+    month = F.when(figures, part(2)).otherwise(month)
     return F.when(year > 0, F.struct(year.alias("y"), month.alias("m"), day.alias("d")))
 
 

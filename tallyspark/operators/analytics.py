@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +42,39 @@ def cash_conversion_cycle(ratio_rows: DataFrame) -> DataFrame:
     return ratio_rows.groupBy("doc_id", "basis", "period_label").agg((day("dso") + day("dio") - day("dpo")).alias("ccc"))
 
 
-def credit_stance(ratio_rows: DataFrame, bounds) -> DataFrame:
-    """The stance of a document's slot: strong 1, adequate 0, weak -1 a category, averaged over those that are known."""
-    score = F.lit(None).cast("int")
-    for _, key, strong, adequate, more in bounds:
-        r = F.col("ratio")
-        good, fair = (r >= strong, r >= adequate) if more else (r <= strong, r <= adequate)
-        score = F.when((F.col("ratio_key") == key) & r.isNotNull(), F.when(good, 1).when(fair, 0).otherwise(-1)).otherwise(score)
-    scored = ratio_rows.withColumn("score", score).groupBy("doc_id", "basis", "period_label").agg(F.count("score").alias("categories"), F.avg("score").alias("average"))
-    stance = F.when(F.col("categories") == 0, "insufficient").when(F.col("average") >= 0.5, "strong").when(F.col("average") >= -0.25, "adequate").otherwise("weak")
-    return scored.withColumn("stance", stance)
+def credit_factors(ratio_rows: DataFrame, factors) -> DataFrame:
+    """doc_id, basis, period_label, category, ratio_key, ratio, tone (1 strong, 0 adequate, -1 weak): of each category the first ratio that is known.
+
+    factors: category to (ratio, whether more is better, strong bound, weak bound) in order of preference. Ratios are judged as shown, to 2 places.
+    """
+    ranked = [(c, i, *f) for c, fs in factors.items() for i, f in enumerate(fs)]
+    table = ratio_rows.sparkSession.createDataFrame(ranked, "category string, rank int, ratio_key string, more boolean, strong double, weak double")
+    r = F.round("ratio", 2)
+    up = F.when(r >= F.col("strong"), 1).when(r < F.col("weak"), -1).otherwise(0)
+    down = F.when(r <= F.col("strong"), 1).when(r > F.col("weak"), -1).otherwise(0)
+    rows = ratio_rows.where("ratio is not null").join(F.broadcast(table), "ratio_key").withColumn("tone", F.when(F.col("more"), up).otherwise(down))
+    first = rows.groupBy("doc_id", "basis", "period_label", "category").agg(F.min_by(F.struct("ratio_key", r.alias("ratio"), "tone"), "rank").alias("f"))
+    return first.select("doc_id", "basis", "period_label", "category", "f.ratio_key", "f.ratio", "f.tone")
+
+
+def credit_stance(slots: DataFrame, factors: DataFrame, signals: DataFrame | None = None, weights: dict[str, int] | None = None) -> DataFrame:
+    """slots (doc_id, basis, period_label) with factors, supportive, constraining, flags and stance.
+
+    signals: doc_id, family of disclosures found. Doubt of a going concern makes a view weak; a qualified audit, or signals of weight 3 and more, make a strong one adequate.
+    """
+    keys = ["doc_id", "basis", "period_label"]
+    sums = factors.groupBy(*keys).agg(F.count("*").alias("factors"), F.avg("tone").alias("average"), F.count_if(F.col("tone") > 0).alias("supportive"), F.count_if(F.col("tone") < 0).alias("constraining"))
+    rows = slots.join(sums, keys, "left").na.fill(0, ["factors", "supportive", "constraining"])
+    if signals is None:
+        rows = rows.withColumn("flags", F.array().cast("array<string>"))
+    else:
+        known = signals.where(F.col("family").isin(*weights)).groupBy("doc_id").agg(F.array_sort(F.collect_set("family")).alias("flags"))
+        rows = rows.join(known, "doc_id", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
+    penalty = functools.reduce(lambda a, b: a + b, [F.array_contains("flags", k).cast("int") * w for k, w in (weights or {"": 0}).items()])
+    plain = F.when(F.col("average") >= 0.5, "strong").when(F.col("average") >= -0.25, "adequate").otherwise("weak")
+    capped = F.array_contains("flags", "auditor_qualification") | (penalty >= 3)
+    stance = F.when(F.col("factors") == 0, "insufficient").when(F.array_contains("flags", "going_concern"), "weak").when(capped & (plain == "strong"), "adequate").otherwise(plain)
+    return rows.select(*keys, "factors", "supportive", "constraining", F.array_join("flags", ",").alias("flags"), stance.alias("stance"))
 
 
 def trends(current_prior: DataFrame) -> DataFrame:

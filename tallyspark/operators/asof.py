@@ -24,7 +24,8 @@ def resolve_rates(rates: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def digest(*cols: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
+    """SHA-256 of the values as a JSON object, so that no two lists of values are written alike."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(f"v{i:03d}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"}), 256)
 
 
 def judgement_status(findings: DataFrame, judgements: DataFrame) -> DataFrame:

@@ -51,13 +51,12 @@ def carry_forward(rows: DataFrame, keys: list[str], order: list[str], value: str
 
 
 def gap_clusters(points: DataFrame, keys: list[str], x: str, gap: float) -> DataFrame:
-    """Islands along x: a gap wider than ``gap`` starts a cluster; first, last, members and upper median of each."""
+    """Islands along x: a gap wider than ``gap`` starts a cluster; first, last, members and median (the mean of the middle two) of each."""
     w = Window.partitionBy(*keys).orderBy(x)
     new = F.when(F.col(x) - F.lag(x).over(w) > gap, 1).otherwise(0)
     marked = points.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sorted_xs = F.array_sort(F.collect_list(x))
     return marked.groupBy(*keys, "cluster").agg(
-        F.min(x).alias("first"), F.max(x).alias("last"), F.count("*").alias("members"), F.element_at(sorted_xs, F.floor(F.size(sorted_xs) / 2).cast("int") + 1).alias("middle")
+        F.min(x).alias("first"), F.max(x).alias("last"), F.count("*").alias("members"), F.percentile(x, 0.5).alias("middle")
     )
 
 

@@ -18,9 +18,8 @@ def value_bands(words: DataFrame, keys: list[str], x: str, gap: float = 0.035, l
     w = Window.partitionBy(*keys).orderBy(x)
     rows = words.where(F.col("text").rlike(MONEY)).withColumn("_new", F.when(F.col(x) - F.lag(x).over(w) > gap, 1).otherwise(0))
     rows = rows.withColumn("_c", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    xs = F.array_sort(F.collect_list(x))
     bare = F.count_if(F.col("text").rlike(BARE_NOTE))
-    found = rows.groupBy(*keys, "_c").agg(F.element_at(xs, F.floor(F.size(xs) / 2).cast("int") + 1).alias("middle"), F.count("*").alias("cells"), F.count_distinct("row").alias("_rows"), bare.alias("_bare"))
+    found = rows.groupBy(*keys, "_c").agg(F.percentile(x, 0.5).alias("middle"), F.count("*").alias("cells"), F.count_distinct("row").alias("_rows"), bare.alias("_bare"))
     found = found.where((F.col("_rows") >= least) & ~(F.col("_bare") >= F.greatest(F.lit(2.0), F.col("cells") * 0.8)))
     page = Window.partitionBy(*keys)
     return found.withColumn("_n", F.count("*").over(page)).where("_n >= 2").withColumn("band", F.row_number().over(page.orderBy("middle"))).select(*keys, "band", "middle", "cells")

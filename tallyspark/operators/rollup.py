@@ -41,6 +41,16 @@ def evaluate(grid: DataFrame, rollups, overrides: dict[str, Column] | None = Non
     return grid
 
 
+def expressions(have: dict[str, Column], rollups) -> dict[str, Column]:
+    """``have`` with an expression for each rollup, over those of its children."""
+    out, (order, cyclic) = dict(have), in_order(rollups)
+    for key, op, children in order:
+        parts = [out[c] for c in children if c in out and c not in cyclic]
+        if parts:
+            out[key] = F.coalesce(combined(op, parts), out[key]) if key in out else combined(op, parts)
+    return out
+
+
 def long_form(grid: DataFrame, keys, name: str = "figure") -> DataFrame:
     """doc_id, basis, period_label, canonical_key, figure of the keys that have one."""
     items = F.array(*[F.struct(F.lit(k).alias("canonical_key"), F.col(k).alias(name)) for k in keys])

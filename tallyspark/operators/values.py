@@ -21,24 +21,40 @@ def mark_summable(facts: DataFrame, amount: str = "value") -> DataFrame:
     return facts.withColumn("keep", F.col(amount).isNotNull() & keep)
 
 
-def concept_values(marked: DataFrame, amount: str = "value") -> DataFrame:
-    """The figure of every cell: the sum of the rows that count, null if there are none."""
-    return marked.groupBy(*CELL).agg(F.sum(F.when(F.col("keep"), F.col(amount))).alias("figure"), F.count_if(~F.col("keep")).alias("duplicates"))
+def concept_figures(facts: DataFrame, amount: str = "value") -> DataFrame:
+    """The figure of every cell, and how many rows don't add to it: figure, duplicates, edited.
 
+    An edited row's figure (the first one's) replaces the printed ones; else the rows that count are summed (mark_summable() says which),
+    null if there are none. Three aggregations of one partitioning, without a sort. facts: place orders the rows of a document.
+    """
+    known = facts.where(F.col(amount).isNotNull()).withColumn("caption", caption_key(F.col("source_label")))
+    same = [*CELL, "caption", amount]
+    pages = known.repartition(*CELL).groupBy(*same, "page_index").agg(F.count("*").alias("n"), F.min("place").alias("at"), F.min(F.when(F.col("edited"), F.col("place"))).alias("edited_at"))
+    apart = F.sum(F.when(F.col("page_index").isNull(), F.col("n")))
+    first = F.min_by(F.struct("page_index", "n"), "at")
+    counted = F.when(first["page_index"].isNull(), apart).otherwise(first["n"] + F.coalesce(apart, F.lit(0)))
+    facts_once = pages.groupBy(*same).agg(counted.alias("counted"), F.sum("n").alias("n"), F.min("edited_at").alias("edited_at"))
+    typed = F.min_by(F.when(F.col("edited_at").isNotNull(), F.col(amount)), "edited_at")
+    total = F.sum(F.col(amount) * F.col("counted"))
+    return facts_once.groupBy(*CELL).agg(F.coalesce(typed, total).alias("figure"), F.sum(F.col("n") - F.col("counted")).alias("duplicates"), F.max(F.col("edited_at").isNotNull()).alias("edited"))
+
+
+def grid_of(figures: DataFrame, keys: tuple[str, ...], value: str = "figure") -> DataFrame:
+    """A row for each document, basis and period, a column for each concept."""
+    return figures.groupBy("doc_id", "basis", "period_label").agg(*[F.max(F.when(F.col("canonical_key") == k, F.col(value))).alias(k) for k in keys])
 
 
-def concept_grid(facts: DataFrame, keys: tuple[str, ...], value: str = "value") -> DataFrame:
-    """A row for each document, basis and period, a column for each concept: one shuffle, partly summed before."""
-    return facts.groupBy("doc_id", "basis", "period_label").agg(*[F.sum(F.when(F.col("canonical_key") == k, F.col(value))).alias(k) for k in keys])
+def concept_grid(facts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The figures of some concepts as a grid."""
+    return grid_of(concept_figures(facts.where(F.col("canonical_key").isin(*keys))), keys)
 
 
-def current_prior(facts: DataFrame, value: str = "value") -> DataFrame:
+def current_prior(figures: DataFrame, value: str = "figure") -> DataFrame:
     """Current and prior figures: a named period wins; columns count by place only if no value names a period."""
-    by = lambda name: F.sum(F.when(F.col("period_label") == name, F.col(value)))
+    by = lambda name: F.max(F.when(F.col("period_label") == name, F.col(value)))
     named = F.max(F.col("period_label").isin("current", "prior"))
-    place = lambda name: F.sum(F.when(F.col("period_label") == name, F.col(value)))
-    return facts.groupBy("doc_id", "canonical_key", "basis").agg(
-        F.when(named, by("current")).otherwise(place("col2")).alias("current"), F.when(named, by("prior")).otherwise(place("col3")).alias("prior")
+    return figures.groupBy("doc_id", "canonical_key", "basis").agg(
+        F.when(named, by("current")).otherwise(by("col2")).alias("current"), F.when(named, by("prior")).otherwise(by("col3")).alias("prior")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import numbers, text
 from tallyspark.operators import analytics, asof, checks, export, mapping, ordered, reconcile, rollup, values
 from tallyspark.plans import rules
-from tallyspark.sources.facts import BASIS_OF_STATUS, CONCEPT_OF_TYPE, PERIOD_OF_FLAG, facts, rates, table
+from tallyspark.sources.facts import BASIS_OF_STATUS, CONCEPT_OF_TYPE, PERIOD_OF_FLAG, PRINTED, facts, rates, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -20,14 +20,29 @@ def _case(col: str, options: dict) -> str:
     return f"case {col} " + " ".join(f"when '{k}' then '{v}'" for k, v in options.items()) + " end"
 
 
-_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+_ORDER = ", ".join(PRINTED)
 FACTS = (
+    "printed as (select *, unnest(case when l_linenumber = 1 and l_quantity >= 40 or l_linenumber = 2 and l_quantity >= 45 then [0, 1] else [0] end) as again, l_linenumber = 3 and l_quantity = 50 as edited from lineitem), "
     f"facts as (select o_custkey as doc_id, row_number() over (partition by o_custkey order by {_ORDER}) as ordinal, p_name as source_label, {_case('p_type', CONCEPT_OF_TYPE)} as canonical_key, "
-    f"{_case('l_linestatus', BASIS_OF_STATUS)} as basis, {_case('l_returnflag', PERIOD_OF_FLAG)} as period_label, l_suppkey % 10 as page_index, regexp_extract(p_brand, '[0-9]+') as note_number, "
-    "l_quantity as quantity, case when l_discount >= 0.095 then -cast(l_extendedprice as decimal(28,4)) else cast(l_extendedprice as decimal(28,4)) end as value "
-    "from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey)"
+    f"{_case('l_linestatus', BASIS_OF_STATUS)} as basis, {_case('l_returnflag', PERIOD_OF_FLAG)} as period_label, l_suppkey % 10 + case when l_linenumber = 1 then again else 0 end as page_index, regexp_extract(p_brand, '[0-9]+') as note_number, "
+    "l_quantity as quantity, edited, cast(case when l_discount >= 0.095 then -1 else 1 end * case when edited then 1000.5 else cast(l_extendedprice as decimal(28,4)) end as decimal(28,4)) as value "
+    "from printed join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey)"
 )
-_SUMS = ", ".join(f"cast(sum(value) filter (where canonical_key = '{k}') as double) as {k}" for k in rules.LEAVES)
+
+
+def _keep(amount: str) -> str:
+    return (
+        f"{FACTS}, marked as (select *, row_number() over w = 1 or page_index is null or first_value(page_index) over w = page_index as keep from facts "
+        f"window w as (partition by doc_id, canonical_key, basis, period_label, source_label, {amount} order by ordinal))"
+    )
+
+
+#: The figure of every cell: an edited row's, else the sum of the rows that count.
+FIGURES = (
+    f"{_keep('value')}, figures as (select doc_id, canonical_key, basis, period_label, case when bool_or(edited) then arg_min(value, ordinal) filter (where edited) else sum(value) filter (where keep) end as figure, "
+    "count(*) filter (where not keep) as duplicates, bool_or(edited) as edited from marked group by all)"
+)
+_LEAVES = ", ".join(f"max(figure) filter (where canonical_key = '{k}') as {k}" for k in rules.LEAVES)
 
 
 def _sum_sql(keys) -> str:
@@ -35,7 +50,7 @@ def _sum_sql(keys) -> str:
 
 
 GRID = (
-    f"{FACTS}, leaves as (select doc_id, basis, period_label, {_SUMS.replace('cast(', '').replace(' as double)', '')} from facts group by all), "
+    f"{FIGURES}, leaves as (select doc_id, basis, period_label, {_LEAVES} from figures group by all), "
     f"sums as (select *, {_sum_sql(rules.LEAVES[:3])} as {CA_T}, {_sum_sql(rules.LEAVES[3:])} as {CL_T} from leaves), "
     f"grid as (select *, case when coalesce({CA_T}, {CL_T}) is not null then coalesce({CA_T}, 0) - coalesce({CL_T}, 0) end as {NET} from sums)"
 )
@@ -64,35 +79,29 @@ def _double(df, *cols):
 # ---- facts and values ----------------------------------------------------------------------------------------------
 
 
-@query("facts_long", f"with {FACTS} select doc_id, ordinal, source_label, canonical_key, basis, period_label, page_index, note_number, quantity, cast(value as double) as value from facts")
+@query("facts_long", f"with {FACTS} select doc_id, ordinal, source_label, canonical_key, basis, period_label, page_index, note_number, quantity, edited, cast(value as double) as value from facts")
 def facts_long(spark, d):
-    return _double(facts(spark, d, ordered=True), "value")
+    return _double(facts(spark, d, ordered=True).drop("place"), "value")
 
 
-@query("concept_value", f"with {FACTS} select doc_id, canonical_key, basis, period_label, cast(sum(value) as double) as figure, count(*) as n from facts group by all")
+@query("concept_value", f"with {FIGURES} select doc_id, canonical_key, basis, period_label, cast(figure as double) as figure, duplicates, edited from figures")
 def concept_value(spark, d):
-    return facts(spark, d).groupBy(*values.CELL).agg(F.sum("value").cast("double").alias("figure"), F.count("*").alias("n"))
+    return _double(values.concept_figures(facts(spark, d)), "figure")
 
 
-_KEEP = (
-    f"{FACTS}, marked as (select *, row_number() over w = 1 or page_index is null or first_value(page_index) over w = page_index as keep from facts "
-    "window w as (partition by doc_id, canonical_key, basis, period_label, source_label, quantity order by ordinal))"
-)
-
-
-@query("duplicate_fact_filter", f"with {_KEEP} select doc_id, canonical_key, basis, period_label, sum(quantity) filter (where keep) as figure, count(*) filter (where not keep) as duplicates from marked group by all")
+@query("duplicate_fact_filter", f"with {_keep('quantity')} select doc_id, canonical_key, basis, period_label, case when bool_or(edited) then arg_min(quantity, ordinal) filter (where edited) else sum(quantity) filter (where keep) end as figure, count(*) filter (where not keep) as duplicates, bool_or(edited) as edited from marked group by all")
 def duplicate_fact_filter(spark, d):
-    return values.concept_values(values.mark_summable(facts(spark, d, ordered=True), "quantity"), "quantity")
+    return values.concept_figures(facts(spark, d), "quantity")
 
 
-@query("duplicate_facts", f"with {_KEEP} select doc_id, ordinal, source_label, quantity, page_index from marked where not keep")
+@query("duplicate_facts", f"with {_keep('value')} select doc_id, ordinal, source_label, cast(value as double) as value, page_index from marked where not keep")
 def duplicate_facts(spark, d):
-    return values.mark_summable(facts(spark, d, ordered=True), "quantity").where("not keep").select("doc_id", "ordinal", "source_label", "quantity", "page_index")
+    return _double(values.mark_summable(facts(spark, d, ordered=True)).where("not keep").select("doc_id", "ordinal", "source_label", "value", "page_index"), "value")
 
 
-@query("current_prior_pivot", f"with {FACTS} select doc_id, canonical_key, basis, cast(case when bool_or(period_label in ('current','prior')) then sum(value) filter (where period_label = 'current') else sum(value) filter (where period_label = 'col2') end as double) as current, cast(case when bool_or(period_label in ('current','prior')) then sum(value) filter (where period_label = 'prior') end as double) as prior from facts group by all")
+@query("current_prior_pivot", f"with {FIGURES} select doc_id, canonical_key, basis, cast(case when bool_or(period_label in ('current','prior')) then max(figure) filter (where period_label = 'current') else max(figure) filter (where period_label = 'col2') end as double) as current, cast(case when bool_or(period_label in ('current','prior')) then max(figure) filter (where period_label = 'prior') end as double) as prior from figures group by all")
 def current_prior_pivot(spark, d):
-    return _double(values.current_prior(facts(spark, d)), "current", "prior")
+    return _double(values.current_prior(values.concept_figures(facts(spark, d))), "current", "prior")
 
 
 @query("bases_present", f"with {FACTS} select doc_id, array_to_string(list_sort(list(distinct basis)), ',') as bases, case when list_contains(list(distinct basis), 'consolidated') then 'consolidated' else min(basis) end as effective from facts group by doc_id")
@@ -128,9 +137,9 @@ def parse_number_eu(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", numbers.parse_number(printed, ".", ",").cast("double").alias("parsed"))
 
 
-@query("normalize_label", "select distinct upper(p_name) || ' (' || p_size || ') \"x\"' as caption, p_name as label, p_name as key from part")
+@query("normalize_label", "select distinct upper(p_name) || ' (' || p_size || ') (\"x\")' as caption, p_name as label, p_name as key from part")
 def normalize_label(spark, d):
-    caption = F.concat(F.upper("p_name"), F.lit(" ("), F.col("p_size").cast("string"), F.lit(') "x"'))
+    caption = F.concat(F.upper("p_name"), F.lit(" ("), F.col("p_size").cast("string"), F.lit(') ("x")'))
     return table(spark, d, "part").select(caption.alias("caption")).distinct().select("caption", text.normalize_label(F.col("caption")).alias("label"), text.caption_key(F.concat(F.col("caption"), F.lit(" 12 a"))).alias("key"))
 
 
@@ -139,18 +148,6 @@ def detect_locale(spark, d):
     return table(spark, d, "documents").select("doc_id", text.detect_locale(F.col("text")).alias("locale"))
 
 
-@query("unit_scale_detect", "select p_partkey, case p_partkey % 4 when 0 then 1000 when 1 then 1000000 when 2 then 10000000 else 1 end as factor from part")
-def unit_scale_detect(spark, d):
-    caption = F.element_at(F.array(F.lit("RMB thousand, not million"), F.lit("in Millions of euro"), F.lit("Rs crore"), F.lit("euro")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", numbers.scale_of(caption).alias("factor"))
-
-
-@query("period_date", "select distinct year(l_shipdate) as y, month(l_shipdate) as m, day(l_shipdate) as d from lineitem")
-def period_date(spark, d):
-    heading = F.concat(F.lit("As at "), F.date_format("l_shipdate", "d MMMM yyyy"))
-    return table(spark, d, "lineitem").select(heading.alias("h")).distinct().select(numbers.period_date(F.col("h")).alias("x")).select("x.y", "x.m", "x.d")
-
-
 @query("a1_codec", "select p_partkey, cast(p_partkey % 18000 as bigint) as n, cast(p_partkey % 18000 as bigint) as back from part")
 def a1_codec(spark, d):
     n = F.col("p_partkey") % 18000
@@ -169,12 +166,6 @@ def csv_safe(spark, d):
     return table(spark, d, "part").select("p_partkey", text.csv_safe(F.concat(sign, F.col("p_name"))).alias("caption"))
 
 
-@query("section_of_banner", "select o_orderkey, case o_orderkey % 4 when 0 then 'bs_non_current_assets' when 1 then 'bs_current_liabilities' when 2 then null else 'bs_current_assets' end as section from orders")
-def section_of_banner(spark, d):
-    banner = F.element_at(F.array(F.lit("NON-CURRENT ASSETS"), F.lit("Current liabilities"), F.lit("Equity and liabilities"), F.lit("Total current assets")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", text.section_of_banner(banner).alias("section"))
-
-
 @query("confidence_overall", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(least(least(1 - l_discount, 1 - l_tax), case when l_returnflag = 'N' then 1.0 else 0.5 end), 4) as weakest from lineitem")
 def confidence_overall(spark, d):
     validation = F.when(F.col("l_returnflag") != "N", 0.5)
@@ -198,14 +189,21 @@ _LABEL = "case canonical_key " + " ".join(f"when '{k}' then '{v}'" for k, v in r
 @query("statement_consolidated_current", f"with {GRID}, long as ({_LONG}) select doc_id, canonical_key, {_LABEL} as label, case when canonical_key in ('{CA_T}','{CL_T}','{NET}') then 'computed' else 'printed' end as origin, max(figure) filter (where period_label = 'current') as v_current, max(figure) filter (where period_label = 'prior') as v_prior from long where basis = 'consolidated' and period_label in ('current','prior') group by all")
 def statement_consolidated_current(spark, d):
     """The flagship: template rows of the consolidated statement, current beside prior."""
-    some = facts(spark, d).where("basis = 'consolidated' and period_label in ('current', 'prior')")
-    grid = rollup.evaluate(values.concept_grid(some, rules.LEAVES), rules.ROLLUPS)
-    long = rollup.long_form(grid, _ALL)
-    label = F.create_map(*[F.lit(x) for kv in rules.LABELS.items() for x in kv])
-    at = lambda p: F.max(F.when(F.col("period_label") == p, F.col("figure"))).cast("double")
-    return long.groupBy("doc_id", "canonical_key").agg(at("current").alias("v_current"), at("prior").alias("v_prior")).select(
-        "doc_id", "canonical_key", label[F.col("canonical_key")].alias("label"), F.when(F.col("canonical_key").isin(CA_T, CL_T, NET), "computed").otherwise("printed").alias("origin"), "v_current", "v_prior"
-    )
+    some = facts(spark, d).where(F.col("basis").eqNullSafe("consolidated") & F.col("period_label").isin("current", "prior") & F.col("canonical_key").isin(*rules.LEAVES))
+    figures = values.concept_figures(some)
+    at = [F.max(F.when((F.col("canonical_key") == k) & (F.col("period_label") == p), F.col("figure"))).alias(f"{k}@{p}") for k in rules.LEAVES for p in ("current", "prior")]
+    wide = figures.groupBy("doc_id").agg(*at)
+    return _statement(wide)
+
+
+def _statement(wide):
+    columns = {p: rollup.expressions({k: F.col(f"`{k}@{p}`") for k in rules.LEAVES}, rules.ROLLUPS) for p in ("current", "prior")}
+    rows = []
+    for k in _ALL:
+        current, prior = columns["current"][k], columns["prior"][k]
+        origin = "computed" if k in (CA_T, CL_T, NET) else "printed"
+        rows.append(F.struct(F.lit(k).alias("canonical_key"), F.lit(rules.LABELS[k]).alias("label"), F.lit(origin).alias("origin"), current.cast("double").alias("v_current"), prior.cast("double").alias("v_prior")))
+    return wide.select("doc_id", F.inline(F.array(*rows))).where("v_current is not null or v_prior is not null")
 
 
 _RELATION = (
@@ -243,13 +241,6 @@ def unsigned_expense_cohort(spark, d):
     return checks.unsigned_cohort(facts(spark, d), (PAY, BOR, OCL))
 
 
-@query("section_reconciliation", f"with {GRID} select doc_id, basis, period_label, cast({CA_T} as double) as reported, cast({CA_T} as double) - cast(coalesce({INV}, 0) as double) - cast(coalesce({REC}, 0) as double) as residual_exact, case when {CA_T} is null then 'no_reported_subtotal' when {OCA} is null then 'tied' else 'unallocated_gap' end as status from grid where {CA_T} is not null and abs(coalesce({OCA}, 1)) >= 1")
-def section_reconciliation(spark, d):
-    g = _grid(spark, d).where(F.col(CA_T).isNotNull() & (F.abs(F.coalesce(OCA, F.lit(1))) >= 1))
-    rest = F.col(CA_T).cast("double") - F.coalesce(F.col(INV).cast("double"), F.lit(0.0)) - F.coalesce(F.col(REC).cast("double"), F.lit(0.0))
-    return g.select("doc_id", "basis", "period_label", F.col(CA_T).cast("double").alias("reported"), rest.alias("residual_exact"), F.when(F.col(OCA).isNull(), "tied").otherwise("unallocated_gap").alias("status"))
-
-
 # ---- mapping -------------------------------------------------------------------------------------------------------
 
 
@@ -257,8 +248,9 @@ def section_reconciliation(spark, d):
 case when p_name in ('red widget','hot gear') then 'exact' when p_name = 'small ring' then 'tie' when p_name like '%gizmo' and p_name not like '%blue%' or p_name like 'cold %' then 'rule' else 'unmapped' end as tier,
 case when p_name in ('red widget','hot gear') then 1.0 when p_name = 'small ring' then 0.0 when p_name like '%gizmo' and p_name like 'cold %' then 0.6 when p_name like '%gizmo' and p_name not like '%blue%' or p_name like 'cold %' then 0.95 else 0.0 end as confidence from (select distinct p_name from part)""")
 def map_captions(spark, d):
-    captions = table(spark, d, "part").select(F.col("p_name").alias("caption"))
-    return mapping.map_captions(captions, rules.ALIASES, rules.HINTS, rules.VETOES).drop("candidates")
+    null = F.lit(None).cast("string")
+    captions = table(spark, d, "part").select(F.col("p_name").alias("caption"), null.alias("statement"), null.alias("banner"))
+    return mapping.map_captions(captions, rules.CONCEPTS).select("caption", "canonical_key", F.when(F.col("method").isin("exact", "tie", "rule"), F.col("method")).otherwise("unmapped").alias("tier"), "confidence")
 
 
 @query("map_best_per_key", "select p_type, max_by(p_name, p_retailprice * 1000000 + p_partkey) as p_name from part group by p_type")
@@ -319,22 +311,9 @@ def ratios_builtin(spark, d):
     return analytics.ratios(_grid(spark, d), rules.RATIOS).withColumn("ratio", F.round("ratio", 6))
 
 
-def _score_sql() -> str:
-    whens = []
-    for _, key, strong, fair, more in rules.CREDIT:
-        op = ">=" if more else "<="
-        whens.append(f"when ratio_key = '{key}' and ratio is not null then case when ratio {op} {strong} then 1 when ratio {op} {fair} then 0 else -1 end")
-    return "case " + " ".join(whens) + " end"
-
-
-@query("credit_stance", f"with {GRID}, r as ({_ratio_sql()}), s as (select doc_id, basis, period_label, {_score_sql()} as score from r), a as (select doc_id, basis, period_label, count(score) as categories, avg(score) as average from s group by all) select *, case when categories = 0 then 'insufficient' when average >= 0.5 then 'strong' when average >= -0.25 then 'adequate' else 'weak' end as stance from a")
-def credit_stance(spark, d):
-    return analytics.credit_stance(analytics.ratios(_grid(spark, d), rules.RATIOS), rules.CREDIT)
-
-
-@query("trends", f"with {FACTS}, cp as (select doc_id, canonical_key, basis, cast(sum(value) filter (where period_label = 'current') as double) as c, cast(sum(value) filter (where period_label = 'prior') as double) as p from facts where period_label <> 'col2' group by all) select doc_id, basis, canonical_key, c - p as change, round(coalesce((c - p) / nullif(p, 0) * 100, 0), 4) as percent, case when c > p then 'up' when c < p then 'down' when c = p then 'flat' else 'unknown' end as direction from cp")
+@query("trends", f"with {FIGURES}, cp as (select doc_id, canonical_key, basis, cast(max(figure) filter (where period_label = 'current') as double) as c, cast(max(figure) filter (where period_label = 'prior') as double) as p from figures where period_label <> 'col2' group by all) select doc_id, basis, canonical_key, c - p as change, round(coalesce((c - p) / nullif(p, 0) * 100, 0), 1) as percent, case when c > p then 'up' when c < p then 'down' when c = p then 'flat' else 'unknown' end as direction from cp")
 def trends(spark, d):
-    return analytics.trends(values.current_prior(facts(spark, d).where("period_label <> 'col2'"))).withColumn("percent", F.round("percent", 4))
+    return analytics.trends(values.current_prior(values.concept_figures(facts(spark, d).where("period_label <> 'col2'")))).withColumn("percent", F.round("percent", 1))
 
 
 @query("netting", f"with {GRID} select doc_id, basis, period_label, cast({REC} as double) - coalesce(cast({PAY} as double), 0) as net, '{REC}' || case when {PAY} is not null then ' - {PAY}' else '' end as formula from grid where {REC} is not null")
@@ -474,7 +453,7 @@ def carry_statement(spark, d):
     return ordered.carry_forward(rows, ["doc_id"], ["ordinal"], "section", "reset").select("doc_id", "ordinal", "section_carried")
 
 
-@query("gap_cluster_columns", "with p as (select distinct p_brand as band, p_retailprice as x from part), m as (select *, case when x - lag(x) over (partition by band order by x) > 3 then 1 else 0 end as new from p), c as (select band, x, sum(new) over (partition by band order by x) as cluster from m) select band, cluster, min(x) as first, max(x) as last, count(*) as members, list_sort(list(x))[len(list(x)) // 2 + 1] as middle from c group by band, cluster")
+@query("gap_cluster_columns", "with p as (select distinct p_brand as band, p_retailprice as x from part), m as (select *, case when x - lag(x) over (partition by band order by x) > 3 then 1 else 0 end as new from p), c as (select band, x, sum(new) over (partition by band order by x) as cluster from m) select band, cluster, min(x) as first, max(x) as last, count(*) as members, median(x) as middle from c group by band, cluster")
 def gap_cluster_columns(spark, d):
     points = table(spark, d, "part").select(F.col("p_brand").alias("band"), F.col("p_retailprice").alias("x")).distinct()
     return ordered.gap_clusters(points, ["band"], "x", 3.0)
@@ -505,9 +484,9 @@ def store_fact_dedup(spark, d):
 _SLOTS = [(b, p) for b in ("consolidated", "standalone") for p in ("current", "prior", "col2")]
 
 
-@query("csv_wide", f"with {FACTS} select doc_id, source_label as caption, canonical_key, " + ", ".join(f"cast(sum(value) filter (where basis = '{b}' and period_label = '{p}') as double) as {b}_{p}" for b, p in _SLOTS) + " from facts group by all")
+@query("csv_wide", f"with {FACTS} select doc_id, ordinal, source_label as caption, canonical_key, " + ", ".join(f"case when basis = '{b}' and period_label = '{p}' then cast(value as double) end as {b}_{p}" for b, p in _SLOTS) + " from facts")
 def csv_wide(spark, d):
-    return export.wide(facts(spark, d), _SLOTS)
+    return export.wide(facts(spark, d, ordered=True), _SLOTS)
 
 
 @query("calculated_mismatch", f"with {_RELATION} select doc_id, basis, period_label, round(difference, 2) as difference from res where abs(difference) > 0.5")
@@ -548,9 +527,9 @@ def upload_dedup(spark, d):
     return rows.groupBy("source", "content_hash").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("rows_json")
+@query("rows_json", f"""with {FIGURES} select doc_id, canonical_key, '[' || string_agg('{{"basis":"' || basis || '","period_label":"' || period_label || '","figure":"' || figure || '"}}', ',' order by basis, period_label) || ']' as json from figures group by all""")
 def rows_json(spark, d):
-    return export.json_rows(concept_value(spark, d))
+    return export.json_rows(values.concept_figures(facts(spark, d)))
 
 
 @query("language_parity", "select source, array_to_string(list_sort(list_filter(['de','en','es','fr'], lambda x: not list_contains(list(distinct lang), x))), ',') as missing from documents group by source")

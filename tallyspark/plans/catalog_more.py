@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers, text
+from tallyspark.functions.text import DISCLOSURES
 from tallyspark.operators import analytics, layout, reconcile, residual, templates, values
 from tallyspark.plans import rules
-from tallyspark.plans.catalog import FACTS, GRID, _grid, _relation, _RELATION, query
-from tallyspark.plans.ratio_catalogue import CATALOGUE
+from tallyspark.plans.catalog import FACTS, FIGURES, GRID, ORACLE, _grid, _relation, _RELATION, query
+from tallyspark.plans.ratio_catalogue import CATALOGUE, CREDIT_FACTORS, CREDIT_SIGNALS, RATIOS
 from tallyspark.sources.facts import facts, table
 
 INV, REC, OCA, PAY, BOR, OCL = rules.LEAVES
@@ -46,11 +47,11 @@ def scale_conflicts(spark, d):
     return layout.scale_conflicts(rows, ["doc_id"], "ordinal", "quantity", F.col("page_index") == 0, 10.0, 0.2).select("doc_id", "ordinal", "quantity", "running")
 
 
-@query("cell_context", "with c as (select distinct p_brand as sheet, cast(p_partkey % 200 as int) as row, cast(p_size % 10 as int) as col from part), t as (select p_brand as sheet, cast(p_partkey % 200 as int) as t_row, cast(p_size % 10 as int) as t_col from part where p_partkey % 97 = 0 group by all) select c.sheet, row, col, t_row, t_col from c join t on c.sheet = t.sheet and abs(row - t_row) <= 5 and abs(col - t_col) <= 5")
+@query("cell_context", "with c as (select distinct p_brand as sheet, cast(p_partkey % 200 as int) as row, cast(p_size % 10 as int) as col from part), t as (select p_brand as sheet, cast(p_partkey % 200 as int) as t_row, cast(p_size % 10 as int) as t_col from part group by all) select c.sheet, row, col, t_row, t_col from c join t on c.sheet = t.sheet and abs(row - t_row) <= 5 and abs(col - t_col) <= 5")
 def cell_context(spark, d):
     p = table(spark, d, "part")
     at = lambda *names: [F.col("p_brand").alias("sheet"), (F.col("p_partkey") % 200).cast("int").alias(names[0]), (F.col("p_size") % 10).cast("int").alias(names[1])]
-    return layout.cell_context(p.select(*at("row", "col")).distinct(), p.where("p_partkey % 97 = 0").select(*at("t_row", "t_col")).distinct(), ["sheet"], 5)
+    return layout.cell_context(p.select(*at("row", "col")).distinct(), p.select(*at("t_row", "t_col")).distinct(), ["sheet"], 5)
 
 
 @query("range_bands", "select p_partkey, case when p_size > 0 and p_size <= 10 then 0 when p_size > 10 and p_size <= 30 then 1 when p_size > 30 and p_size <= 45 then 2 end as band from part")
@@ -103,7 +104,7 @@ def residual_triggers(spark, d):
     return residual.triggers(_swept(spark, d), totals).select("doc_id", "basis", "period_label", "canonical_key", "reasons")
 
 
-@query("block_subtotal", f"with {FACTS}, i as (select doc_id, ordinal, quantity as v, max(ordinal) over (partition by doc_id) as n from facts) select a.doc_id, a.ordinal, a.v as printed, b.v + c.v as total, abs(a.v - b.v - c.v) <= 1 as ties from i a join i b on a.doc_id = b.doc_id and b.ordinal = a.ordinal + 1 join i c on a.doc_id = c.doc_id and c.ordinal = a.ordinal + 2 where a.ordinal % 3 = 1")
+@query("block_subtotal", f"with {FACTS}, i as (select doc_id, ordinal, quantity as printed, lead(quantity, 1) over w as one, lead(quantity, 2) over w as two from facts window w as (partition by doc_id order by ordinal)) select doc_id, ordinal, printed, one + two as total, abs(printed - one - two) <= 1 as ties from i where ordinal % 3 = 1 and one + two is not null")
 def block_subtotal(spark, d):
     o = F.col("ordinal")
     items = facts(spark, d, ordered=True).select("doc_id", "ordinal", F.col("quantity").alias("value"), F.when(o % 3 == 1, F.array(o + 1, o + 2)).alias("component_ordinals"))
@@ -200,14 +201,6 @@ def template_problems(spark, d):
     return templates.validate(p.select(F.col("p_size").cast("string").alias("key")), edges)
 
 
-@query("label_segments", "select p_partkey, p_name || ' 资产' as caption, p_name as latin, '资产' as han from part")
-def label_segments(spark, d):
-    caption = F.concat("p_name", F.lit(" 資產"))
-    simple = text.to_simplified(caption)
-    seg = text.label_segments(simple)
-    return table(spark, d, "part").select("p_partkey", seg[0].alias("caption"), seg[1].alias("latin"), seg[2].alias("han"))
-
-
 @query("sign_less_add", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, case when l_linenumber % 5 = 0 then l_quantity - 25 else case when l_returnflag = 'A' then -1 else 1 end * case l_linestatus when 'F' then -abs(l_quantity - 25) else abs(l_quantity - 25) end end as signed from lineitem")
 def sign_less_add(spark, d):
     caption = F.concat(F.when(F.col("l_linestatus") == "F", "Less: ").otherwise("Add: "), F.lit("x"))
@@ -215,10 +208,22 @@ def sign_less_add(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", signed.alias("signed"))
 
 
-@query("disclosure_scan", "select doc_id, family, instr(text, word) as found_at from documents, (values ('mail', '@'), ('percent', '%'), ('licence', 'icense')) w(family, word) where contains(text, word)")
+def _disclosure_sql(text: str) -> str:
+    parts = []
+    for family, patterns in DISCLOSURES.items():
+        at = "coalesce(" + ", ".join(f"nullif(length(split_part({text}, regexp_extract({text}, '{p}'), 1)) + 1, case when regexp_matches({text}, '{p}') then 0 else length(split_part({text}, regexp_extract({text}, '{p}'), 1)) + 1 end)" for p in patterns) + ")"
+        parts.append(f"select doc_id, '{family}' as family, {at} as found_at from p")
+    return " union all ".join(parts)
+
+
+@query("disclosure_scan", f"with p as (select conv_id as doc_id, turn, lower(text) as t, case when turn % 2 = 1 then (turn + 100)::varchar end as folio from _said), f as ({_disclosure_sql('t').replace('select doc_id, ', 'select doc_id, turn, folio, ')}) select doc_id, family, arg_min(coalesce(folio, (turn + 1)::varchar), turn) as page from f where found_at is not null group by doc_id, family".replace("_said", "(select conv_id, turn, text || case (conv_id + turn) % 5 when 0 then ' material uncertainty as to going concern' when 1 then ' Capital Commitments and guarantees' when 2 then ' a lawsuit and Qualified Opinion' else '' end as text from (select conv_id, turn, max(text) as text from conversations group by all))"))
 def disclosure_scan(spark, d):
-    found = text.first_match(F.col("text"), {"mail": "@", "percent": "%", "licence": "icense"})
-    return table(spark, d, "documents").select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.family", F.col("x.at").cast("long").alias("found_at"))
+    """Turns of a conversation as pages; odd ones have a printed number."""
+    c = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
+    said = F.element_at(F.array(*map(F.lit, (" material uncertainty as to going concern", " Capital Commitments and guarantees", " a lawsuit and Qualified Opinion", "", ""))), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    folio = F.when(F.col("turn") % 2 == 1, (F.col("turn") + 100).cast("string"))
+    pages = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), F.concat("text", said).alias("text"), folio.alias("folio"))
+    return text.scan_disclosures(pages).select("doc_id", "family", "page")
 
 
 @query("parse_rate", "select event_id, case when value > 5 then value end as rate from events")
@@ -230,7 +235,7 @@ def parse_rate(spark, d):
 @query("alias_similarity")
 def alias_similarity(spark, d):
     names = table(spark, d, "part").select("p_name").distinct()
-    pairs = names.select("p_name", F.explode(F.array(*[F.lit(a) for a in sorted({a for a, _, _ in rules.ALIASES})])).alias("alias"))
+    pairs = names.select("p_name", F.explode(F.array(*[F.lit(a) for a in sorted({a for c in rules.CONCEPTS for a in c.aliases})])).alias("alias"))
     return pairs.withColumn("score", F.round(templates.alias_similarity(F.col("p_name"), F.col("alias")), 6))
 
 
@@ -239,15 +244,70 @@ def summed_columns(spark, d):
     return facts(spark, d).groupBy("doc_id", "basis", "period_label").agg(F.sum("value").cast("double").alias("total"), F.count_distinct("canonical_key").alias("concepts"))
 
 
-@query("effective_figures", f"with {FACTS}, g as (select doc_id, canonical_key, basis, period_label, cast(sum(value) as double) as printed from facts group by all) select doc_id, canonical_key, basis, period_label, case when doc_id % 10 = 0 and period_label = 'current' then 1.0 else printed end as figure, doc_id % 10 = 0 and period_label = 'current' as edited from g")
+@query("effective_figures", f"with {FIGURES} select doc_id, canonical_key, basis, period_label, case when doc_id % 10 = 0 and period_label = 'current' then 1.0 else cast(figure as double) end as figure, doc_id % 10 = 0 and period_label = 'current' as edited from figures")
 def effective_figures(spark, d):
-    cells = facts(spark, d).groupBy(*values.CELL).agg(F.sum("value").cast("double").alias("printed"))
+    cells = values.concept_figures(facts(spark, d)).select(*values.CELL, F.col("figure").cast("double").alias("printed"))
     slots = F.when(F.col("doc_id") % 10 == 0, F.array(F.concat("basis", F.lit("/current"))))
     edited = F.coalesce(F.array_contains(slots, F.concat_ws("/", "basis", "period_label")), F.lit(False))
     return cells.select(*values.CELL, F.when(edited, 1.0).otherwise(F.col("printed")).alias("figure"), edited.alias("edited"))
 
 
-@query("ratio_catalogue", f"with {GRID} select doc_id, basis, period_label, 'current_ratio' as ratio_key, round(cast({CA_T} as double) / nullif(cast({CL_T} as double), 0), 6) as ratio from grid where {CL_T} <> 0 and {CA_T} is not null union all select doc_id, basis, period_label, 'quick_ratio', round((cast({CA_T} as double) - cast({INV} as double)) / nullif(cast({CL_T} as double), 0), 6) + 0 from grid where {CL_T} <> 0 and {INV} is not null and {CA_T} is not null")
+_CONCEPTS = sorted({k for _, _, _, num, den in RATIOS for keys, _, _ in (*num, *den) for k in keys})
+_EXPENSES = tuple(k for k in _CONCEPTS if k.startswith("pl_expenses") or "interest" in k or "repayment" in k or "purchase_of" in k)
+
+
+def _book(spark, d):
+    """Figures of every concept of the catalogue: a document's lines by part, expenses negative, some concepts missing in many documents."""
+    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    key = F.element_at(F.array(*map(F.lit, _CONCEPTS)), (F.col("l_partkey") % len(_CONCEPTS) + 1).cast("int"))
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc_id"), F.lit("consolidated").alias("basis"), F.when(F.col("l_returnflag") == "R", "prior").otherwise("current").alias("period_label"), key.alias("canonical_key"), "l_quantity")
+    sums = rows.groupBy("doc_id", "basis", "period_label", "canonical_key").agg(F.sum("l_quantity").alias("q"))
+    return values.grid_of(sums.withColumn("figure", F.when(F.col("canonical_key").isin(*_EXPENSES), -F.col("q")).otherwise(F.col("q"))), tuple(_CONCEPTS))
+
+
+_BOOK = (
+    "rows as (select o_custkey as doc_id, 'consolidated' as basis, case when l_returnflag = 'R' then 'prior' else 'current' end as period_label, l_partkey % " + str(len(_CONCEPTS)) + " as k, sum(l_quantity) as q from lineitem join orders on l_orderkey = o_orderkey group by all), "
+    "book as (select doc_id, basis, period_label, " + ", ".join(f"max({'-' if k in _EXPENSES else ''}q) filter (where k = {i}) as {k}" for i, k in enumerate(_CONCEPTS)) + " from rows group by all)"
+)
+
+
+def _side_sql(terms) -> str:
+    first = lambda keys: f"coalesce({', '.join(keys)}, null)"
+    need = [f"{first(keys)} is not null" for keys, _, optional in terms if not optional] or [f"coalesce({', '.join(k for keys, _, _ in terms for k in keys)}, null) is not null"]
+    total = " + ".join(f"coalesce({first(keys)}, 0) * {sign}" for keys, sign, _ in terms)
+    return f"case when {' and '.join(need)} then {total} end"
+
+
+_BOOK_RATIOS = f"{_BOOK}, r as (" + " union all ".join(f"select doc_id, basis, period_label, '{key}' as ratio_key, ({_side_sql(num)}) / nullif({_side_sql(den)}, 0) * {factor} as ratio from book" for key, factor, _, num, den in RATIOS) + ")"
+
+
+@query("ratio_catalogue", f"with {_BOOK_RATIOS} select doc_id, basis, period_label, ratio_key, round(ratio, 6) + 0 as ratio from r where ratio is not null")
 def ratio_catalogue(spark, d):
-    """All ratios of the catalogue that the figures at hand allow."""
-    return analytics.ratios(_grid(spark, d), CATALOGUE).where("ratio is not null").withColumn("ratio", F.round("ratio", 6))
+    """All ratios of the catalogue."""
+    return analytics.ratios(_book(spark, d), CATALOGUE).where("ratio is not null").withColumn("ratio", F.round("ratio", 6))
+
+
+_FACTOR_ROWS = ", ".join(f"('{c}', {i}, '{k}', {more}, {strong}, {weak})" for c, fs in CREDIT_FACTORS.items() for i, (k, more, strong, weak) in enumerate(fs))
+_WEIGHTS = ", ".join(f"('{k}', {w})" for k, w in CREDIT_SIGNALS.items())
+_SIGNALS = "signals as (select c_custkey as doc_id, case c_custkey % 6 when 0 then 'going_concern' when 1 then 'auditor_qualification' when 2 then 'litigation' when 3 then 'related_party' end as family from customer where c_custkey % 6 < 4 union all select c_custkey, 'guarantees' from customer where c_custkey % 6 = 2 union all select c_custkey, 'contingent_liabilities' from customer where c_custkey % 12 = 2)"
+
+
+@query("credit_factors", f"with {_BOOK_RATIOS}, f(category, rank, ratio_key, more, strong, weak) as (values {_FACTOR_ROWS}), j as (select r.*, category, rank, more, strong, weak, round(ratio, 2) as v from r join f using (ratio_key) where ratio is not null) "
+       "select doc_id, basis, period_label, category, arg_min(ratio_key, rank) as ratio_key, arg_min(v, rank) as ratio, arg_min(case when more then case when v >= strong then 1 when v < weak then -1 else 0 end else case when v <= strong then 1 when v > weak then -1 else 0 end end, rank) as tone from j group by all")
+def credit_factors(spark, d):
+    return analytics.credit_factors(analytics.ratios(_book(spark, d), CATALOGUE), CREDIT_FACTORS)
+
+
+@query("credit_stance", ORACLE["credit_factors"].replace("with ", "with " + _SIGNALS + ", ", 1).replace("select doc_id, basis, period_label, category, arg_min", "factor as (select doc_id, basis, period_label, category, arg_min", 1).replace("from r join f using (ratio_key) where ratio is not null) ", "from r join f using (ratio_key) where ratio is not null), ", 1)
+       + f"), w(family, weight) as (values {_WEIGHTS}), fl as (select doc_id, string_agg(family, ',' order by family) as flags, sum(weight) as penalty from signals join w using (family) group by doc_id), "
+       "a as (select b.doc_id, b.basis, b.period_label, count(tone) as factors, count(*) filter (where tone > 0) as supportive, count(*) filter (where tone < 0) as constraining, avg(tone) as average from book b left join factor using (doc_id, basis, period_label) group by all) "
+       "select a.doc_id, a.basis, a.period_label, factors, supportive, constraining, coalesce(flags, '') as flags, case when factors = 0 then 'insufficient' when contains(coalesce(flags, ''), 'going_concern') then 'weak' when average >= 0.5 and (contains(coalesce(flags, ''), 'auditor_qualification') or coalesce(penalty, 0) >= 3) then 'adequate' when average >= 0.5 then 'strong' when average >= -0.25 then 'adequate' else 'weak' end as stance from a left join fl using (doc_id)")
+def credit_stance(spark, d):
+    book = _book(spark, d)
+    k = F.col("c_custkey") % 6
+    family = F.when(k == 0, "going_concern").when(k == 1, "auditor_qualification").when(k == 2, "litigation").when(k == 3, "related_party")
+    c = table(spark, d, "customer")
+    more = F.array_compact(F.array(family, F.when(k == 2, "guarantees"), F.when(F.col("c_custkey") % 12 == 2, "contingent_liabilities")))
+    signals = c.select(F.col("c_custkey").alias("doc_id"), F.explode(more).alias("family"))
+    factors = analytics.credit_factors(analytics.ratios(book, CATALOGUE), CREDIT_FACTORS)
+    return analytics.credit_stance(book.select("doc_id", "basis", "period_label"), factors, signals, CREDIT_SIGNALS)

@@ -28,17 +28,6 @@ def section_of_key(spark, d):
     return facts(spark, d).select(key).distinct().select(key, docs.section_of_key(key).alias("section"), docs.statement_of_key(key).alias("statement"))
 
 
-_SECTIONS = ("bs_s1_non_current_assets", "bs_equity_reserves", "bs_equity_and_non_current_liabilities", "bs_top_level", "cf_s1_cash", "pl_discontinued_operations", "pl_odd", "")
-_BUCKETS = ("Non-current assets", "Equity", "Others", "Others", "Cash flow", "Others", "Others", "Others")
-_REASONS = ("section", "section", "unknown_section", "statement_total", "statement", "outside_taxonomy", "unknown_section", "unresolved")
-
-
-@query("bucket_of", f"select p_partkey, case when p_size = 1 then 'Equity' else {_pick_sql('p_partkey', *_BUCKETS)} end as bucket, case when p_size = 1 then 'declared' else {_pick_sql('p_partkey', *_REASONS)} end as reason from part")
-def bucket_of(spark, d):
-    b = docs.bucket_of(_pick("p_partkey", *_SECTIONS), F.lit(None).cast("string"), F.when(F.col("p_size") == 1, "Equity"))
-    return table(spark, d, "part").select("p_partkey", b.alias("b")).select("p_partkey", "b.*")
-
-
 @query("confidence_badge", "select o_orderkey, case when o_orderkey % 7 = 0 then 'med' when o_orderkey % 32 >= 27.2 then 'high' when o_orderkey % 32 >= 22.4 then 'med' else 'low' end as category, case when o_orderkey % 7 <> 0 then cast(round_even(o_orderkey % 32 * 3.125, 0) as int) end as percent from orders")
 def confidence_badge(spark, d):
     c = F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 32) / 32.0)
@@ -130,9 +119,9 @@ def _gridq(spark, d):
     return facts(spark, d).groupBy("doc_id", *SLOT).agg(at(INV).alias("a"), at(REC).alias("b"), at(OCA).alias("c"))
 
 
-@query("sole_components", f"with {_GRIDQ}, h as (select * from g where doc_id % 4 = 0 or coalesce(b, c) is null) select doc_id, basis, period_label, a as inferred from h where a is not null and doc_id not in (select doc_id from h where coalesce(b, c) is not null)")
+@query("sole_components", f"with {_GRIDQ} select doc_id, basis, period_label, a as inferred from g where a is not null and doc_id not in (select doc_id from g where coalesce(b, c) is not null)")
 def sole_components(spark, d):
-    return notes.sole_components(_gridq(spark, d).where((F.col("doc_id") % 4 == 0) | F.coalesce("b", "c").isNull()), "a", "b", ("c",))
+    return notes.sole_components(_gridq(spark, d), "a", "b", ("c",))
 
 
 @query("containment_enforced", f"with {_GRIDQ} select doc_id, basis, period_label, a as parent, case when b is not null or c is not null then coalesce(b, 0) + coalesce(c, 0) end as children, coalesce(abs(a - (case when b is not null or c is not null then coalesce(b, 0) + coalesce(c, 0) end)) <= 1, false) as explained from g where a is not null and doc_id in (select doc_id from g where coalesce(b, c) is not null)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import narrative, pages, values
 from tallyspark.plans import rules
-from tallyspark.plans.catalog import FACTS, _grid, _ratio_sql, GRID, query
+from tallyspark.plans.catalog import FACTS, FIGURES, _grid, _ratio_sql, GRID, query
 from tallyspark.operators import analytics
 from tallyspark.sinks import tables
 from tallyspark.sources.facts import facts, table
@@ -26,7 +26,7 @@ def _words(spark, d):
 _WORDS = "words as (select o_custkey as page, l_orderkey as row, l_quantity * 16 as x, case when l_suppkey % 3 = 0 then (l_linenumber % 90) || ',000' else (l_linenumber % 90)::varchar end as text, l_suppkey % 3 <> 0 as bare from lineitem join orders on l_orderkey = o_orderkey)"
 
 
-@query("value_bands", f"with {_WORDS}, m as (select *, case when x - lag(x) over (partition by page order by x) > 40 then 1 else 0 end as new from words), c as (select *, sum(new) over (partition by page order by x range unbounded preceding) as c from m), g as (select page, c, list_sort(list(x))[len(list(x)) // 2 + 1] as middle, count(*) as cells from c group by page, c having count(distinct row) >= 3 and not count(*) filter (where bare) >= greatest(2, count(*) * 0.8)) select page, row_number() over (partition by page order by middle) as band, middle, cells from g qualify count(*) over (partition by page) >= 2")
+@query("value_bands", f"with {_WORDS}, m as (select *, case when x - lag(x) over (partition by page order by x) > 40 then 1 else 0 end as new from words), c as (select *, sum(new) over (partition by page order by x range unbounded preceding) as c from m), g as (select page, c, median(x) as middle, count(*) as cells from c group by page, c having count(distinct row) >= 3 and not count(*) filter (where bare) >= greatest(2, count(*) * 0.8)) select page, row_number() over (partition by page order by middle) as band, middle, cells from g qualify count(*) over (partition by page) >= 2")
 def value_bands(spark, d):
     return pages.value_bands(_words(spark, d), ["page"], "x", 40.0)
 
@@ -134,9 +134,9 @@ def commentary(spark, d):
     return narrative.commentary(analytics.ratios(_grid(spark, d), rules.RATIOS), _TONES)
 
 
-@query("movement_notes", f"with {FACTS}, p as (select doc_id, canonical_key, basis, sum(quantity) filter (where period_label = 'current') as c, sum(quantity) filter (where period_label = 'prior') as p from facts group by all) select doc_id, canonical_key, basis, split_part(canonical_key, '__', 2) || case when c = p then ' was unchanged' else case when c > p then ' rose' else ' fell' end || ' by ' || cast(abs(c - p) as bigint) || ' (' || cast(round(abs(c - p) / abs(p) * 100) as bigint) || '%)' end as sentence from p where c is not null and p is not null")
+@query("movement_notes", f"with {FIGURES}, p as (select doc_id, canonical_key, basis, cast(max(figure) filter (where period_label = 'current') as double) as c, cast(max(figure) filter (where period_label = 'prior') as double) as p from figures group by all) select doc_id, canonical_key, basis, split_part(canonical_key, '__', 2) || case when c = p then ' was unchanged' else case when c > p then ' rose' else ' fell' end || ' by ' || cast(round(abs(c - p)) as bigint) || ' (' || cast(round(abs(c - p) / abs(p) * 100) as bigint) || '%)' end as sentence from p where c is not null and p is not null")
 def movement_notes(spark, d):
-    pairs = values.current_prior(facts(spark, d).where("period_label <> 'col2'"), "quantity").withColumn("label", F.split("canonical_key", "__")[1])
+    pairs = values.current_prior(values.concept_figures(facts(spark, d).where("period_label <> 'col2'"))).withColumn("label", F.split("canonical_key", "__")[1])
     return narrative.movement_notes(pairs, "label").select("doc_id", "canonical_key", "basis", "sentence")
 
 
@@ -175,7 +175,7 @@ def csv_headers(spark, d):
 
 @query("csv_documents", f"with {_HEADERS}, h as (select doc_id, string_agg(header, ',' order by place) as heads from hd group by doc_id), l as (select doc_id, ordinal, source_label || ',' || repeat(',', place - 1) || value::varchar || repeat(',', n - place) as line from facts join hd using (doc_id, basis, period_label)), b as (select doc_id, string_agg(line, chr(13) || chr(10) order by ordinal) as body from l group by doc_id) select doc_id, chr(65279) || 'Caption,' || heads || chr(13) || chr(10) || body || chr(13) || chr(10) as content from b join h using (doc_id)")
 def csv_documents(spark, d):
-    return tables.csv_documents(facts(spark, d, ordered=True))
+    return tables.csv_documents(facts(spark, d, ordered=True).drop("place"))
 
 
 @query("workbook_round_trip", f"with {FACTS} select doc_id::double as doc_id, ordinal::double as ordinal, source_label, cast(value as double) as value from facts")

@@ -1,5 +1,7 @@
 """The template and the rulebook: rules are data, authored here."""
 
+from tallyspark.operators.mapping import Concept
+
 CA, CL = "bs_current_assets", "bs_current_liabilities"
 LEAVES = (f"{CA}__inventories", f"{CA}__trade_receivables", f"{CA}__others", f"{CL}__current_trade_payables", f"{CL}__current_borrowings", f"{CL}__others")
 #: (parent, op, children), in any order; children may be parents.
@@ -21,9 +23,12 @@ RATIOS = (
     ("receivables_to_payables", 1.0, ((LEAVES[1], 1, False),), ((LEAVES[3], 1, False),)),
     ("net_debt_to_assets", 1.0, ((LEAVES[4], 1, False), (LEAVES[2], -1, True)), ((ROLLUPS[1][0], 1, False),)),
 )
-#: (category, ratio, strong bound, adequate bound, whether more is better)
-CREDIT = (("Liquidity", "current_ratio", 1.5, 1.0, True), ("Leverage", "debt_share", 45.0, 65.0, False), ("Structure", "working_capital_to_assets", 0.5, 0.0, True))
-#: (alias, concept, priority) of captions, and (pattern, concept) hints; a vetoed word keeps a caption from a concept.
-ALIASES = (("red widget", LEAVES[0], 20), ("blue bolt", LEAVES[1], 10), ("red widget", LEAVES[2], 10), ("hot gear", LEAVES[4], 5), ("small ring", LEAVES[3], 5), ("small ring", LEAVES[5], 5))
-HINTS = (("gizmo$", LEAVES[1]), ("^cold ", LEAVES[5]))
-VETOES = (("blue", LEAVES[1]),)
+#: Concepts that captions may be bound to, of a small rulebook.
+CONCEPTS = (
+    Concept(LEAVES[0], aliases=("red widget",), priority=20),
+    Concept(LEAVES[1], aliases=("blue bolt",), priority=10, regex=("gizmo$",), excludes=("blue",)),
+    Concept(LEAVES[2], aliases=("red widget",), priority=10),
+    Concept(LEAVES[4], aliases=("hot gear",), priority=5),
+    Concept(LEAVES[3], aliases=("small ring",), priority=5, confusable=(LEAVES[5],)),
+    Concept(LEAVES[5], aliases=("small ring",), priority=5, confusable=(LEAVES[3],), regex=("^cold ",)),
+)

@@ -29,25 +29,34 @@ def choose(col: Column, options: dict) -> Column:
     return out
 
 
+#: The order of a document's rows.
+PRINTED = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "again")
+
+
 def facts(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
-    """The long fact table: a printed figure of a document, its concept, basis and period.
+    """The long fact table: a printed figure of a document, its concept, basis and period, whether an analyst typed it, and its place.
 
+    Some rows are printed again: on the next page, which is the same fact, or on their own page, which is another one.
     ``part`` is a dimension: Spark broadcasts it while it is small by its own estimate and sorts it otherwise.
-    ordered: adds ``ordinal``, the place of the row in its document.
+    ordered: adds ``ordinal``, the place of the row in its document as a number.
     """
     line, orders, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    amount = F.col("l_extendedprice").cast("decimal(28,4)")
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    again = F.when((n == 1) & (q >= 40) | (n == 2) & (q >= 45), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    typed = (n == 3) & (q == 50)
+    amount = F.when(typed, F.lit("1000.5")).otherwise(F.col("l_extendedprice")).cast("decimal(28,4)")
     rows = line.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(
         part.select("p_partkey", "p_name", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey")
     )
+    rows = rows.withColumn("again", F.explode(again))
     if ordered:
-        w = Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-        rows = rows.withColumn("ordinal", F.row_number().over(w))
+        rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*PRINTED)))
+    page = (F.col("l_suppkey") % 10 + F.when(n == 1, F.col("again")).otherwise(0)).cast("int")
     return rows.select(
         F.col("o_custkey").alias("doc_id"), *(["ordinal"] if ordered else []), F.col("p_name").alias("source_label"),
         choose(F.col("p_type"), CONCEPT_OF_TYPE).alias("canonical_key"), choose(F.col("l_linestatus"), BASIS_OF_STATUS).alias("basis"),
-        choose(F.col("l_returnflag"), PERIOD_OF_FLAG).alias("period_label"), (F.col("l_suppkey") % 10).cast("int").alias("page_index"),
-        F.regexp_extract("p_brand", "[0-9]+", 0).alias("note_number"), F.col("l_quantity").alias("quantity"),
+        choose(F.col("l_returnflag"), PERIOD_OF_FLAG).alias("period_label"), page.alias("page_index"),
+        F.regexp_extract("p_brand", "[0-9]+", 0).alias("note_number"), F.col("l_quantity").alias("quantity"), typed.alias("edited"), F.struct(*PRINTED).alias("place"),
         F.when(F.col("l_discount") >= 0.095, -amount).otherwise(amount).cast("decimal(28,4)").alias("value"),
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers, text
 from tallyspark.operators import analytics, asof, checks, mapping, ordered, reconcile, rollup, values
+from tallyspark.plans import ratio_catalogue as rc
 from tallyspark.plans import rules
 from tallyspark.plans.all import ORACLE, QUERIES
 from tallyspark.sources import files
@@ -68,7 +69,7 @@ def test_parse_number(spark, printed, kwargs, want):
 
 
 def test_labels(spark):
-    assert one(spark, text.normalize_label(F.lit('Trésorerie  (12) "gloss" & Banques'))) == "tresorerie banques"
+    assert one(spark, text.normalize_label(F.lit('Trésorerie  (12) ("gloss") & Banques'))) == "tresorerie banques"
     assert one(spark, text.caption_key(F.lit("Trade receivables 14 b"))) == "trade receivables"
     assert one(spark, text.caption_key(F.lit("A 1"))) == "a 1"
     assert one(spark, text.detect_locale(F.lit("资产负债表"))) == "zh" and one(spark, text.detect_locale(F.lit("Bilan"))) == "fr" and one(spark, text.detect_locale(F.lit(""))) == "en"
@@ -121,6 +122,12 @@ def test_ratios_need_their_inputs(spark):
     assert got == {"x": 1.0, "y": None}
 
 
+NAMES = {
+    "tca": rc.TOTAL_CURRENT_ASSETS, "inv": rc.INVENTORIES, "rec": rc.TRADE_RECEIVABLES, "cash": "bs_current_assets__cash_and_cash_equivalents", "tcl": rc.TOTAL_CURRENT_LIABILITIES, "cb": rc.CURRENT_BORROWINGS,
+    "cpl": rc.CURRENT_PORTION_OF_DEBT, "pay": rc.TRADE_PAYABLES, "tncl": rc.TOTAL_NON_CURRENT_LIABILITIES, "ncb": "bs_non_current_liabilities__non_current_borrowings", "bonds": "bs_non_current_liabilities__non_current_bonds_payable",
+    "leases": "bs_non_current_liabilities__non_current_lease_liabilities", "notes": "bs_non_current_liabilities__non_current_notes_payable", "eq": rc.TOTAL_EQUITY, "ta": rc.TOTAL_ASSETS, "rev": rc.REVENUE, "cogs": rc.COST_OF_GOODS_SOLD,
+    "toc": rc.TOTAL_OPERATING_COST, "ebit": rc.OPERATING_PROFIT, "da": rc.DEPRECIATION, "int": rc.INTEREST, "profit": rc.PROFIT, "cfo": rc.OPERATING_CASH, "capex": rc.CAPITAL_EXPENDITURE, "intp": rc.INTEREST_PAID, "rep": rc.REPAYMENT,
+}
 GOLDEN = {
     "tca": 6614, "inv": 2000, "rec": 3410, "cash": 1204, "tcl": 3300, "cb": 800, "cpl": 200, "pay": 1500, "tncl": 4200, "ncb": 3000, "bonds": 1000, "eq": 9114, "ta": 16614,
     "rev": 20000, "cogs": -12000, "ebit": 3200, "da": -800, "int": -400, "profit": 2400, "cfo": 3500, "capex": -1500, "intp": -380, "rep": -600,
@@ -128,10 +135,8 @@ GOLDEN = {
 
 
 def ratios_of(spark, figures):
-    from tallyspark.plans.ratio_catalogue import CATALOGUE, NAMES
-
     grid = spark.createDataFrame([(1, "c", "current", *map(float, figures.values()))], "doc_id long, basis string, period_label string, " + ", ".join(f"{NAMES[k]} double" for k in figures))
-    rows = analytics.ratios(grid, CATALOGUE)
+    rows = analytics.ratios(grid, rc.CATALOGUE)
     return {r["ratio_key"]: r["ratio"] for r in rows.collect()} | {"ccc": analytics.cash_conversion_cycle(rows).first()["ccc"]}
 
 
@@ -150,6 +155,7 @@ def test_ratio_catalogue(spark):
 def test_ratio_fallbacks(spark):
     got = ratios_of(spark, {"inv": 2000, "toc": -15000, "ebit": 5, "eq": 1000, "ncb": 400})
     assert got["dio"] == pytest.approx(2000 / 15000 * 365) and got["gross_gearing"] == pytest.approx(0.4)
+    assert ratios_of(spark, GOLDEN | {"leases": 700, "notes": 300})["gross_gearing"] == pytest.approx(6000 / 9114)
     assert got["dpo"] is None and got["interest_coverage"] is None and got["debt_ratio"] is None and got["ccc"] is None
 
 
@@ -189,9 +195,10 @@ def test_rates(spark):
 
 
 def test_mapping_ties(spark):
-    got = {r["caption"]: r for r in mapping.map_captions(spark.createDataFrame([("Small Ring",), ("Blue Gizmo",), ("Old gizmo",), (None,)], "caption string"), rules.ALIASES, rules.HINTS, rules.VETOES).collect()}
-    assert got["Small Ring"]["tier"] == "tie" and got["Small Ring"]["canonical_key"] is None and "," in got["Small Ring"]["candidates"]
-    assert got["Blue Gizmo"]["tier"] == "unmapped" and got["Old gizmo"]["confidence"] == 0.95
+    rows = spark.createDataFrame([(c, None, None) for c in ("Small Ring", "Blue Gizmo", "Old gizmo", None)], "caption string, statement string, banner string")
+    got = {r["caption"]: r for r in mapping.map_captions(rows, rules.CONCEPTS).collect()}
+    assert got["Small Ring"]["method"] == "tie" and got["Small Ring"]["canonical_key"] is None and "," in got["Small Ring"]["candidates"]
+    assert got["Blue Gizmo"]["method"] == "unmapped" and got["Old gizmo"]["confidence"] == 0.95 and got[None]["method"] == "unmapped"
 
 
 def test_pages_follow_the_costs(spark):
@@ -263,9 +270,9 @@ def test_document_labels(spark):
 
     null = F.lit(None).cast("string")
     bucket = lambda s, st=null, de=null: tuple(one(spark, docs.bucket_of(F.lit(s), st, de)))
-    assert bucket("bs_s2_current_assets") == ("Current assets", "section") and bucket("bs_s1_non_current_assets") == ("Non-current assets", "section")
-    assert bucket("bs_equity_and_non_current_liabilities") == ("Others", "unknown_section")
-    assert bucket(None) == ("Others", "unresolved") and bucket("x", null, F.lit("Nothing such")) == ("Others", "unknown_declared_bucket")
+    assert bucket("bs_s2_current_assets") == ("current_assets", "section") and bucket("bs_s1_non_current_assets") == ("non_current_assets", "section")
+    assert bucket("bs_equity_and_non_current_liabilities") == ("others", "unknown_section")
+    assert bucket(None) == ("others", "unresolved") and bucket("x", null, F.lit("Nothing such")) == ("others", "unknown_declared_bucket")
     assert tuple(one(spark, docs.badge(F.lit(None).cast("double")))) == ("med", None) and tuple(one(spark, docs.badge(F.lit(0.85)))) == ("high", 85)
     assert one(spark, docs.human_size(F.lit(10))) == "1 KB" and one(spark, docs.human_size(F.lit(1572864))) == "1.5 MB"
     pages = spark.createDataFrame([(1, 0, "Annual report\nBig Fish Ltd | Annual report"), (2, 0, None), (3, 7, "Late Ltd")], "doc_id int, page_index int, text string")
@@ -288,7 +295,7 @@ def test_workbook_round_trip(spark):
     cells = files.workbook_cells(df)
     assert cells.where("error is not null").count() == 1
     got = {(r.sheet, r.cell): (r.source_label, r.section, r.note_number, r.basis, r.period_label, r.currency, r.factor, r.value) for r in workbook_facts(cells).collect()}
-    ca = "bs_current_assets"
+    ca = "current_assets"
     assert got == {
         ("BS", "C6"): ("Inventories", ca, "14", "consolidated", "prior", "RMB", 1000.0, 5.0), ("BS", "D6"): ("Inventories", ca, "14", "consolidated", "current", "HKD", 1000.0, 7.5),
         ("BS", "E6"): ("Inventories", ca, "14", "standalone", "current", "HKD", 1000.0, -3.0), ("BS", "C7"): ("Cash & <bank>", ca, None, "consolidated", "prior", "RMB", 1000.0, 1204.0),
@@ -395,3 +402,77 @@ def test_similarity_and_json(spark, sf_dir):
         want.setdefault((r.doc_id, r.canonical_key), []).append((r.basis, r.period_label, r.figure))
     got = {(r.doc_id, r.canonical_key): [(x["basis"], x["period_label"], float(x["figure"])) for x in json.loads(r.json)] for r in QUERIES["rows_json"](spark, sf_dir).collect()}
     assert got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_run_scopes(spark):
+    """A face page past the notes that shows a statement again is the company's; untitled pages take the one before."""
+    from tallyspark.operators import classify
+
+    pages = [(0, "FACE", "balance_sheet", "consolidated"), (1, "FACE", None, None), (2, "NOTES", None, None), (3, "FACE", "balance_sheet", None), (4, "FACE", None, None), (5, "FACE", "cash_flow", None)]
+    rows = spark.createDataFrame([(1, *p) for p in pages], "doc_id int, page_index int, state string, statement string, scope string")
+    got = [r["scope"] for r in classify.run_scopes(rows).orderBy("page_index").collect()]
+    assert got == ["consolidated", "consolidated", None, "company", "company", "company"]
+    early = spark.createDataFrame([(1, 0, "NOTES", None, None), (1, 1, "FACE", "balance_sheet", None)], rows.schema)
+    assert [r["scope"] for r in classify.run_scopes(early).orderBy("page_index").collect()] == [None, None]
+
+
+def test_page_margins(spark):
+    from tallyspark.operators import classify, ordered
+
+    row = spark.createDataFrame([("FACE", 1.0, 7.0, -4.0, -2.0), ("POST", 1.0, 0.0, 0.0, -2.0)], "state string, PRE double, FACE double, NOTES double, POST double")
+    assert [(r["margin"], r["confidence"]) for r in classify.margins(row, ordered.STATES).collect()] == [(6.0, 0.8), (-3.0, 0.35)]
+
+
+def test_ports(spark):
+    from tallyspark import ports
+
+    registry = ports.builtin()
+    assert registry.names(ports.OCR) == ["stub"]
+    with pytest.raises(ports.Unavailable):
+        registry.make(ports.FX, "stub").rate("USD", "EUR", "2024-01-01")
+    with pytest.raises(KeyError):
+        registry.make(ports.OCR, "nothing")
+    with pytest.raises(ValueError):
+        registry.register(ports.OCR, "stub", object)
+
+    class Reader:
+        def words(self, image):
+            return [{"text": w, "x0": 0.0, "y0": 0.0, "x1": 0.1, "y1": 0.1} for w in image.decode().split()]
+
+    pages = spark.createDataFrame([(1, 0, b"two words"), (2, 3, b"")], "doc_id long, page_index int, image binary")
+    assert [(r["doc_id"], r["text"]) for r in ports.ocr_words(pages, Reader).collect()] == [(1, "two"), (1, "words")]
+
+    class Model:
+        def answer(self, instructions, payload):
+            return {"a": "k1", "b": "unknown", "z": "k1"}
+
+    groups = spark.createDataFrame([("g", "{}", ["a", "b"], ["k1", "k2"])], "group string, payload string, items array<string>, keys array<string>")
+    assert [tuple(r) for r in ports.answers(groups, Model, "map").collect()] == [("g", "a", "k1")]
+    assert ports.payload(b=1, a=[2]) == '{"a":[2],"b":1}'
+
+
+def test_settings():
+    from tallyspark.operators.overlays import Settings, with_settings
+
+    assert with_settings(Settings(), {"mapping_margin": 0, "candidate_cap": 50}).candidate_cap == 50
+    for bad in ({"nothing": 1}, {"candidate_cap": 0}, {"candidate_cap": 1.5}, {"mapping_margin": "x"}, {"mapping_margin": True}):
+        with pytest.raises(ValueError):
+            with_settings(Settings(), bad)
+
+
+def test_rulebook_errors():
+    from tallyspark.operators import rulebooks
+
+    with pytest.raises(ValueError, match="c inherits 'x'"):
+        rulebooks.resolve_inherits({"section_defaults": {}, "mappings": [{"canonical_key": "c", "inherits": "x"}]})
+    assert rulebooks.resolve_inherits({"mappings": []}) == {"mappings": []}
+    assert len(rulebooks.unknown_keys({str(i): 0 for i in range(99)}, {})) == rulebooks.MOST_UNKNOWN
+
+
+def test_concept_figures_edits(spark):
+    """The first edited row replaces the sum; a row on the same page adds, one on another page is the same fact."""
+    at = "doc_id int, canonical_key string, basis string, period_label string, source_label string, page_index int, place int, edited boolean, value decimal(28,4)"
+    rows = [("a", "cash", 1, 1, False, 5), ("a", "cash", 1, 2, False, 5), ("a", "cash 3", 2, 3, False, 5), ("a", "bank", 2, 4, False, 5), ("b", "cash", 1, 1, False, 5), ("b", "cash", 1, 2, True, 9), ("b", "bank", 3, 3, True, 7), ("c", "cash", None, 1, False, 5), ("c", "cash", 2, 2, False, 5), ("c", "cash", None, 3, False, 5), ("d", "cash", 1, 1, False, None)]
+    f = spark.createDataFrame([(1, k, "c", "p", label, page, n, e, None if v is None else Decimal(v)) for k, label, page, n, e, v in rows], at)
+    got = {r["canonical_key"]: (r["figure"], r["duplicates"], r["edited"]) for r in values.concept_figures(f).collect()}
+    assert got == {"a": (15, 1, False), "b": (9, 0, True), "c": (10, 1, False)}
