@@ -47,12 +47,13 @@ def coverage(results: DataFrame, group: str = "rule_id") -> DataFrame:
     )
 
 
-def guards(grid: DataFrame, a: str, b: str, c: str) -> DataFrame:
-    """Violations of four guards between concepts: sign, mutual exclusion, equality, equality while a third isn't zero."""
+def guards(grid: DataFrame, a: str, b: str, c: str, eliminated: str | None = None) -> DataFrame:
+    """Violations of guards between concepts: sign, mutual exclusion, equality, equality while a third isn't zero, and one that consolidation should have eliminated."""
     x, y, z = (F.col(k).cast("double") for k in (a, b, c))
     found = F.array_compact(F.array(
         F.when(x < 0, F.lit("sign_expectation")), F.when((x != 0) & (y != 0) & (z == 0), F.lit("mutually_exclusive")),
         F.when((x == y) & (x != 0), F.lit("equal_values")), F.when((x == y) & (z != 0), F.lit("equal_while_third_non_zero")),
+        F.when((F.col("basis") == "consolidated") & (F.col(eliminated).cast("double") != 0), F.lit("consolidation_eliminated")) if eliminated else F.lit(None).cast("string"),
     ))
     return grid.select("doc_id", "basis", "period_label", F.explode(found).alias("guard"))
 
@@ -63,3 +64,27 @@ def unsigned_cohort(facts: DataFrame, keys: tuple[str, ...], least: int = 3) ->
     return some.groupBy("doc_id", "basis").agg(F.bool_and(F.col("value") > 0).alias("all_positive"), F.count_distinct("canonical_key").alias("concepts")).where(
         F.col("all_positive") & (F.col("concepts") >= least)
     ).select("doc_id", "basis", "concepts")
+
+
+#: What each reason not to check says of the rule or of the filing.
+TAXONOMY = {
+    "target_not_extracted": "INPUT_ABSENT", "target_missing": "INPUT_ABSENT", "components_not_mapped": "INPUT_ABSENT", "components_missing": "INPUT_ABSENT", "all_missing": "INPUT_ABSENT",
+    "mixed_scale": "INPUT_ABSENT", "ambiguous_mapping": "INPUT_ABSENT", "precondition_absent": "INPUT_ABSENT", "derived_input": "TAUTOLOGICAL", "no_reported_subtotal": "NO_REPORTED_SUBTOTAL",
+    "statement_absent": "STATEMENT_ABSENT", "broken": "UNEVALUABLE_RULE", "unsupported_op": "UNEVALUABLE_RULE", "unparsable_expr": "UNEVALUABLE_RULE", "unresolved_terms": "UNEVALUABLE_RULE",
+    "repeated_term": "UNEVALUABLE_RULE", "guard_unrecognised": "UNEVALUABLE_RULE", "guard_components_unknown": "UNEVALUABLE_RULE",
+}
+
+
+def alarms(results: DataFrame) -> DataFrame:
+    """code, scope, count: statements of which nothing was checked, scopes with more circular rules than checked ones, rules that can't run, and blocking ones among them.
+
+    results: rule, statement, status, reason, severity. ``__all__`` is the scope of all statements together.
+    """
+    bucket = F.create_map(*[F.lit(x) for kv in TAXONOMY.items() for x in kv])[F.col("reason")]
+    rows = results.withColumn("checked", F.col("status").isin("pass", "fail")).withColumn("bucket", F.when(~F.col("checked"), F.coalesce(bucket, F.lit("UNCLASSIFIED"))))
+    sums = rows.rollup("statement").agg(F.count_if("checked").alias("done"), F.count_if(F.col("bucket") == "TAUTOLOGICAL").alias("circular"), F.count_if(F.col("bucket").isNotNull() & (F.col("bucket") != "STATEMENT_ABSENT")).alias("declarable"), F.grouping("statement").alias("g"))
+    scope = F.when(F.col("g") == 1, "__all__").otherwise(F.col("statement"))
+    idle = sums.where("g = 0 and done = 0 and declarable > 0").select(F.lit("unvalidated_statement").alias("code"), scope.alias("scope"), "declarable")
+    circle = sums.where("circular > done").select(F.lit("tautology_exceeds_checks"), scope, "circular")
+    defects = rows.where("bucket in ('UNEVALUABLE_RULE', 'UNCLASSIFIED')").groupBy("rule").agg(F.count("*").alias("n"), F.max(F.when(F.col("bucket") == "UNEVALUABLE_RULE", F.col("severity") == "blocking")).alias("b"))
+    return idle.union(circle).union(defects.select(F.lit("pipeline_defect"), "rule", "n")).union(defects.where("b").select(F.lit("unenforceable_rule"), "rule", "n"))

@@ -71,3 +71,20 @@ def period_ranks(headings: DataFrame, keys: list[str], date: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(date))
     rank = F.dense_rank().over(w)
     return headings.withColumn("period_label", F.when(rank == 1, "current").when(rank == 2, "prior").otherwise(F.concat(F.lit("col"), (rank - 1).cast("string"))))
+
+
+def column_labels(headers: DataFrame, keys: list[str], date: str, period: str, marked: str, text: str) -> DataFrame:
+    """keys, col, period_label of the value columns of a sheet and basis.
+
+    Columns that head a period (or nothing) rank by their dates, newest first, if all are dated and not alike, else by place: current, prior, col2 ...
+    Of columns of one rank the first that isn't restated has the label, the others the label with _restated or their own column. A heading that
+    is no period is its own label. headers: keys, col, and columns of the date (null: none), period (boolean), restated (boolean), text.
+    """
+    w = Window.partitionBy(*keys, period)
+    dated = (F.count(date).over(w) == F.count("*").over(w)) & (F.min(date).over(w) != F.max(date).over(w))
+    rank = F.when(dated, F.dense_rank().over(w.orderBy(F.desc(date)))).otherwise(F.row_number().over(w.orderBy("col"))) - 1
+    rows = headers.withColumn("_r", rank)
+    base = F.when(F.col("_r") == 0, "current").when(F.col("_r") == 1, "prior").otherwise(F.concat(F.lit("col"), F.col("_r").cast("string")))
+    again = F.row_number().over(Window.partitionBy(*keys, period, "_r").orderBy(marked, "col")) > 1
+    label = F.when(~again, base).when(F.col(marked), F.concat(base, F.lit("_restated"))).otherwise(F.concat(base, F.lit("_col"), F.col("col").cast("string")))
+    return rows.select(*keys, "col", F.when(F.col(period), label).otherwise(F.col(text)).alias("period_label"))

@@ -29,16 +29,19 @@ def place_rows(rows: DataFrame, keys: list[str], order: str, own: str, subtotal_
 
 
 def sweep(facts: DataFrame, claimed: Column, section: Column) -> DataFrame:
-    """Unclaimed figures summed into their section's residual: doc_id, basis, period_label, canonical_key, figure, components."""
+    """Unclaimed figures summed into their section's residual: doc_id, basis, period_label, canonical_key, figure, components, largest (of their sizes)."""
     rows = facts.where(~claimed & section.isNotNull()).withColumn("canonical_key", F.concat(section, F.lit("__others")))
-    return rows.groupBy("doc_id", "basis", "period_label", "canonical_key").agg(F.sum("value").alias("figure"), F.count("*").alias("components"))
+    return rows.groupBy("doc_id", "basis", "period_label", "canonical_key").agg(F.sum("value").alias("figure"), F.count("*").alias("components"), F.max(F.abs("value")).alias("largest"))
 
 
-def triggers(swept: DataFrame, totals: DataFrame, share: float = 0.05, most: int = 6) -> DataFrame:
-    """Reasons to look at a residual: its share of the section's total, the number of its components, a sign against the total's."""
+def triggers(swept: DataFrame, totals: DataFrame, share: float = 0.05, most: int = 6, part: float = 0.02) -> DataFrame:
+    """Reasons to look at a residual: its share of the section's total, that of a single component, the number of components, a sign against the total's,
+    a gap (totals may say unallocated_gap), or no total at all.
+    """
     j = swept.join(totals, ["doc_id", "basis", "period_label"], "left")
     f, t = F.col("figure").cast("double"), F.col("total").cast("double")
-    reasons = F.array_compact(F.array(F.when(F.abs(f) > F.abs(t) * share, "share"), F.when(F.col("components") > most, "count"), F.when(f * t < 0, "sign"), F.when(t.isNull(), "no_total")))
+    gap = F.when(F.col("status") == "unallocated_gap", "gap") if "status" in totals.columns else F.lit(None).cast("string")
+    reasons = F.array_compact(F.array(F.when(F.abs(f) > F.abs(t) * share, "share"), F.when(F.col("largest").cast("double") > F.abs(t) * part, "component"), F.when(F.col("components") > most, "count"), F.when(f * t < 0, "sign"), gap, F.when(t.isNull(), "no_total")))
     return j.withColumn("reasons", F.array_join(reasons, ","))
 
 

@@ -231,9 +231,9 @@ def coverage_by_statement(spark, d):
 _G = f"select doc_id, basis, period_label, '%s' as guard from grid where %s"
 
 
-@query("guards", f"with {GRID} " + " union all ".join(_G % x for x in (("sign_expectation", f"{INV} < 0"), ("mutually_exclusive", f"{INV} <> 0 and {REC} <> 0 and {OCA} = 0"), ("equal_values", f"{INV} = {REC} and {INV} <> 0"), ("equal_while_third_non_zero", f"{INV} = {REC} and {OCA} <> 0"))))
+@query("guards", f"with {GRID} " + " union all ".join(_G % x for x in (("sign_expectation", f"{INV} < 0"), ("mutually_exclusive", f"{INV} <> 0 and {REC} <> 0 and {OCA} = 0"), ("equal_values", f"{INV} = {REC} and {INV} <> 0"), ("equal_while_third_non_zero", f"{INV} = {REC} and {OCA} <> 0"), ("consolidation_eliminated", f"basis = 'consolidated' and {PAY} <> 0"))))
 def guards(spark, d):
-    return checks.guards(_grid(spark, d), INV, REC, OCA)
+    return checks.guards(_grid(spark, d), INV, REC, OCA, PAY)
 
 
 @query("unsigned_expense_cohort", f"with {FACTS} select doc_id, basis, count(distinct canonical_key) as concepts from facts where canonical_key in ('{PAY}','{BOR}','{OCL}') and value <> 0 group by doc_id, basis having bool_and(value > 0) and count(distinct canonical_key) >= 3")
@@ -321,22 +321,12 @@ def netting(spark, d):
     return analytics.netting(_grid(spark, d), REC, (PAY,))
 
 
-_LEFT = f"{FACTS}, leftovers as (select doc_id, ordinal as pos, quantity as amount from facts where ordinal <= 8), gaps as (select doc_id, sum(amount) filter (where pos in (1, 3)) as gap from leftovers group by doc_id having count(*) >= 3)"
+_LEFT = f"{FACTS}, leftovers as (select doc_id, ordinal as pos, quantity as amount from facts where ordinal <= 14), gaps as (select doc_id, sum(amount) filter (where pos in (1, 3)) as gap from leftovers group by doc_id having count(*) >= 3)"
 
 
 @query("gap_subsets", f"with {_LEFT}, sets as (select a.doc_id, 1 as n, [a.pos] as m, a.amount as total from leftovers a union all select a.doc_id, 2, [a.pos, b.pos], a.amount + b.amount from leftovers a join leftovers b on a.doc_id = b.doc_id and b.pos > a.pos union all select a.doc_id, 3, [a.pos, b.pos, c.pos], a.amount + b.amount + c.amount from leftovers a join leftovers b on a.doc_id = b.doc_id and b.pos > a.pos join leftovers c on c.doc_id = b.doc_id and c.pos > b.pos), "
        "k as (select gaps.doc_id, gap, m, row_number() over (partition by gaps.doc_id order by n, m) as rank from sets join gaps using (doc_id) where abs(total - gap) <= 0.5) select doc_id, gap, array_to_string(m, ',') as members, rank from k where rank <= 8")
 def gap_subsets(spark, d):
-    left = facts(spark, d, ordered=True).where("ordinal <= 8").select("doc_id", F.col("ordinal").alias("pos"), F.col("quantity").alias("amount"))
-    gaps = left.groupBy("doc_id").agg(F.sum(F.when(F.col("pos").isin(1, 3), F.col("amount"))).alias("gap"), F.count("*").alias("n")).where("n >= 3").drop("n")
-    return analytics.gap_subsets(gaps, left)
-
-
-_LEFT_ALL = _LEFT.replace("from facts where ordinal <= 8)", "from facts where ordinal <= 14)")
-
-
-@query("gap_subsets_first14", ORACLE["gap_subsets"].replace(_LEFT, _LEFT_ALL))
-def gap_subsets_first14(spark, d):
     left = facts(spark, d, ordered=True).select("doc_id", F.col("ordinal").alias("pos"), F.col("quantity").alias("amount"))
     gaps = left.groupBy("doc_id").agg(F.sum(F.when(F.col("pos").isin(1, 3), F.col("amount"))).alias("gap"), F.count("*").alias("n")).where("n >= 3").drop("n")
     return analytics.gap_subsets(gaps, left)
@@ -371,10 +361,11 @@ def _judgements(spark, d):
     o = table(spark, d, "orders")
     found = o.select(F.col("o_orderkey").alias("subject_key"), asof.digest(F.col("o_orderstatus")).alias("digest"))
     seen = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("subject_key"), asof.digest(F.when(F.col("o_orderkey") % 5 == 0, F.lit("moved")).otherwise(F.col("o_orderstatus"))).alias("judged"))
-    return found.where("subject_key % 7 <> 0"), seen
+    twice = found.where("subject_key % 11 = 0").withColumn("digest", asof.digest(F.lit("another")))
+    return found.union(twice).where("subject_key % 7 <> 0"), seen
 
 
-@query("judgement_status", "select o_orderkey as subject_key, case when o_orderkey % 3 = 0 then 'open' when o_orderkey % 5 = 0 then 'stale' else 'accepted' end as status from orders where o_orderkey % 7 <> 0")
+@query("judgement_status", "select o_orderkey as subject_key, case when o_orderkey % 11 = 0 then 'conflict' when o_orderkey % 3 = 0 then 'open' when o_orderkey % 5 = 0 then 'stale' else 'accepted' end as status from orders, (values (0), (1)) t(n) where o_orderkey % 7 <> 0 and (n = 0 or o_orderkey % 11 = 0)")
 def judgement_status(spark, d):
     return asof.judgement_status(*_judgements(spark, d)).select("subject_key", "status")
 

