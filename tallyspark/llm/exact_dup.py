@@ -66,22 +66,21 @@ def fingerprint(data: bytes) -> tuple[int, int]:
     return out[0], out[1]
 
 
-_SCHEMA = "doc_id long, n_bytes long, fp1 long, fp2 long, text_sha256 string, row long"
+_SCHEMA = "doc_id long, n_bytes long, fp1 long, fp2 long, text_sha256 string, row long, mark long"
 KEY = ["n_bytes", "fp1", "fp2"]
 
 
-def _fingerprints(with_text: bool):
-    def run(batches):
-        for batch in slices(batches):
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            marks = [fingerprint(t) for t in texts]
-            out = {
-                "doc_id": batch.column(0), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "fp1": pa.array([m[0] for m in marks], pa.int64()),
-                "fp2": pa.array([m[1] for m in marks], pa.int64()), "text_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), "row": batch.column(2),
-            }
-            yield pa.RecordBatch.from_pydict(out | ({"text": batch.column(1)} if with_text else {}))
+def _fingerprints(batches):
+    import xxhash
 
-    return run
+    for batch in slices(batches):
+        texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+        prints = [fingerprint(t) for t in texts]
+        marks = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)  # what Spark's xxhash64 gives
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": batch.column(0), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "fp1": pa.array([m[0] for m in prints], pa.int64()), "fp2": pa.array([m[1] for m in prints], pa.int64()),
+            "text_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), "row": batch.column(2), "mark": marks,
+        })
 
 
 def _chunk_hashes(batches):
@@ -98,45 +97,46 @@ def _chunk_hashes(batches):
 _CHUNKS = f"transform(sequence(0, cast((greatest(octet_length(text), 1) - 1) div {CHUNK} as int)), i -> substring(encode(text, 'UTF-8'), i * {CHUNK} + 1, {CHUNK}))"
 
 
-def _huge_fingerprints(rows: DataFrame, with_text: bool) -> DataFrame:
+def _huge_fingerprints(rows: DataFrame) -> DataFrame:
     """The same columns for huge texts: their chunks are dealt out, hashed and folded."""
     chunks = rows.select("row", F.posexplode(F.expr(_CHUNKS)).alias("no", "chunk")).repartition("row", "no")
     hashed = chunks.mapInArrow(_chunk_hashes, "row long, no int, length long, h1 long, shift1 long, h2 long, shift2 long")
     parts = hashed.groupBy("row").agg(F.sum("length").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("no", "h1", "shift1", "h2", "shift2"))).alias("parts"))
     fold = lambda i: F.expr(f"aggregate(parts, 0L, (a, x) -> (a * x.shift{i} + x.h{i}) % {FIELDS[i - 1][0]})")
-    marks = parts.select("row", "n_bytes", fold(1).alias("fp1"), fold(2).alias("fp2"))
-    own = rows.select("doc_id", "row", F.sha2("text", 256).alias("text_sha256"), *(["text"] if with_text else []))
-    return own.join(marks, "row").select("doc_id", *KEY, "text_sha256", "row", *(["text"] if with_text else []))
+    prints = parts.select("row", "n_bytes", fold(1).alias("fp1"), fold(2).alias("fp2"))
+    own = rows.select("doc_id", "row", F.sha2("text", 256).alias("text_sha256"), F.xxhash64("text").alias("mark"))
+    return own.join(prints, "row").select("doc_id", *KEY, "text_sha256", "row", "mark")
 
 
-def fingerprints(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, fp1, fp2, text_sha256 and row (a number of its own) of every row, and the text if asked for."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, fp1, fp2, text_sha256, row (a number of its own) and mark (xxhash64 of the text) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
     huge = F.octet_length("text") > HUGE
-    here = rows.where(~huge).withColumn("row", F.col("row") * 2).mapInArrow(_fingerprints(with_text), _SCHEMA + (", text string" if with_text else ""))
-    return here.unionByName(_huge_fingerprints(rows.where(huge).withColumn("row", F.col("row") * 2 + 1), with_text))
+    here = rows.where(~huge).withColumn("row", F.col("row") * 2).mapInArrow(_fingerprints, _SCHEMA)
+    return here.unionByName(_huge_fingerprints(rows.where(huge).withColumn("row", F.col("row") * 2 + 1)))
 
 
 def unequal_groups(docs: DataFrame, shared: DataFrame, keys: int) -> DataFrame:
-    """Keys of the groups whose texts differ in some chunk. shared: the keys, so many, that several rows have.
+    """Keys of the groups whose texts differ. shared: the keys, so many, that several rows have, and the least and greatest mark of their rows.
 
-    The rows that a bitmap of the keys lets pass are compared, without a join: a row that passes by chance is alone in its group.
+    Texts of one fingerprint and two marks differ. The others are compared chunk by chunk, where they lie: rows that a bitmap of the marks lets
+    pass need no join, as one that passes by chance is alone with its mark.
     """
-    key = F.xxhash64(*KEY)
-    rows = fingerprints(docs, with_text=True).withColumn("key", key)
-    passed = probable_rows(rows, "key", shared.select(key.alias("wanted")), "wanted", keys)
-    chunks = passed.select(*KEY, F.posexplode(F.expr(_CHUNKS)).alias("no", "chunk"))
-    compared = chunks.groupBy(*KEY, "no").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
-    return compared.where("lo <> hi").select(*KEY).distinct()
+    texts = docs.select(text_or_empty().alias("text")).withColumn("mark", F.xxhash64("text"))
+    passed = probable_rows(texts, "mark", shared.where("lo = hi").select(F.col("lo").alias("wanted")), "wanted", keys)
+    chunks = passed.select("mark", F.posexplode(F.expr(_CHUNKS)).alias("no", "chunk"))
+    differ = chunks.groupBy("mark", "no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).where("least <> most").select("mark").distinct()
+    return shared.where("lo <> hi").select(*KEY).union(shared.join(differ, shared["lo"] == differ["mark"], "left_semi").select(*KEY)).distinct()
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id (largest doc_id of the equal texts), group_size, kept, text_sha256: a row for each input row."""
     stored = base = materialize(fingerprints(docs), "fingerprints")
     last = F.max(F.struct("doc_id", "row")).alias("last")
-    shared = materialize(base.groupBy(*KEY).agg(F.count("*").alias("group_size"), last).where("group_size > 1"), "shared-fingerprints")
+    marks = [F.min("mark").alias("lo"), F.max("mark").alias("hi")]
+    shared = materialize(base.groupBy(*KEY).agg(F.count("*").alias("group_size"), last, *marks).where("group_size > 1"), "shared-fingerprints")
     unequal = materialize(unequal_groups(docs, shared, shared.count()), "unequal-groups")
-    part, groups, split = F.lit(""), shared.withColumn("part", F.lit("")), unequal.count()
+    part, groups, split = F.lit(""), shared.drop("lo", "hi").withColumn("part", F.lit("")), unequal.count()
     if split:  # fingerprints that different texts have: told apart by SHA-256 as well
         apart = (F.broadcast(unequal) if split <= 1000 else unequal).withColumn("split", F.lit(True))
         base = base.join(apart, KEY, "left")
