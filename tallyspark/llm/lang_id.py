@@ -59,6 +59,24 @@ class ByteCnn:
             parts.append(z / z.sum(axis=1, keepdims=True))
         return np.concatenate(parts)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross-entropy of some windows, by embedding, kernel, output and bias; only the position of a filter's maximum takes part."""
+        n = len(x)
+        top, at = self.pooled(x, where=True)
+        hidden = np.tanh(top)
+        z = hidden @ self.out + self.bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(n), y] -= 1
+        p /= n
+        d_top = (p @ self.out.T) * (1 - hidden**2)
+        d_embed, d_kernel = np.zeros_like(self.embed), np.zeros_like(self.kernel)
+        for k in range(self.width):
+            b = x[np.arange(n)[:, None], at + k]
+            d_kernel[k] = np.einsum("bf,bfd->df", d_top, self.embed[b])
+            np.add.at(d_embed, b, d_top[:, :, None] * self.kernel[k].T[None])
+        return [d_embed, d_kernel * self.taps, hidden.T @ p, p.sum(axis=0)]
+
     def train(self, windows: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> None:
         rng = np.random.default_rng(SEED + 1)
         weights = [self.embed, self.kernel, self.out, self.bias]
@@ -66,21 +84,7 @@ class ByteCnn:
         by_label = [np.flatnonzero(labels == k) for k in range(len(self.languages))]
         for step in range(1, steps + 1):
             pick = np.array([rng.choice(by_label[k]) for k in rng.integers(0, len(by_label), BATCH)])
-            x, y = windows[pick], labels[pick]
-            top, at = self.pooled(x, where=True)
-            hidden = np.tanh(top)
-            z = hidden @ self.out + self.bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(BATCH), y] -= 1
-            p /= BATCH
-            d_top = (p @ self.out.T) * (1 - hidden**2)
-            d_embed, d_kernel = np.zeros_like(self.embed), np.zeros_like(self.kernel)
-            for k in range(self.width):  # only the position of a filter's maximum gets a gradient
-                b = x[np.arange(BATCH)[:, None], at + k]
-                d_kernel[k] = np.einsum("bf,bfd->df", d_top, self.embed[b])
-                np.add.at(d_embed, b, d_top[:, :, None] * self.kernel[k].T[None])
-            for w, g, m, v in zip(weights, [d_embed, d_kernel * self.taps, hidden.T @ p, p.sum(axis=0)], first, second, strict=True):
+            for w, g, m, v in zip(weights, self.gradients(windows[pick], labels[pick]), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -169,7 +173,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose language is learned and whose score is at least min_score; text and columns unchanged."""
     net = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
 

@@ -3,9 +3,10 @@
 HTML is parsed into an ordered array of structs (position, kind text or media, text, digest, caption): runs of
 text between references are text elements, an ``img``, ``audio``, ``video`` or ``source`` element is a media
 element whose ``src`` names a digest (``sha256:...``); its caption is the ``figcaption`` of its figure, else its
-``alt`` or ``title``. Payloads are stored losslessly as 8-bit greyscale PNG images of 576 columns in a written table,
-keyed by the payload's digest; what is computed of them is read back from there and joined by digest, so that positions
-and captions stay aligned with it. The catalog holds a digest once however many documents refer to it.
+``alt`` or ``title``. Payloads are stored losslessly as 8-bit greyscale images (PGM) of 576 columns in a written table,
+keyed by the payload's digest, which is checked when they are read; what is computed of them is read back from there and
+joined by digest, so that positions and captions stay aligned with it. The catalog holds a digest once however many
+documents refer to it.
 
 Null HTML gives an empty sequence, a null text an empty payload. A reference without a stored payload keeps its
 place with null features. Repeated rows are kept each; extra columns are ignored.
@@ -16,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -29,7 +29,7 @@ from tallyspark.llm.html_extract import INLINE, RAW, tokens
 
 #: Samples in a row, and so the unit to which payloads are filled up with bytes 255.
 UNIT = 576
-_SIGNATURE = b"\x89PNG\r\n\x1a\n"
+_HEADER = re.compile(rb"P5\n([0-9]+) ([0-9]+)\n255\n")
 ELEMENT = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 MEDIA_TAGS = frozenset({"img", "audio", "video", "source"})
 SILENT_TAGS = frozenset({"noscript", "template"})
@@ -40,40 +40,17 @@ def pad(data: bytes) -> bytes:
     return data + b"\xff" * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
 
 
-def _chunk(kind: bytes, body: bytes) -> bytes:
-    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+def encode_image(payload: bytes) -> bytes:
+    """A greyscale image whose samples are the payload (a positive multiple of UNIT bytes)."""
+    return b"P5\n%d %d\n255\n" % (UNIT, len(payload) // UNIT) + payload
 
 
-def encode_png(payload: bytes) -> bytes:
-    """A greyscale image whose samples are the payload (a positive multiple of UNIT bytes)."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
-    lines = np.zeros((len(rows), UNIT + 1), np.uint8)  # every line begins with filter type 0
-    lines[:, 1:] = rows
-    header = struct.pack(">IIBBBBB", UNIT, len(rows), 8, 0, 0, 0, 0)
-    return _SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
-
-
-def decode_png(data: bytes) -> bytes:
-    """The samples of an image that encode_png() wrote; anything else, or damage, raises ValueError."""
-    if data[:8] != _SIGNATURE:
-        raise ValueError("not a PNG")
-    at, width, height, body = 8, 0, 0, b""
-    while at < len(data):
-        n, kind = struct.unpack_from(">I4s", data, at)
-        part = data[at + 8 : at + 8 + n]
-        if zlib.crc32(kind + part) != struct.unpack_from(">I", data, at + 8 + n)[0]:
-            raise ValueError("damaged chunk")
-        if kind == b"IHDR":
-            width, height, depth, colour, *_ = struct.unpack(">IIBBBBB", part)
-            if (depth, colour) != (8, 0):
-                raise ValueError("not 8-bit greyscale")
-        elif kind == b"IDAT":
-            body += part
-        at += 12 + n
-    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, width + 1)
-    if lines[:, 0].any():
-        raise ValueError("filtered lines")
-    return lines[:, 1:].tobytes()
+def decode_image(data: bytes) -> bytes:
+    """The samples of an image that encode_image() wrote; anything else raises ValueError."""
+    head = _HEADER.match(data)
+    if not head or int(head[1]) != UNIT or len(data) - head.end() != UNIT * int(head[2]):
+        raise ValueError("not a greyscale image of this width")
+    return data[head.end() :]
 
 
 def interleave(html: str | None) -> list[dict]:
@@ -148,7 +125,7 @@ def _store(batches):
             [
                 pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
                 pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([encode_png(pad(t)) for t in texts], pa.binary()),
+                pa.array([encode_image(pad(t)) for t in texts], pa.binary()),
             ],
             names=["digest", "n_bytes", "media"],
         )
@@ -162,9 +139,11 @@ def store_texts(docs: DataFrame) -> DataFrame:
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def features(media: bytes) -> tuple:
-    """What is read back from a stored form; feature: size in samples, their sum, and how many values occur."""
-    payload = decode_png(media)
+def features(media: bytes, n_bytes: int, digest: str) -> tuple:
+    """What is read back from a stored form; feature: size in samples, their sum, and how many values occur. Bytes of another digest raise ValueError."""
+    payload = decode_image(media)
+    if hashlib.sha256(payload[:n_bytes]).hexdigest() != digest:
+        raise ValueError("damaged payload")
     samples = np.frombuffer(payload, np.uint8)
     told = f"{UNIT}x{len(payload) // UNIT};sum={int(samples.sum(dtype=np.int64))};values={int((np.bincount(samples, minlength=256) > 0).sum())}"
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), told
@@ -174,7 +153,7 @@ def _read(batches):
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in slices(batches):
-        rows = [features(m) for m in batch.column(2).to_pylist()]
+        rows = [features(m, n, d) for d, n, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, cols, kinds)], names=["digest", "n_bytes", *names])
 
@@ -206,3 +185,19 @@ def text_media(docs: DataFrame) -> DataFrame:
     pages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), html.alias("html"))
     found = resolve(sequences(pages), media)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def oracle_sql() -> str:
+    """The rows of text_media() over documents in DuckDB's dialect. Bytes are written in hexadecimal."""
+    size = f"greatest({UNIT}, ceil(n / {UNIT}.0)::bigint * {UNIT})"
+    crc = "list_reduce(list_prepend(4294967295::bigint, {b}), lambda a, b: list_reduce(list_prepend(xor(a, b), range(0, 8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+    numbers = "list_transform(regexp_extract_all({h}, '..'), lambda x: ('0x' || x)::bigint)"
+    return (
+        "with d as (select doc_id, encode(coalesce(text, '')) as t from documents), h as (select doc_id, hex(t) as h, octet_length(t) as n from d), "
+        f"p as (select doc_id, n, h || repeat('FF', ({size} - n)::int) as h, {size} as m from h), "
+        f"i as (select *, hex(encode('P5' || chr(10) || '{UNIT} ' || m // {UNIT} || chr(10) || '255' || chr(10))) || h as image, {numbers.format(h='h')} as v, {numbers.format(h='right(h, 64)')} as tail from p) "
+        "select doc_id, n as n_bytes, m as payload_bytes, sha256(unhex(h)) as payload_sha256, xor("
+        + crc.format(b="tail")
+        + f", 4294967295::bigint) as tail_crc32, length(image) // 2 as media_bytes, sha256(unhex(image)) as media_sha256, '{UNIT}x' || m // {UNIT} || ';sum=' || list_sum(v)::bigint || ';values=' || list_unique(v) as feature, "
+        "0 as position, 'text of ' || n || ' bytes' as caption from i"
+    )

@@ -65,9 +65,12 @@ QUERIES = {f.__name__: f for f in (op1_url_rules, op2_packing, op3_media_columns
 
 ORACLE = {
     "op1_url_rules": url_filter.oracle_sql(),
+    "op3_media_columns": media.oracle_sql(),
+    "op5_minhash": near_dup.oracle_sql(85),
     "op8_exact": (
-        "select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, coalesce(doc_id = max(doc_id) over w, false) as kept, "
+        "select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, row_number() over (w order by doc_id desc nulls last) = 1 as kept, "
         "sha256(coalesce(text, '')) as text_sha256 from documents window w as (partition by coalesce(text, ''))"
     ),
     "op9_pii": pii.oracle_sql(),
+    "op10_repeats": suffix_dedup.ORACLE_SQL,
 }

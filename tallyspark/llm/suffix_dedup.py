@@ -646,3 +646,19 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     whole = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     whole = whole.join(ranges.select("doc_id"), "doc_id", "left_anti")
     return whole.unionByName(cut)
+
+
+#: The rows of remove_repeats() over documents (ids are not null there, and each stands for one text) in DuckDB's dialect: all windows, in hexadecimal.
+ORACLE_SQL = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) as k from (select doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) as i from d where length(h) >= {2 * LENGTH})),
+f as (select k, min((doc_id, i)) as f from w group by k having count(*) > 1),
+r as (select doc_id, i from w join f using (k) where (doc_id, i) <> f),
+g as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= {LENGTH} then 0 else 1 end as new from r),
+q as (select doc_id, i, sum(new) over (partition by doc_id order by i) as q from g),
+s as (select doc_id, min(i) as a, max(i) + {LENGTH} as b from q group by doc_id, q),
+t as (select doc_id, list((a, b) order by a) as l, sum(b - a)::bigint as n_removed, count(*) as n_spans from s group by doc_id),
+c as (select d.doc_id, h, n_removed, n_spans, case when l is null then h else list_aggregate(list_concat([substr(h, 1, 2 * l[1][1])],
+ list_transform(range(1, len(l) + 1), lambda j: substr(h, 2 * l[j][2] + 1, case when j = len(l) then length(h) else 2 * (l[j + 1][1] - l[j][2]) end))), 'string_agg', '') end as left_over from d left join t using (doc_id))
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(left_over)) as kept_sha256 from c
+"""
