@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 26
 
 
+#: Rows and bytes that go to a Python worker at once while an intermediate table is written.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 23}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -46,6 +51,19 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def _short_batches(spark: SparkSession):
+    """Rows go to Python workers a few at a time: whole texts are large, and the buffers of a batch stay with the task."""
+    held = {k: spark.conf.get(k) for k in BATCHES}
+    try:
+        for k, most in BATCHES.items():
+            spark.conf.set(k, str(most))
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -53,7 +71,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _short_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     atexit.register(_remove_quietly, spark, path)

@@ -239,7 +239,7 @@ _LED = "x long, y long, bucket long, table int, signature binary"
 
 
 def _leader_pairs(agree: int):
-    """Pairs (x, y) with leaders; of buckets in several blocks also the leaders (x), as members of the smaller bucket that they make."""
+    """Pairs of a leader (x) and another row (y); of buckets in several blocks also the leaders (x), as members of the smaller bucket that they make."""
 
     def rows(x, y, bucket=None, table=None, signature=None):
         none = [None] * len(x)
@@ -253,7 +253,7 @@ def _leader_pairs(agree: int):
             x, y = m.rep[r], m.rep[s]
             for k in range(0, len(x), 1 << 16):
                 a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                yield rows(np.minimum(a, b), np.maximum(a, b))
+                yield rows(a, b)
             lead = lead[cut[lead]]
             if len(lead):
                 yield rows(m.rep[lead], None, bucket[lead], m.table[lead], [m.signature[i].tobytes() for i in lead])
@@ -343,7 +343,8 @@ def leader_pairs(rows: DataFrame, agree: int) -> DataFrame:
         counted.append(materialize(leaders.groupBy("bucket").count(), "leaders"))
         rows = leaders.join(counted[-1], "bucket")
     pairs = functools.reduce(DataFrame.union, [t.where("bucket is null").select("x", "y") for t in led])
-    out = materialize(pairs.distinct(), "candidate-pairs")
+    once = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("x").alias("x"))
+    out = materialize(once.select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y")), "candidate-pairs")
     discard(*led, *counted)
     return out
 
@@ -377,51 +378,65 @@ def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _verified(batches, percent: int):
-    kept: tuple | None = None
-    for batch in slices(batches):
+    """Links of the rows in order of x, salt and y: a row without y brings the text that those behind it are compared with."""
+    head: tuple = (None, None)
+    for batch in slices(batches, 64):
         xs, ys = [], []
-        for x, y, tx, ty in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if kept is None or kept[0] != x:
-                kept = (x, shingle_set(tx))
-            if _linked(kept[1], shingle_set(ty), percent):
+        for x, y, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if y is None:
+                head = (x, shingle_set(text))
+            elif _linked(head[1], shingle_set(text), percent):
                 xs.append(x)
                 ys.append(y)
-        yield pa.RecordBatch.from_pydict({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+        if xs:
+            yield pa.RecordBatch.from_pydict({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
 
-def _of_mark(batches):
-    """The rows whose text has the shingle set of the mark."""
+def _of_mark(batches, text: int, mark: int):
+    """The rows whose text has the shingle set of the mark; text, mark: the columns' places."""
     for batch in slices(batches):
-        yield batch.filter(pa.array([_mark(shingle_set(t)) == m for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.bool_()))
+        yield batch.filter(pa.array([_mark(shingle_set(t)) == m for t, m in zip(batch.column(text).to_pylist(), batch.column(mark).to_pylist(), strict=True)], pa.bool_()))
 
 
-def _texts(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep, text of some classes (reps: rep). classes: rep, least (an id of it), mark, several (whether that id has other texts)."""
-    wanted = materialize(classes.join(reps, "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), F.when(F.col("several"), F.col("mark")).alias("mark")), "wanted")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = probable_rows(rows, "doc_id", wanted, "doc_id", wanted.count()).join(wanted, "doc_id")
-    sure = found.where("mark is null").select("rep", "text")
-    told = found.where("mark is not null").select("rep", "text", "mark").mapInArrow(_of_mark, "rep long, text string, mark binary").drop("mark")
-    out = materialize(sure.unionByName(told), "pair-texts")
-    discard(wanted)
-    return out
+def _with_texts(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (rep and others) with the text of a document of the class; and the written table that this reads.
+
+    classes: rep, least (an id of it), mark, several (whether that id has other texts).
+    """
+    keyed = materialize(rows.join(classes.select("rep", "least", F.when(F.col("several"), F.col("mark")).alias("mark")), "rep"), "wanted")
+    ids = keyed.select("least").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), text_or_empty().alias("text"))
+    found = probable_rows(texts, "least", ids.withColumnRenamed("least", "wanted"), "wanted", ids.count()).join(keyed, "least")
+    out = found.where("mark is null")
+    if not keyed.where("mark is not null").isEmpty():
+        known = found.where("mark is not null")
+        at = [known.columns.index(c) for c in ("text", "mark")]
+        out = out.unionByName(known.mapInArrow(lambda batches: _of_mark(batches, *at), known.schema))
+    return out.drop("least", "mark"), keyed
+
+
+#: Pairs of one leader that a task verifies; a leader of more is verified by several.
+PAIRS = 256
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) of classes whose whole shingle sets reach the similarity."""
-    texts = _texts(docs, classes, pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct())
-    both = pairs.join(texts.select(F.col("rep").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("rep").alias("x"), F.col("text").alias("tx")), "x")
-    out = materialize(both.select("x", "y", "tx", "ty").mapInArrow(lambda batches: _verified(batches, percent), _PAIR).distinct(), "links")
-    discard(texts)
+    """The pairs (x, y) of classes whose whole shingle sets reach the similarity. A leader's text travels once for each PAIRS of its pairs."""
+    leaders = materialize(pairs.groupBy("x").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts")), "leaders")
+    heads = leaders.select(F.col("x").alias("rep"), "x", F.lit(None).cast("long").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    others = pairs.join(leaders, "x").select(F.col("y").alias("rep"), "x", "y", F.pmod(F.xxhash64("y"), F.col("salts")).cast("int").alias("salt"))
+    rows, keyed = _with_texts(docs, classes, heads.unionByName(others))
+    dealt = rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "y")  # nulls come first
+    out = materialize(dealt.select("x", "y", "text").mapInArrow(lambda batches: _verified(batches, percent), _PAIR), "links")
+    discard(leaders, keyed)
     return out
 
 
 def verify_across(members: DataFrame, docs: DataFrame, classes: DataFrame, agree: int, percent: int) -> DataFrame:
     """Links (x, y) between members of a bucket that are of different components."""
-    texts = _texts(docs, classes, members.select("rep").distinct())
-    rows = _sorted(members.join(texts, "rep"))
-    out = materialize(rows.mapInArrow(_links_across(agree, percent), _PAIR).distinct(), "links")
-    discard(texts)
+    rows, keyed = _with_texts(docs, classes, members)
+    dealt = _sorted(rows.select(*members.columns, "text"))
+    out = materialize(dealt.mapInArrow(_links_across(agree, percent), _PAIR).distinct(), "links")
+    discard(keyed)
     return out
 
 
@@ -478,14 +493,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     verified = verify(pairs, docs, classes, percent)
     links = verified.union(same_id)
     near = components(links)
-    labelled = buckets.join(near.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(signatures, "rep")
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    mixed = materialize(mixed.where("lo < hi").select("bucket", "n", "shingles"), "mixed-buckets")
-    dealt, blocks = _dealt(labelled.join(mixed, "bucket"))
+    labelled = buckets.join(near.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    rest = materialize(labelled.join(mixed, "bucket", "left_semi").join(signatures, "rep"), "mixed-members")
+    sizes = materialize(rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")), "mixed-buckets")
+    dealt, blocks = _dealt(rest.join(sizes, "bucket"))
     members = materialize(dealt.mapInArrow(_open_members(agree), _MEMBER), "open-members")
     more = verify_across(members, docs, classes, agree, percent)
     final = materialize(components(links.union(more)), "components")
-    discard(buckets, pairs, mixed, blocks, members, near)
+    discard(buckets, pairs, rest, sizes, blocks, members, near)
     of = classes.join(final.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     smallest = of.groupBy("component").agg(F.min("least").alias("component_id"))
     of = materialize(of.join(smallest, "component").select("mark", "component_id"), "class-labels")
@@ -502,3 +518,15 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     gone = materialize(labels.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "near-gone")
     discard(labels)
     return without(docs, "doc_id", gone, name, F.col("doc_id") == F.col(name), gone.count())
+
+
+def oracle_sql(percent: int = 85) -> str:
+    """The rows of near_duplicates() over documents (ids are not null there, and each stands for one text) in DuckDB's dialect: all shared shingles are counted."""
+    return (
+        "with recursive d as (select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents), "
+        f"s as (select distinct r, doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') as h from (select r, doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) as i from d where len(w) > 0)), "
+        "n as (select r, any_value(doc_id) as doc_id, count(*) as n from s group by r), p as (select a.r as x, b.r as y, count(*) as c from s a join s b on a.h = b.h and a.r < b.r group by all), "
+        f"l as (select n.doc_id as x, m.doc_id as y from p join n on n.r = x join n m on m.r = y where 100 * c >= {percent} * (n.n + m.n - c) and n.doc_id <> m.doc_id), e as (select x, y from l union select y, x from l), "
+        "k as (select x as doc_id, x as component from e union select e.y, k.component from k join e on e.x = k.doc_id and k.component < e.y), m as (select doc_id, min(component) as component from k group by doc_id) "
+        "select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(least(component, d.doc_id), d.doc_id) as component_id, coalesce(least(component, d.doc_id), d.doc_id) = d.doc_id as kept from d left join n using (r) left join m on m.doc_id = d.doc_id"
+    )
