@@ -151,7 +151,7 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _rows(pieces: list[tuple], with_ids: bool) -> pa.RecordBatch:
+def _rows(pieces: list[tuple], with_ids: str) -> pa.RecordBatch:
     cols = list(zip(*pieces, strict=True)) if pieces else [[]] * 6
     arrays = {
         "doc_id": cols[0],
@@ -163,13 +163,15 @@ def _rows(pieces: list[tuple], with_ids: bool) -> pa.RecordBatch:
         "offset": cols[5],
     }
     out = {k: pa.array(v, pa.int64()) for k, v in arrays.items()}
-    if with_ids:
+    if with_ids == "array":
         out["ids"] = pa.array([x.astype(np.int32) for x in cols[2]], pa.list_(pa.int32()))
+    elif with_ids == "binary":
+        out["ids"] = pa.array([np.ascontiguousarray(x, "<u4").tobytes() for x in cols[2]], pa.binary())
     return pa.RecordBatch.from_pydict(out)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids, if asked for)."""
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, with_ids: str = "") -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids "array" or "binary" (little-endian, 32 bits each) adds the ids."""
 
     def run(batches):
         context = TaskContext.get()
@@ -187,4 +189,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, wit
             yield _rows(packer.drain(), with_ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(run, SCHEMA + {"": "", "array": ", ids array<int>", "binary": ", ids binary"}[with_ids])

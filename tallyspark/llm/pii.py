@@ -71,6 +71,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 #: Characters before a span in which its kind's words are looked for, and the score that an added kind needs.
 NEAR_CHARS, LEAST_SCORE = 40, 0.5
 
+#: What a text has if it has a span of any kind here.
+ANY = "[0-9@]"
 _SPAN = "struct<kind:string,start:int,end:int,value:string,score:double>"
 
 
@@ -102,9 +104,10 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, into: str = "span
     counts only where the words before it speak for it.
     """
     name = fresh(docs)
-    text, each = name("text"), [name(k.name) for k in kinds]
-    found = docs.withColumn(text, text_or_empty()).withColumns({c: _spans(k, text) for c, k in zip(each, kinds, strict=True)})
-    return found.withColumn(into, F.concat(*map(F.col, each))).drop(text, *each)
+    text = name("text")
+    found = docs.withColumn(text, text_or_empty())
+    spans = F.concat(*[_spans(k, text) for k in kinds])
+    return found.withColumn(into, F.when(F.col(text).rlike(ANY), spans).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))).drop(text)
 
 
 def _listed(spans: str) -> Column:
