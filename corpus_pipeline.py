@@ -30,8 +30,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 1024 ids: a row for each piece, with its ids."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True)
+    """Windows of 1024 ids: a row for each piece, with its ids as little-endian bytes, 4 each."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), with_ids="binary")
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("pii", private), ("packing", packed)]
