@@ -21,15 +21,16 @@ def mark_summable(facts: DataFrame, amount: str = "value") -> DataFrame:
     return facts.withColumn("keep", F.col(amount).isNotNull() & keep)
 
 
-def concept_figures(facts: DataFrame, amount: str = "value") -> DataFrame:
+def concept_figures(facts: DataFrame, amount: str = "value", arranged: bool = False) -> DataFrame:
     """The figure of every cell, and how many rows don't add to it: figure, duplicates, edited.
 
     An edited row's figure (the first one's) replaces the printed ones; else the rows that count are summed (mark_summable() says which),
     null if there are none. Three aggregations of one partitioning, without a sort. facts: place orders the rows of a document.
+    arranged: the facts are partitioned by cell already (store_facts()), so that nothing is shuffled.
     """
     known = facts.where(F.col(amount).isNotNull()).withColumn("caption", caption_key(F.col("source_label")))
     same = [*CELL, "caption", amount]
-    pages = known.repartition(*CELL).groupBy(*same, "page_index").agg(F.count("*").alias("n"), F.min("place").alias("at"), F.min(F.when(F.col("edited"), F.col("place"))).alias("edited_at"))
+    pages = (known if arranged else known.repartition(*CELL)).groupBy(*same, "page_index").agg(F.count("*").alias("n"), F.min("place").alias("at"), F.min(F.when(F.col("edited"), F.col("place"))).alias("edited_at"))
     apart = F.sum(F.when(F.col("page_index").isNull(), F.col("n")))
     first = F.min_by(F.struct("page_index", "n"), "at")
     counted = F.when(first["page_index"].isNull(), apart).otherwise(first["n"] + F.coalesce(apart, F.lit(0)))

@@ -85,6 +85,17 @@ def classified_pages(spark, d):
     return ordered.decode_pages(classify.page_scores(_filing(spark))).select("page_index", "state")
 
 
+#: How much better each page's state fits it than the next best, by hand, and the confidence of that.
+_MARGINS = list(zip(range(15), _STATES, (9.0, 9.0, 8.0, 9.0, 8.0, -8.0, 14.5, -1.0, 6.0, 0.5, 8.0, 3.0, -1.0, 9.0, -1.0), (0.95, 0.95, 0.9, 0.95, 0.9, 0.3, 0.97, 0.45, 0.8, 0.525, 0.9, 0.65, 0.45, 0.95, 0.45), strict=True))
+
+
+@query("page_margins", told(_MARGINS, "page_index, state, margin, confidence"))
+def page_margins(spark, d):
+    scored = classify.page_scores(_filing(spark))
+    found = ordered.decode_pages(scored).join(scored, ["doc_id", "page_index"])
+    return classify.margins(found, ordered.STATES).select("page_index", "state", "margin", "confidence")
+
+
 @query("page_confidence", "select p_partkey, round(least(0.97, greatest(0.30, 0.5 + (p_size - 25) / 20.0)), 4) as confidence from part")
 def page_confidence(spark, d):
     return table(spark, d, "part").select("p_partkey", classify.confidence(F.col("p_size") - 25.0).alias("confidence"))

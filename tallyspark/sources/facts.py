@@ -68,3 +68,17 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper(F.substring("event_type", 1, 3)).alias("base"), F.concat(F.lit("Q"), (F.col("user_id") % 5).cast("string")).alias("quote"),
         F.col("value").alias("rate"), F.to_date("ts").alias("as_of"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"),
     )
+
+
+#: What a figure's cell is.
+CELL = ("doc_id", "canonical_key", "basis", "period_label")
+
+
+def store_facts(facts: DataFrame, table_name: str, buckets: int, path: str | None = None) -> DataFrame:
+    """The facts as a table bucketed by cell, one file a bucket, so that figures need no shuffle (concept_figures(..., arranged=True)) and grids a small one.
+
+    buckets: as many as keep a bucket within an executor's memory; they are fixed when the table is written.
+    """
+    writer = facts.repartition(buckets, *CELL).write.bucketBy(buckets, *CELL).sortBy(*CELL).mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table_name)
+    return facts.sparkSession.table(table_name)

@@ -476,3 +476,14 @@ def test_concept_figures_edits(spark):
     f = spark.createDataFrame([(1, k, "c", "p", label, page, n, e, None if v is None else Decimal(v)) for k, label, page, n, e, v in rows], at)
     got = {r["canonical_key"]: (r["figure"], r["duplicates"], r["edited"]) for r in values.concept_figures(f).collect()}
     assert got == {"a": (15, 1, False), "b": (9, 0, True), "c": (10, 1, False)}
+
+
+def test_stored_facts_need_no_shuffle(spark, sf_dir, tmp_path):
+    from tallyspark.sources.facts import facts, store_facts
+
+    stored = store_facts(facts(spark, sf_dir), "stored_facts", 4, str(tmp_path / "facts"))
+    figures = values.concept_figures(stored, arranged=True)
+    assert "Exchange" not in figures._jdf.queryExecution().executedPlan().toString()
+    want = values.concept_figures(facts(spark, sf_dir))
+    assert sorted(map(str, figures.collect())) == sorted(map(str, want.collect()))
+    spark.sql("drop table stored_facts")
