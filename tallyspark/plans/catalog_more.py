@@ -292,7 +292,7 @@ _WEIGHTS = ", ".join(f"('{k}', {w})" for k, w in CREDIT_SIGNALS.items())
 _SIGNALS = "signals as (select c_custkey as doc_id, case c_custkey % 6 when 0 then 'going_concern' when 1 then 'auditor_qualification' when 2 then 'litigation' when 3 then 'related_party' end as family from customer where c_custkey % 6 < 4 union all select c_custkey, 'guarantees' from customer where c_custkey % 6 = 2 union all select c_custkey, 'contingent_liabilities' from customer where c_custkey % 12 = 2)"
 
 
-@query("credit_factors", f"with {_BOOK_RATIOS}, f(category, rank, ratio_key, more, strong, weak) as (values {_FACTOR_ROWS}), j as (select r.*, category, rank, more, strong, weak, round(ratio, 2) as v from r join f using (ratio_key) where ratio is not null) "
+@query("credit_factors", f"with {_BOOK_RATIOS}, f(category, rank, ratio_key, more, strong, weak) as (values {_FACTOR_ROWS}), j as (select r.*, category, rank, more, strong, weak, cast(round(cast(ratio as decimal(30,10)), 2) as double) as v from r join f using (ratio_key) where ratio is not null) "
        "select doc_id, basis, period_label, category, arg_min(ratio_key, rank) as ratio_key, arg_min(v, rank) as ratio, arg_min(case when more then case when v >= strong then 1 when v < weak then -1 else 0 end else case when v <= strong then 1 when v > weak then -1 else 0 end end, rank) as tone from j group by all")
 def credit_factors(spark, d):
     return analytics.credit_factors(analytics.ratios(_book(spark, d), CATALOGUE), CREDIT_FACTORS)
