@@ -47,9 +47,8 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = [x["content"] for x in spec.get("added_tokens", [])]
@@ -59,6 +58,13 @@ class Encoder:
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special = special
 
+    @functools.cached_property
+    def slow(self):
+        """The library's own encoder, loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> list[int]:
         if _PLAIN.search(text) or any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids
