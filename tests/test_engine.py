@@ -487,3 +487,23 @@ def test_stored_facts_need_no_shuffle(spark, sf_dir, tmp_path):
     want = values.concept_figures(facts(spark, sf_dir))
     assert sorted(map(str, figures.collect())) == sorted(map(str, want.collect()))
     spark.sql("drop table stored_facts")
+
+
+def test_pages_are_read_one_after_another(spark):
+    """A page is no data frame of its own, goes on over the batches for Python, and lacks nothing where its key is null."""
+    from tallyspark.operators import scan
+    from tallyspark.plans.catalog_structure import NOTE_PAGE, READ, page_words
+
+    words = page_words(NOTE_PAGE)
+    rows = [(doc, page, *w, False, "company") for w in reversed(words) for doc in (None, *range(40)) for page in (1, 2)]
+    made = scan.page_facts(spark.createDataFrame(rows, "doc_id long, page_index int, x0 double, x1 double, y0 double, y1 double, text string, on_face boolean, scope string"))
+    plan = made._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = [tuple(r) for r in made.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    wanted = [(doc, page, *r[1:]) for doc in (None, *range(40)) for page in (1, 2) for r in READ if r[0] == 1]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
