@@ -507,3 +507,11 @@ def test_pages_are_read_one_after_another(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     wanted = [(doc, page, *r[1:]) for doc in (None, *range(40)) for page in (1, 2) for r in READ if r[0] == 1]
     assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
+def test_sizes_round_halves_to_even(spark):
+    from tallyspark.functions import documents as docs
+
+    sizes = [n for k in range(4, 400) for n in (k * 262144 - 1, k * 262144, k * 262144 + 1)] + [1, 1048575, 2**40 + 262144, 2**50 + 3 * 262144, 2**63 - 1]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", docs.human_size(F.col("n")).alias("size")).collect()
+    assert {r.n: r.size for r in rows} == {n: f"{n / 1048576:.1f} MB" if n >= 1048576 else f"{max(1, n // 1024)} KB" for n in sizes}
