@@ -7,6 +7,7 @@ from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tallyspark.functions import numbers
 
@@ -54,22 +55,31 @@ LADDER = ("broken", "statement_absent", "unsupported_op", "derived_input", "targ
 def check_relations(figures: DataFrame, terms: DataFrame, rules: DataFrame, absolute: float = 1.0, relative: float = 0.001) -> DataFrame:
     """rule, doc_id, slot, status, reason, expected, actual: relations that are data, checked for every slot of a document that has figures.
 
-    figures: doc_id, slot, key, figure, scale, derived. terms: rule, key, sign (0 is the target). rules: rule, statement, op, broken, nil
-    (missing parts are nil). A relation is skipped for the first reason of LADDER that holds. rules and terms are rulebook data.
+    figures: doc_id, slot, key, figure, scale, derived. terms: rule, key, sign (0 is the target), place (the order in which a rule's terms are
+    added, by key where there is none; sums of doubles depend on it). rules: rule, statement, op, broken, nil (missing parts are nil). A relation
+    is skipped for the first reason of LADDER that holds. rules and terms are rulebook data: they are broadcast, and figures take one shuffle, by slot.
     """
     slot = ["doc_id", "basis", "period_label"]
-    wanted = terms.groupBy("rule").agg(F.count_if(F.col("sign") != 0).alias("_parts"))
-    f = figures.withColumn("_st", F.substring_index("key", "_", 1))
-    slots = f.groupBy(*slot).agg(F.collect_set("_st").alias("_have"))
-    hits = f.join(terms, "key").groupBy("rule", *slot).agg(
-        F.sum(F.when(F.col("sign") == 0, F.col("figure"))).alias("actual"), F.sum(F.when(F.col("sign") != 0, F.col("figure") * F.col("sign"))).alias("expected"),
-        F.count_distinct(F.when((F.col("sign") != 0) & F.col("figure").isNotNull(), F.col("key"))).alias("_got"), F.count_distinct("scale").alias("_scales"), F.bool_or("derived").alias("_derived"),
+    kind = figures.schema["figure"].dataType
+    exact = f"decimal(38,{kind.scale})" if isinstance(kind, DecimalType) else "double"
+    if "place" not in terms.columns:
+        terms = terms.withColumn("place", F.lit(0))
+    book = rules.join(terms.groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("place", "key", "sign"))).alias("_terms"), F.count_if(F.col("sign") != 0).alias("_parts")), "rule", "left")
+    slots = figures.groupBy(*slot).agg(F.array_sort(F.collect_list(F.struct("key", "figure", "scale", "derived"))).alias("_figures"))
+    of_term = lambda t: F.transform(F.filter("_figures", lambda f: f["key"] == t["key"]), lambda f: F.struct(t["key"].alias("key"), t["sign"].alias("sign"), f["figure"].alias("figure"), f["scale"].alias("scale"), f["derived"].alias("derived")))
+    every = slots.crossJoin(F.broadcast(book)).withColumn("_hits", F.coalesce(F.flatten(F.transform("_terms", of_term)), F.array()))
+    every = every.withColumns({"_target": F.filter("_hits", lambda h: (h["sign"] == 0) & h["figure"].isNotNull()), "_added": F.filter("_hits", lambda h: (h["sign"] != 0) & h["figure"].isNotNull())})
+    total = lambda c, by: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0).cast(exact), lambda s, h: (s + by(h)).cast(exact)))
+    distinct = lambda c, name: F.size(F.array_distinct(F.filter(F.transform(c, lambda h: h[name]), lambda v: v.isNotNull())))
+    every = every.select(
+        "rule", *slot, "statement", "op", "broken", "nil", F.coalesce("_parts", F.lit(0)).alias("_parts"), F.transform("_figures", lambda f: F.substring_index(f["key"], "_", 1)).alias("_have"),
+        total("_target", lambda h: h["figure"]).alias("actual"), total("_added", lambda h: h["figure"] * h["sign"]).alias("expected"),
+        distinct("_added", "key").alias("_got"), distinct("_hits", "scale").alias("_scales"), F.exists("_hits", lambda h: h["derived"]).alias("_derived"),
     )
-    every = slots.select(*slot, "_have", F.explode(F.lit([r["rule"] for r in rules.select("rule").collect()])).alias("rule")).join(rules, "rule").join(wanted, "rule", "left").join(hits, ["rule", *slot], "left")
-    got = F.coalesce("_got", F.lit(0))
+    got = F.col("_got")
     tests = (
         F.col("broken"), ~F.array_contains("_have", F.col("statement")), ~F.col("op").isin("sum", "diff"), F.coalesce("_derived", F.lit(False)), F.col("actual").isNull(), got == 0,
-        (got < F.col("_parts")) & ~F.col("nil"), F.coalesce("_scales", F.lit(0)) > 1,
+        (got < F.col("_parts")) & ~F.col("nil"), F.col("_scales") > 1,
     )
     reason = F.coalesce(*[F.when(t, name) for t, name in zip(tests, LADDER, strict=True)])
     ok = F.abs(F.col("actual") - F.col("expected")) <= F.greatest(F.lit(absolute), F.abs("expected") * relative)

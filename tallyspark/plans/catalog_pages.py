@@ -157,7 +157,7 @@ def relations_as_data(spark, d):
     keys = (*rules.LEAVES, CA_T)
     cells = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("figure")) for k in keys])
     figures = g.select("doc_id", "basis", "period_label", F.inline(cells)).withColumns({"scale": F.lit(1.0), "derived": F.lit(False)})
-    terms = spark.createDataFrame([(r, k, s) for r, (t, parts, *_) in _REL.items() for k, s in ((t, 0), *((p, 1) for p in parts))], "rule string, key string, sign int")
+    terms = spark.createDataFrame([(r, k, s, i) for r, (t, parts, *_) in _REL.items() for i, (k, s) in enumerate(((t, 0), *((p, 1) for p in parts)))], "rule string, key string, sign int, place int")
     made = spark.createDataFrame([(r, st, op, broken, nil) for r, (_, _, st, op, broken, nil) in _REL.items()], "rule string, statement string, op string, broken boolean, nil boolean")
     return narrative.check_relations(figures, terms, made, 1.0, 0.00001).select("rule", "doc_id", "basis", "period_label", "reason", "status")
 

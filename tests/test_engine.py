@@ -515,3 +515,23 @@ def test_sizes_round_halves_to_even(spark):
     sizes = [n for k in range(4, 400) for n in (k * 262144 - 1, k * 262144, k * 262144 + 1)] + [1, 1048575, 2**40 + 262144, 2**50 + 3 * 262144, 2**63 - 1]
     rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", docs.human_size(F.col("n")).alias("size")).collect()
     assert {r.n: r.size for r in rows} == {n: f"{n / 1048576:.1f} MB" if n >= 1048576 else f"{max(1, n // 1024)} KB" for n in sizes}
+
+
+def test_relations_add_their_parts_in_order(spark):
+    """0.1 + 0.2 + 0.3 is a hair over 0.6, 0.3 + 0.2 + 0.1 isn't; neither joins nor the order of rows matter."""
+    from tallyspark.operators.narrative import check_relations
+
+    cells = [("bs_c", 0.3), ("bs_b", 0.2), ("bs_a", 0.1), ("bs_t", 1.6), ("bs_n", None)]
+    figures = spark.createDataFrame([(doc, None if doc % 5 == 0 else "b", "p", k, v, 1.0, False) for k, v in cells for doc in range(60)], "doc_id long, basis string, period_label string, key string, figure double, scale double, derived boolean").repartition(7, "key")
+    order = {"up": "abc", "down": "cba"}
+    terms = spark.createDataFrame([(r, f"bs_{k}", int(k not in "t"), i) for r, parts in order.items() for i, k in enumerate("t" + parts + "n")], "rule string, key string, sign int, place int")
+    rules = spark.createDataFrame([(r, "bs", "sum", False, True) for r in (*order, "bare")], "rule string, statement string, op string, broken boolean, nil boolean")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {tuple(r) for r in check_relations(figures, terms, rules, 1.0, 0.0).select("rule", "doc_id", "basis", "status", "reason", "expected", "actual").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    told = {"up": ("pass", None, 0.1 + 0.2 + 0.3, 1.6), "down": ("fail" if 1.6 - (0.3 + 0.2 + 0.1) > 1.0 else "pass", None, 0.3 + 0.2 + 0.1, 1.6), "bare": ("skipped", "target_missing", None, None)}
+    assert told["up"][2] != told["down"][2]
+    assert got == {(r, doc, None if doc % 5 == 0 else "b", *t) for r, t in told.items() for doc in range(60)}
